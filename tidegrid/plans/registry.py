@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tidegrid.plans import pipeline_queries
+from tidegrid.plans import pipeline_queries, spatial_queries
 
-FLAGSHIP = "p6_found"
+FLAGSHIP = "range_pt_pt"
 
 
 def queries() -> dict:
-    return dict(pipeline_queries.QUERIES)
+    return {**spatial_queries.QUERIES, **pipeline_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
