@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.plans import pipeline_queries, spatial_queries
+from tidegrid.plans import pipeline_queries, pipeline_sql, spatial_queries, spatial_sql
 
 FLAGSHIP = "range_pt_pt"
 
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**spatial_sql.SQL, **pipeline_sql.SQL}

@@ -259,7 +259,7 @@ def tjoin_self(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stay_cell(spark: SparkSession, d: str) -> DataFrame:
-    return stay_time.cell_stay_time(events(spark, d), BEIJING, ONE_DAY).select("window_start", "cx", "cy", F.round("stay_ms", 2).alias("stay_ms"))
+    return stay_time.cell_stay_time(events(spark, d), BEIJING, ONE_DAY).select("window_start", "cx", "cy", F.round("stay_ms", 4).alias("stay_ms"))
 
 
 @query
@@ -270,7 +270,7 @@ def stay_sensor(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stay_normalized(spark: SparkSession, d: str) -> DataFrame:
     value = stay_time.normalized_stay_time(events(spark, d), zone_stream(spark, d), BEIJING, ONE_DAY)
-    return value.select("window_start", "cx", "cy", F.round("value", 2).alias("value"))
+    return value.select("window_start", "cx", "cy", F.round("value", 4).alias("value"))
 
 
 @query
