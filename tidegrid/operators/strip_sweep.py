@@ -5,8 +5,9 @@ distance or extent, so each pair meets in exactly one place, the point's strip.
 longitude and the targets' active ranges slide along them; only pairs in range are verified.
 
 Two ways to bring strips together. Targets whose size is checked to be small travel to the points, which are cut into
-strips batch by batch and never move. Larger target sets are shuffled by strip together with the points; strips with
-many points are split by salt (their targets go to each salt), so no strip is one task's burden.
+strips batch by batch and never move. Larger target sets are shuffled by strip together with the points; a strip of many
+points or targets is cut into shares of each, and every share of its points meets every share of its targets, so no
+strip is one task's burden.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from tidegrid.functions.canonical import finite
 ON_EDGE = 1e-12
 #: Targets (vertices, for regions) that may travel with the tasks.
 MAX_CARRIED = 1_000_000
-#: Points that a shuffled strip may hold before it is salted, and points swept at once.
-STRIP_POINTS, BLOCK = 200_000, 200_000
+#: Points and targets that a shuffled strip may hold before it is cut, and points swept at once.
+STRIP_POINTS, STRIP_TARGETS, BLOCK = 200_000, 50_000, 200_000
 
 
 @dataclass
@@ -204,41 +205,51 @@ def _shuffled(p: DataFrame, t: DataFrame, make: Callable, target_id: str, point_
     """The way for large target sets: both sides by strip and salt, in one sorted pass."""
     strip = lambda y: F.floor(y / F.lit(height)).cast("long")
     pts = p.withColumn("strip", strip(F.col("y")))
-    counts = pts.groupBy("strip").agg(F.count("*").alias("n"))
-    n_salts = F.ceil(F.col("n") / F.lit(STRIP_POINTS)).cast("int")
     # One row per strip of latitude: 180 / height at most, whatever the data's size.
-    salts = counts.select("strip", n_salts.alias("n_salts"))
+    parts = lambda df, most, name: df.groupBy("strip").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name))
     if "rings" in t.columns:
         ys = F.transform(F.flatten(F.filter("rings", lambda r: r.isNotNull())), lambda q: q["y"])
         low, high = F.array_min(ys), F.array_max(ys)
     else:
         low, high = F.col("y") - F.lit(reach), F.col("y") + F.lit(reach)
     margin = F.lit(reach * 1e-9 + 1e-9)
-    spread = t.withColumn("low", strip(low - margin)).withColumn("high", strip(high + margin)).where(F.col("low").isNotNull() & F.col("high").isNotNull())
+    spread = t.withColumn("low", strip(low - margin)).withColumn("high", strip(high + margin)).where(finite(low) & finite(high))
     spread = spread.withColumn("strip", F.explode(F.sequence("low", "high"))).drop("low", "high")
+    cuts = parts(pts, STRIP_POINTS, "n_salts").join(parts(spread, STRIP_TARGETS, "n_blocks"), "strip")
     shape = [c for c in t.columns if c != "id"]
     kinds = {c: t.schema[c].dataType for c in shape}
-    left = spread.join(salts, "strip").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
-    left = left.select("strip", "salt", F.lit(0).alias("side"), "id", F.lit(None).cast(p.schema["pid"].dataType).alias("pid"), F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("py"), *shape)
-    right = pts.join(salts, "strip").withColumn("salt", F.pmod(F.xxhash64("pid", "x", "y"), F.col("n_salts")).cast("int"))
-    right = right.select("strip", "salt", F.lit(1).alias("side"), F.lit(None).cast(t.schema["id"].dataType).alias("id"), "pid", F.col("x").alias("px"), F.col("y").alias("py"), *(F.lit(None).cast(kinds[c]).alias(c) for c in shape))
-    both = left.unionByName(right).repartition("strip", "salt").sortWithinPartitions("strip", "salt", "side")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, own, rows = None, None, []
-        for frame in frames:
-            for k, part in frame.groupby(["strip", "salt"], sort=False):
-                if k != key:
-                    key, own, rows = k, None, []
-                rows.append(part[part["side"] == 0])
-                hits = part[part["side"] == 1]
-                if len(hits):
-                    if own is None:  # the strip's targets come first
-                        own = make(pd.concat(rows).reset_index(drop=True))
-                    i, j = sweep(own, hits["px"].to_numpy(float), hits["py"].to_numpy(float), height)
-                    yield pd.DataFrame({target_id: own.ids[i], point_id: hits["pid"].to_numpy()[j]})
-
-    return both.mapInPandas(run, ddl)
+    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    share = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = spread.join(cuts, "strip").withColumn("block", share("n_blocks", "id", *shape)).withColumn("salt", each("n_salts"))
+    left = left.select("strip", "salt", "block", F.lit(0).alias("side"), "id", nothing(p.schema["pid"].dataType, "pid"), nothing("double", "px"), nothing("double", "py"), *shape)
+    right = pts.join(cuts, "strip").withColumn("salt", share("n_salts", "pid", "x", "y")).withColumn("block", each("n_blocks"))
+    right = right.select("strip", "salt", "block", F.lit(1).alias("side"), nothing(t.schema["id"].dataType, "id"), "pid", F.col("x").alias("px"), F.col("y").alias("py"), *(nothing(kinds[c], c) for c in shape))
+    key = ["strip", "salt", "block"]
+    both = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, rows = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            ks = np.stack([col[k].to_numpy() for k in [*key, "side"]])
+            edges = [0, *(np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, z in zip(edges[:-1], edges[1:]):
+                if (this := tuple(ks[:3, a])) != now:
+                    now, own, rows = this, None, []
+                if ks[3, a] == 0:
+                    rows.append({n: col[n].slice(a, z - a).to_pylist() for n in ["id", *shape]})
+                    continue
+                if own is None:  # a block's targets come first, at most about STRIP_TARGETS
+                    own = make(pd.DataFrame({n: [v for r in rows for v in r[n]] for n in ["id", *shape]}))
+                    ids = pa.array(list(own.ids), from_pandas=True)
+                i, j = sweep(own, col["px"].slice(a, z - a).to_numpy(), col["py"].slice(a, z - a).to_numpy(), height)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), col["pid"].slice(a, z - a).take(pa.array(j))], names=[target_id, point_id])
+
+    return both.mapInArrow(run, ddl)
 
 
 def near_points(points: DataFrame, sites: DataFrame, radius: float, point_id: str, site_id: str, **how: int) -> DataFrame:
