@@ -111,11 +111,14 @@ def test_parts_join_to_the_whole(seed):
         cuts = [0, *sorted(rnd.sample(range(1, 400), rnd.randint(1, 8))), 400]
         found, pieces = [], []
         for a, z in zip(cuts[:-1], cuts[1:]):
-            rows = S.part_of_track(t[a:z], x[a:z], y[a:z], rnd.randint(0, 99), a > 0, z < 400, RULES)
+            first = rnd.randint(0, 99)
+            rows, raw = S.part_of_track(t[a:z], x[a:z], y[a:z], first, a > 0, z < 400, RULES)
             found += [r for r in rows if r[0] < S.FIX]
             pieces += [r for r in rows if r[0] >= S.FIX]
+            for i, j in raw:
+                pieces += zip(*(c.tolist() for c in S.fix_columns(t[a:z][i:j], x[a:z][i:j], y[a:z][i:j], first + i)))
         pieces.sort(key=lambda r: (r[2], r[1]))
-        assert rounded(found + S.join_pieces(pieces, RULES)) == whole
+        assert rounded(found + S.join_pieces([np.array(c) for c in zip(*pieces)], RULES)) == whole
 
 
 def test_noise():

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import geometry as G
 from tidegrid.grid import Grid
+from tidegrid.operators.prefix import previous
 from tidegrid.operators.spatial import _cells
 from tidegrid.operators.trajectories import usable
 from tidegrid.operators.windowing import Windows, assign, window_columns
 
+HOUR = 3_600_000
+
 
 def cell_stay_time(points: DataFrame, grid: Grid, windows: Windows) -> DataFrame:
     """Per window and cell: stay_ms, and the cell's cx, cy.
@@ -22,21 +25,20 @@ def cell_stay_time(points: DataFrame, grid: Grid, windows: Windows) -> DataFrame
     placed = usable(points).withColumns({"cx": grid.cx(F.col("x")), "cy": grid.cy(F.col("y"))}).where(grid.has(F.col("cx"), F.col("cy")))
     placed = assign(placed, windows)
     by = window_columns(placed)
-    order = Window.partitionBy(*by, "oid").orderBy("ts_ms", "event_id")
-    lead = {f"n_{c}": F.lead(c).over(order) for c in ("ts_ms", "x", "y", "cx", "cy")}
-    pairs = placed.withColumns(lead).where(F.col("n_ts_ms").isNotNull())
+    fields = ["ts_ms", "x", "y", "cx", "cy"]
+    pairs = previous(placed, [*by, "oid"], "ts_ms", ["event_id"], fields, HOUR, "o_").where(F.col("o_ts_ms").isNotNull())
     c = F.col
-    lo_x, hi_x, lo_y, hi_y = F.least("cx", "n_cx"), F.greatest("cx", "n_cx"), F.least("cy", "n_cy"), F.greatest("cy", "n_cy")
+    lo_x, hi_x, lo_y, hi_y = F.least("cx", "o_cx"), F.greatest("cx", "o_cx"), F.least("cy", "o_cy"), F.greatest("cy", "o_cy")
     box = grid.cells(lo_x, hi_x, lo_y, hi_y)
 
     def on_way(cell):  # noqa: ANN001, ANN202
         b = grid.bounds(cell["cx"], cell["cy"])
-        end = ((cell["cx"] == c("cx")) & (cell["cy"] == c("cy"))) | ((cell["cx"] == c("n_cx")) & (cell["cy"] == c("n_cy")))
-        return end | G.segment_meets_box(c("x"), c("y"), c("n_x"), c("n_y"), b["min_x"], b["min_y"], b["max_x"], b["max_y"])
+        end = ((cell["cx"] == c("cx")) & (cell["cy"] == c("cy"))) | ((cell["cx"] == c("o_cx")) & (cell["cy"] == c("o_cy")))
+        return end | G.segment_meets_box(c("o_x"), c("o_y"), c("x"), c("y"), b["min_x"], b["min_y"], b["max_x"], b["max_y"])
 
-    straight = (c("cx") == c("n_cx")) | (c("cy") == c("n_cy"))
+    straight = (c("cx") == c("o_cx")) | (c("cy") == c("o_cy"))
     shares = pairs.withColumn("cells", F.when(straight, box).otherwise(F.filter(box, on_way)))
-    shares = shares.withColumn("share", (c("n_ts_ms") - c("ts_ms")) / F.size("cells"))
+    shares = shares.withColumn("share", (c("ts_ms") - c("o_ts_ms")) / F.size("cells"))
     return shares.select(*by, "share", F.explode("cells").alias("cell")).groupBy(*by, c("cell.cx").alias("cx"), c("cell.cy").alias("cy")).agg(F.sum("share").alias("stay_ms"))
 
 

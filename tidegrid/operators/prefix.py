@@ -38,7 +38,8 @@ def ordinals(df: DataFrame, keys: list[str], time: str, ties: list[str], stretch
 
 def previous(df: DataFrame, keys: list[str], time: str, ties: list[str], columns: list[str], stretch: int = MINUTE, prefix: str = "last_") -> DataFrame:
     """``df`` with each of ``columns`` as it was in the row before of the same ``keys`` (null in the first), in order of
-    ``time`` and ``ties``. The first row of a stretch gets it from the last stretch's closing row."""
+    ``time`` and ``ties``. The first row of a stretch gets it from the last stretch's closing row. Rows
+    with a null key or time are left out."""
     parts = df.withColumn("__stretch", F.floor(F.col(time) / F.lit(stretch)).cast("long"))
     inner = Window.partitionBy(*keys, "__stretch").orderBy(time, *ties)
     row = F.struct(*columns)

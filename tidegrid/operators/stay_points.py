@@ -205,56 +205,49 @@ def assemble(parts: list[tuple], rules: StayRules) -> list[tuple]:
     return out
 
 
-def _raw(t: np.ndarray, x: np.ndarray, y: np.ndarray, ord_: np.ndarray) -> list[tuple]:
-    return [(FIX, o * 2, a, b, c, a, b, c, 1, 0.0) for o, a, b, c in zip(ord_.tolist(), t.tolist(), x.tolist(), y.tolist())]
-
-
 def whole_track(t: np.ndarray, x: np.ndarray, y: np.ndarray, rules: StayRules) -> list[tuple]:
     """Stops and trips of one device's fixes in time order."""
     k = kept_fixes(t, x, y, rules)
     return assemble(elements(t[k], x[k], y[k], np.flatnonzero(k), rules), rules)
 
 
-def part_of_track(t: np.ndarray, x: np.ndarray, y: np.ndarray, first: int, left_open: bool, right_open: bool, rules: StayRules) -> list[tuple]:
-    """Results that the fixes before and after can't change, and pieces for ``join_pieces``."""
+def part_of_track(t: np.ndarray, x: np.ndarray, y: np.ndarray, first: int, left_open: bool, right_open: bool, rules: StayRules) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Results that the fixes before and after can't change with other pieces for ``join_pieces``, and the index ranges
+    of the fixes that it needs one by one."""
     if not (left_open or right_open):
-        return whole_track(t, x, y, rules)
+        return whole_track(t, x, y, rules), []
     n, ord_ = len(t), np.arange(first, first + len(t))
     fast = np.flatnonzero(_fast(t, x, y, rules))
     lo, hi = np.concatenate([[0], fast + 1]), np.concatenate([fast, [n - 1]])
     sure = np.flatnonzero(hi - lo >= rules.max_burst)  # too long for a burst: all good
     if not len(sure):
-        return _raw(t, x, y, ord_)
+        return [], [(0, n)]
     a = int(lo[sure[0]]) if left_open else 0
     z = int(hi[sure[-1]]) if right_open else n - 1
     k = np.flatnonzero(kept_fixes(t[a:], x[a:], y[a:], rules)) + a
     k = k[k <= z]
     apart = np.flatnonzero((np.hypot(np.diff(x[k]), np.diff(y[k])) > 2 * rules.radius) | (np.diff(t[k]) > rules.max_gap))
-    need = left_open + right_open
-    if len(apart) < need:
-        return _raw(t, x, y, ord_)
+    if len(apart) < left_open + right_open:
+        return [], [(0, n)]
     i = int(apart[0]) + 1 if left_open else 0
     j = int(apart[-1]) if right_open else len(k) - 1
-    out = _raw(*(v[: k[i - 1] + 1] for v in (t, x, y, ord_))) if left_open else []
+    raw = ([(0, int(k[i - 1]) + 1)] if left_open else []) + ([(int(k[j + 1]), n)] if right_open else [])
     mid = k[i : j + 1]
     parts = elements(t[mid], x[mid], y[mid], ord_[mid], rules)
-    if right_open:
-        out += _raw(*(v[k[j + 1] :] for v in (t, x, y, ord_)))
     anchors = [q for q, p in enumerate(parts) if p[0] != MOVE]
     # A track that ends or begins here has its outermost trip here too; so only the open sides' parts go on.
     if not anchors:
-        return out + parts
+        return parts, raw
     f, m = anchors[0], anchors[-1]
     done = assemble(parts[f : m + 1], rules)
     seen = lambda p: (p[0], *p[1:8], -p[8], p[9]) if p[0] == STAY else p
     between = [(GAP, parts[f][1] + 1, parts[f][5], 0.0, 0.0, parts[f][5], 0.0, 0.0, 0, 0.0)] if m > f else []
-    return out + done + parts[:f] + [seen(parts[f])] + between + ([seen(parts[m])] if m > f else []) + parts[m + 1 :]
+    return done + parts[:f] + [seen(parts[f])] + between + ([seen(parts[m])] if m > f else []) + parts[m + 1 :], raw
 
 
-def join_pieces(rows: list[tuple], rules: StayRules) -> list[tuple]:
-    """Results of one device's pieces in time order."""
+def join_pieces(cols: list[np.ndarray], rules: StayRules) -> list[tuple]:
+    """Results of one device's pieces in time order, given by columns (kind, ord, t0, x0, y0, ...)."""
     parts: list[tuple] = []
-    raw: list[tuple] = []
 
     def add(new: list[tuple]) -> None:
         for p in new:
@@ -262,20 +255,17 @@ def join_pieces(rows: list[tuple], rules: StayRules) -> list[tuple]:
                 parts.append((GAP, 0, 0, 0.0, 0.0, 0, 0.0, 0.0, 0, 0.0))
             parts.append(p)
 
-    def flush() -> None:
-        if raw:
-            t, x, y = np.array([r[2] for r in raw]), np.array([r[3] for r in raw]), np.array([r[4] for r in raw])
+    fix = cols[0] == FIX
+    edges = [0, *(np.flatnonzero(fix[1:] != fix[:-1]) + 1).tolist(), len(fix)]
+    for a, z in zip(edges[:-1], edges[1:]):
+        if a == z:
+            continue
+        if fix[a]:  # fixes stay arrays, however many there are
+            t, x, y = (c[a:z] for c in cols[2:5])
             k = kept_fixes(t, x, y, rules)
             add(elements(t[k], x[k], y[k], np.flatnonzero(k), rules))
-            raw.clear()
-
-    for r in rows:
-        if r[0] == FIX:
-            raw.append(r)
         else:
-            flush()
-            add([r])
-    flush()
+            add(list(zip(*(c[a:z].tolist() for c in cols))))
     return assemble(parts, rules)
 
 
@@ -286,6 +276,16 @@ def _emit(found: list[tuple[str, list[tuple]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(oids, pa.string()), *(pa.array(c, f.type) for c, f in zip(cols, list(PIECES)[1:]))], schema=PIECES)
 
 
+def fix_columns(t: np.ndarray, x: np.ndarray, y: np.ndarray, first: int) -> list[np.ndarray]:
+    """Single fixes as pieces' columns."""
+    n = len(t)
+    return [np.full(n, FIX, np.int8), np.arange(first, first + n) * 2, t, x, y, t, x, y, np.ones(n, np.int64), np.zeros(n)]
+
+
+def _emit_fixes(oid: str, cols: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([oid] * len(cols[0]), pa.string()), *(pa.array(c, f.type) for c, f in zip(cols, list(PIECES)[1:]))], schema=PIECES)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[str, list[np.ndarray], bool]]:
     """Each oid's columns, from rows sorted by oid, and whether it is the last. Holds one oid at a time."""
     oid, held = None, []
@@ -329,7 +329,11 @@ def stops_and_trips(points: DataFrame, rules: StayRules = StayRules()) -> DataFr
             copy[1:] = (t[1:] == t[:-1]) & (e[1:] == e[:-1]) & (nameless[1:] == nameless[:-1]) & (~nameless[1:] | ((x[1:] == x[:-1]) & (y[1:] == y[:-1])))
             if copy.any():
                 t, x, y = t[~copy], x[~copy], y[~copy]
-            rows = part_of_track(t, x, y, at, first, last, rules)
+            rows, raw = part_of_track(t, x, y, at, first, last, rules)
+            for a, z in raw:
+                for i in range(a, z, 50_000):
+                    j = min(i + 50_000, z)
+                    yield _emit_fixes(oid, fix_columns(t[i:j], x[i:j], y[i:j], at + i))
             at, first = at + len(t), False
             found.append((oid, rows))
             size += len(rows)
@@ -349,7 +353,7 @@ def stops_and_trips(points: DataFrame, rules: StayRules = StayRules()) -> DataFr
         for oid, cols, _ in _groups(pieces(), PIECES.names[1:]):
             yield from done
             done.clear()
-            yield _emit([(oid, join_pieces(list(zip(*(c.tolist() for c in cols))), rules))])
+            yield _emit([(oid, join_pieces(cols, rules))])
         yield from done
 
     piece = F.col("kind") >= FIX

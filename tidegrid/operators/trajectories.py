@@ -58,8 +58,9 @@ def in_any(points: DataFrame, polygons: DataFrame, grid: Grid | None) -> DataFra
     ``polygons`` is a query set: at a cell it is as large as polygons overlap there."""
     x, y = F.col("x"), F.col("y")
     if grid is None:
-        shapes = G.with_shape(polygons.select("rings"), "pg").select("segs")
-        hits = points.join(_sized(shapes), G.contains(x, y, F.col("segs")), "left_semi")
+        shapes = G.with_shape(polygons.select("rings"), "pg").select("segs", "box")
+        boxed = x.between(F.col("box.minx"), F.col("box.maxx")) & y.between(F.col("box.miny"), F.col("box.maxy"))
+        hits = points.join(_sized(shapes), F.when(boxed, G.contains(x, y, F.col("segs"))).otherwise(F.lit(False)), "left_semi")
         return hits.withColumn("inside", F.lit(True))
     index = _sized(polygon_index(polygons, grid)).withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
     placed = points.withColumns({"cx": grid.cx(x), "cy": grid.cy(y)})
@@ -88,21 +89,24 @@ def tstats(points: DataFrame, ids: list[str] | None = None, windows: Windows | N
     Running values come from stretches of time whose ends are joined, so no oid is one task's burden.
     """
     own = _of(points, ids).select("oid", "ts_ms", "event_id", "x", "y")
+    by: list[str] = []
     if windows is not None:
-        placed = assign(own, windows)
-        by = [*window_columns(placed), "oid"]
-        order = Window.partitionBy(*by).orderBy("ts_ms", "event_id")
-        steps = _counting(placed, order)
-        sums = steps.groupBy(*by).agg(F.sum("step").alias("spatial_len"), (F.max("ts_ms") - F.min("ts_ms")).alias("temporal_len_ms"))
-        return sums.withColumn("speed", F.try_divide("spatial_len", "temporal_len_ms"))
+        own = assign(own, windows)
+        by = window_columns(own)
+    by.append("oid")
     parts = own.withColumn("stretch", F.floor(F.col("ts_ms") / F.lit(stretch)).cast("long"))
-    steps = _counting(parts, Window.partitionBy("oid", "stretch").orderBy("ts_ms", "event_id"))
-    ends = steps.groupBy("oid", "stretch").agg(
-        F.sum("step").alias("len"), F.min("ts_ms").alias("first_ms"), F.min_by("x", "ts_ms").alias("fx"), F.min_by("y", "ts_ms").alias("fy"), F.max_by("x", "ts_ms").alias("lx"), F.max_by("y", "ts_ms").alias("ly"),
+    steps = _counting(parts, Window.partitionBy(*by, "stretch").orderBy("ts_ms", "event_id"))
+    ends = steps.groupBy(*by, "stretch").agg(
+        F.sum("step").alias("len"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
+        F.min_by("x", "ts_ms").alias("fx"), F.min_by("y", "ts_ms").alias("fy"), F.max_by("x", "ts_ms").alias("lx"), F.max_by("y", "ts_ms").alias("ly"),
     )
-    along = Window.partitionBy("oid").orderBy("stretch")
+    along = Window.partitionBy(*by).orderBy("stretch")
     link = F.coalesce(G.point_distance(F.lag("lx").over(along), F.lag("ly").over(along), F.col("fx"), F.col("fy")), F.lit(0.0))
-    ends = ends.withColumn("link", link).withColumn("start_ms", F.first("first_ms").over(along))
+    ends = ends.withColumn("link", link)
+    if windows is not None:
+        sums = ends.groupBy(*by).agg(F.sum(F.col("len") + F.col("link")).alias("spatial_len"), (F.max("last_ms") - F.min("first_ms")).alias("temporal_len_ms"))
+        return sums.withColumn("speed", F.try_divide("spatial_len", "temporal_len_ms"))
+    ends = ends.withColumn("start_ms", F.first("first_ms").over(along))
     before = ends.select("oid", "stretch", "start_ms", (F.sum(F.col("len") + F.col("link")).over(along) - F.col("len")).alias("before"))
     order = Window.partitionBy("oid", "stretch").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
     out = steps.withColumn("here", F.sum("step").over(order)).join(before, ["oid", "stretch"]).where(F.col("ts_ms") > F.col("start_ms"))
