@@ -123,7 +123,7 @@ def test_mixing_frame(spark):
     assert empty.plan().where("short").count() == 0 and empty.sample().count() == 0 and empty.report().count() == 3
 
 
-PASSAGE = "Yesterday our Hulbra voyage joins 672 recipe beside another Fenjo museum. Our morning until Torzel connects some bakery, but then Brahul checks the outside for three km before Torzel sleeps."
+PASSAGE = "Yesterday our Hulbra voyage joins 672 recipe beside another Fenjo museum. Our morning until Torzel connects some bakery near Torzel, but then Brahul checks the outside for three km before Torzel sleeps."
 
 
 def found(spark, docs, items=((1, PASSAGE),), **how):
@@ -133,7 +133,7 @@ def found(spark, docs, items=((1, PASSAGE),), **how):
 
 def test_leaks(spark):
     other = PASSAGE.replace("Torzel", "Quator").replace("Hulbra", "Osmel").replace("Fenjo", "Lisfen").replace("Brahul", "Stawen").replace("three", "nine").replace("672", "31")
-    mixed = other.replace("Quator sleeps", "Wenven sleeps")
+    mixed = other.replace("near Quator", "near Wenven")
     part = " ".join(PASSAGE.split()[3:18])
     docs = [(1, PASSAGE.upper()), (2, "x " + part + " y"), (3, " ".join(PASSAGE.split()[3:14])), (4, other), (5, mixed), (6, None), (7, ""), (8, "filler " * 300_000 + PASSAGE), (9, "Tor­zel")]
     got = found(spark, docs)
