@@ -37,9 +37,10 @@ def cell_stay_time(points: DataFrame, grid: Grid, windows: Windows) -> DataFrame
         return end | G.segment_meets_box(c("o_x"), c("o_y"), c("x"), c("y"), b["min_x"], b["min_y"], b["max_x"], b["max_y"])
 
     straight = (c("cx") == c("o_cx")) | (c("cy") == c("o_cy"))
-    shares = pairs.withColumn("cells", F.when(straight, box).otherwise(F.filter(box, on_way)))
+    shares = pairs.withColumn("cells", F.when(straight, box).otherwise(F.filter(grid.cells_along(c("o_x"), c("o_y"), c("x"), c("y")), on_way)))
     shares = shares.withColumn("share", (c("ts_ms") - c("o_ts_ms")) / F.size("cells"))
-    return shares.select(*by, "share", F.explode("cells").alias("cell")).groupBy(*by, c("cell.cx").alias("cx"), c("cell.cy").alias("cy")).agg(F.sum("share").alias("stay_ms"))
+    # Never empty; a plain explode would have the engine test that first, by making each list twice.
+    return shares.select(*by, "share", F.explode_outer("cells").alias("cell")).groupBy(*by, c("cell.cx").alias("cx"), c("cell.cy").alias("cy")).agg(F.sum("share").alias("stay_ms"))
 
 
 def cell_sensor_count(polygons: DataFrame, grid: Grid, windows: Windows) -> DataFrame:

@@ -26,6 +26,11 @@ def usable_ms(ts_ms: Column) -> Column:
     return F.when(ts_ms >= FIRST_USABLE_MS, ts_ms)
 
 
+def is_usable(ts_ms: Column) -> Column:
+    """Whether ``ts_ms`` is a time, as a filter that scans can take."""
+    return ts_ms >= FIRST_USABLE_MS
+
+
 def finite(x: Column) -> Column:
-    """False for null, NaN and infinities."""
-    return F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)
+    """False for null, NaN (which counts as larger than any number) and infinities."""
+    return x.isNotNull() & (F.abs(x) < float("inf"))

@@ -101,6 +101,21 @@ class Grid:
         xs, ys = F.sequence(F.when(some, lo_x), F.when(some, hi_x)), F.sequence(F.when(some, lo_y), F.when(some, hi_y))
         return F.flatten(F.transform(xs, lambda a: F.transform(ys, lambda b: F.struct(a.alias("cx"), b.alias("cy")))))
 
+    def cells_along(self, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        """Cells near a segment within its bbox's cells: column by column those of its stretch there and one more on
+        either side, which holds all that it meets; as array<struct<cx, cy>>."""
+        lo_x, hi_x, lo_y, hi_y = F.least(self.cx(ax), self.cx(bx)), F.greatest(self.cx(ax), self.cx(bx)), F.least(self.cy(ay), self.cy(by)), F.greatest(self.cy(ay), self.cy(by))
+        slope = F.coalesce(F.try_divide(by - ay, bx - ax), F.lit(0.0))
+
+        def column(cx: Column) -> Column:
+            left = F.lit(self.min_x) + cx * F.lit(self.cell)
+            at = lambda x: ay + (F.greatest(F.least(ax, bx), F.least(F.greatest(ax, bx), x)) - ax) * slope
+            y0, y1 = at(left), at(left + F.lit(self.cell))
+            lo, hi = F.greatest(self.cy(F.least(y0, y1)) - 1, lo_y), F.least(self.cy(F.greatest(y0, y1)) + 1, hi_y)
+            return F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+        return F.flatten(F.transform(F.sequence(lo_x, hi_x), column))
+
 
 #: The grid of the test tables.
 BEIJING = Grid.by_count(100, 115.5, 117.6, 39.6, 41.1)

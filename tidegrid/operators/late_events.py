@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.canonical import canonical_oid, usable_ms
+from tidegrid.functions.canonical import canonical_oid, is_usable
 
 
 @dataclass(frozen=True)
@@ -43,10 +43,12 @@ class Periods:
 
 
 def event_log(points: DataFrame, stream_name: str) -> DataFrame:
-    """One stream as log rows: stream_name, event_id, oid, ts_ms, arrived_us. Other columns are ignored."""
-    return points.select(
+    """One stream as log rows: stream_name, event_id, oid, ts_ms, arrived_us. Rows that can't be placed (no event_id,
+    usable time or arrival) are left out by the scan; other columns are ignored."""
+    placed = points.where(F.col("event_id").isNotNull() & is_usable(F.col("ts_ms")) & F.col("ingest_ts").isNotNull())
+    return placed.select(
         F.lit(stream_name).alias("stream_name"), "event_id", canonical_oid(F.col("oid")).alias("oid"),
-        usable_ms(F.col("ts_ms")).alias("ts_ms"), F.unix_micros(F.col("ingest_ts").cast("timestamp")).alias("arrived_us"),
+        "ts_ms", F.unix_micros(F.col("ingest_ts").cast("timestamp")).alias("arrived_us"),
     )
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import geometry as G
 from tidegrid.grid import Grid
-from tidegrid.operators.windowing import WINDOW, Windows, assign, window_columns
+from tidegrid.operators.windowing import Windows, assign, window_columns
+from tidegrid.shared import spread
 
 #: Rows of an exploded query side that may be broadcast; beyond, both sides are shuffled by cell.
 MAX_CARRIED = 1_000_000
@@ -62,7 +63,7 @@ def range_query(objects: DataFrame, queries: DataFrame, r: float, grid: Grid | N
     if kind != "pt" and key is None:
         raise ValueError("polygons and lines need a key")
     columns = objects.columns
-    left = G.with_shape(objects, kind)
+    left = G.with_shape(_even(objects, kind, query_kind), kind)
     right = _prefixed(G.with_shape(queries.select(*{"x", "y", "rings", "path", "paths"}.intersection(queries.columns)), query_kind).drop("rings", "path", "paths"))
     fits, _ = within(kind, query_kind, r, approximate)
     if grid is None:
@@ -80,6 +81,11 @@ def range_query(objects: DataFrame, queries: DataFrame, r: float, grid: Grid | N
     return hits if windows is None else assign(hits, windows)
 
 
+def _even(objects: DataFrame, kind: str, query_kind: str) -> DataFrame:
+    """A small input over all cores, where pairs cost more than a formula."""
+    return objects if kind == query_kind == "pt" else spread(objects)
+
+
 def _sized(queries: DataFrame) -> DataFrame:
     """A query side, marked for broadcast if it is small. Streams are left to the planner."""
     if queries.isStreaming:
@@ -98,19 +104,21 @@ def knn_query(objects: DataFrame, query: DataFrame, r: float, k: int, grid: Grid
     _check(kind, query_kind, r)
     if k < 1:
         raise ValueError("k is 1 or more")
-    left = G.with_shape(objects.where(F.col("oid").isNotNull()), kind)
+    left = G.with_shape(_even(objects.where(F.col("oid").isNotNull()), kind, query_kind), kind)
     right = _prefixed(G.with_shape(query.select(*{"x", "y", "rings", "path", "paths"}.intersection(query.columns)), query_kind).drop("rings", "path", "paths"))
-    fits, dist = within(kind, query_kind, r, approximate)
+    _, dist = within(kind, query_kind, r, approximate)
+    fits = G.box_distance(F.col("box"), F.col("q_box")) <= r * (1 + 1e-9) + 1e-12
     if grid is not None:
         own, near = grid.near_box(F.col("box"), 0), grid.near_box(F.col("q_box"), r)
         apart = [F.greatest(own[f"lo_{a}"], near[f"lo_{a}"]) <= F.least(own[f"hi_{a}"], near[f"hi_{a}"]) for a in "xy"]
-        fits = F.when(apart[0] & apart[1], fits).otherwise(F.lit(False))
+        fits = apart[0] & apart[1] & fits
     # One query shape: the join carries a single row to all objects.
     hits = left.join(F.broadcast(right.limit(1) if not right.isStreaming else right), fits)
     hits = hits.select("oid", "ts_ms", dist.alias("dist"))
     hits = assign(hits, windows) if windows else hits
     by = window_columns(hits) if windows else []
-    nearest = hits.groupBy(*by, "oid").agg(F.min("dist").alias("dist"))
+    # The radius is tested on each oid's least distance, so distances are computed once.
+    nearest = hits.groupBy(*by, "oid").agg(F.min("dist").alias("dist")).where(F.col("dist") <= r)
     return top_k(nearest, k, by)
 
 
@@ -132,7 +140,7 @@ def spatial_join(left: DataFrame, right: DataFrame, r: float, grid: Grid | None,
     """
     _check(kind, query_kind, r)
     own = left.columns
-    a, b = G.with_shape(left, kind), G.with_shape(right, query_kind)
+    a, b = G.with_shape(_even(left, kind, query_kind), kind), G.with_shape(right, query_kind)
     if windows:
         a, b = assign(a, windows), assign(b, windows)
     when = window_columns(a) if windows else []

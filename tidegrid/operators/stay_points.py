@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.canonical import canonical_oid, finite, usable_ms
+from tidegrid.functions.canonical import canonical_oid, finite, is_usable
 
 
 @dataclass(frozen=True)
@@ -315,8 +315,9 @@ def stops_and_trips(points: DataFrame, rules: StayRules = StayRules()) -> DataFr
     shared fixes. An empty table, and a device with fewer than three fixes and no stop, give no rows.
     """
     fixes = (
-        points.select(canonical_oid(F.col("oid")).alias("oid"), usable_ms(F.col("ts_ms")).alias("ts_ms"), "event_id", "x", "y")
-        .where(F.col("oid").isNotNull() & F.col("ts_ms").isNotNull() & finite(F.col("x")) & finite(F.col("y")))
+        points.where(is_usable(F.col("ts_ms")) & finite(F.col("x")) & finite(F.col("y")))
+        .select(canonical_oid(F.col("oid")).alias("oid"), "ts_ms", "event_id", "x", "y")
+        .where(F.col("oid").isNotNull())
         .repartitionByRange("oid", "ts_ms")
         .sortWithinPartitions("oid", "ts_ms", "event_id", "x", "y")
         .select("oid", "ts_ms", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.col("event_id").isNull().alias("nameless"), "x", "y")

@@ -15,6 +15,7 @@ from tidegrid.grid import Grid
 from tidegrid.operators.prefix import ordinals
 from tidegrid.operators.spatial import _cells, _sized, spatial_join, top_k
 from tidegrid.operators.windowing import Windows, assign, window_columns
+from tidegrid.shared import spread
 
 DAY = 86_400_000
 AGGREGATES = ("ALL", "SUM", "AVG", "MIN", "MAX")
@@ -71,7 +72,7 @@ def in_any(points: DataFrame, polygons: DataFrame, grid: Grid | None) -> DataFra
 
 def trange(points: DataFrame, polygons: DataFrame, grid: Grid | None, windows: Windows | None = None) -> DataFrame:
     """Points inside any polygon; with ``windows`` the whole sub-trajectories that have such a point."""
-    marked = in_any(usable(points), polygons, grid)
+    marked = in_any(spread(usable(points)), polygons, grid)
     if windows is None:
         return marked.where("inside").drop("inside")
     placed = assign(marked, windows)

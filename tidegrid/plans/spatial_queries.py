@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.apps import check_in, stay_time
 from tidegrid.functions import geometry as G
-from tidegrid.functions.canonical import canonical_oid, finite, usable_ms
+from tidegrid.functions.canonical import canonical_oid, finite, is_usable, usable_ms
 from tidegrid.grid import BEIJING
 from tidegrid.operators import spatial, trajectories
 from tidegrid.operators.windowing import Windows
@@ -45,9 +45,8 @@ PING_Y = _AXIS.format(base=39.6, span=1.5, k="", factor="").replace("(*)", "(use
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     """The point stream: rows that have an oid, a time and a place; copies stay."""
-    t = table(spark, d, "moving_points")
-    t = t.select("event_id", canonical_oid(F.col("oid")).alias("oid"), usable_ms(F.col("ts_ms")).alias("ts_ms"), "x", "y")
-    return t.where(F.col("oid").isNotNull() & F.col("ts_ms").isNotNull() & finite(F.col("x")) & finite(F.col("y")))
+    t = table(spark, d, "moving_points").where(is_usable(F.col("ts_ms")) & finite(F.col("x")) & finite(F.col("y")))
+    return t.select("event_id", canonical_oid(F.col("oid")).alias("oid"), "ts_ms", "x", "y").where(F.col("oid").isNotNull())
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -61,9 +60,9 @@ def pings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zone_stream(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "zone_stream")
-    t = t.select("event_id", canonical_oid(F.col("oid")).alias("oid"), usable_ms(F.col("ts_ms")).alias("ts_ms"), "rings")
-    return t.where(F.col("oid").isNotNull() & F.col("ts_ms").isNotNull()).dropDuplicates(["event_id"])
+    t = table(spark, d, "zone_stream").where(is_usable(F.col("ts_ms")))
+    t = t.select("event_id", canonical_oid(F.col("oid")).alias("oid"), "ts_ms", "rings")
+    return t.where(F.col("oid").isNotNull()).dropDuplicates(["event_id"])
 
 
 def zones(spark: SparkSession, d: str) -> DataFrame:

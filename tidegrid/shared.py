@@ -36,6 +36,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes per core below which files can't be split finely enough to keep all cores busy.
+SPLIT = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is so small that its files make fewer tasks than there are cores; else as it is, so
+    a large input isn't moved. For work that costs far more than moving a row."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: computed once, lineage cut, and safe when executors are lost.
     The files go when the driver ends."""
