@@ -15,6 +15,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -155,50 +156,97 @@ def regions(t: pd.DataFrame) -> Regions:
     return Regions(t["id"].to_numpy()[fine], [rings[i] for i in fine])
 
 
-def strip_sweep_join(
-    points: DataFrame, targets: DataFrame, make: Callable[[pd.DataFrame], Discs | Regions], point_id: str, target_id: str,
-    height: float, reach: float = 0.0, max_carried: int = MAX_CARRIED,
-) -> DataFrame:
-    """Pairs (target_id, point_id): the points (``x``, ``y``) that each target holds, every pair of rows once.
+@dataclass(frozen=True)
+class Relation:
+    """Targets and how they hold points. ``targets`` has ``target_id`` and ``x``, ``y`` or ``rings``; ``height`` is the
+    strips', ``reach`` how far a target's hold goes beyond its own coordinates."""
 
-    ``targets`` has ``target_id`` and what ``make`` needs: ``x``, ``y`` or ``rings``; ``reach`` is how far its hold goes
-    beyond its own coordinates. Points or targets without finite coordinates pair with nothing; null ids stay null in
-    pairs. Repeated rows give repeated pairs. Empty tables give no pairs. Other columns don't matter.
+    targets: DataFrame
+    make: Callable[[pd.DataFrame], Discs | Regions]
+    target_id: str
+    height: float
+    reach: float = 0.0
+
+    def shape(self) -> list[str]:
+        return ["rings"] if "rings" in self.targets.columns else ["x", "y"]
+
+    def plain(self) -> DataFrame:
+        return self.targets.select(F.col(self.target_id).alias("id"), *self.shape())
+
+    def weight(self) -> int:
+        """Vertices of all targets."""
+        n = F.lit(1)
+        if self.shape() == ["rings"]:
+            n = F.greatest(n, F.coalesce(F.aggregate("rings", F.lit(0), lambda a, r: a + F.coalesce(F.size(r), F.lit(0))), F.lit(0)))
+        return self.plain().agg(F.sum(n)).first()[0] or 0
+
+    def carried(self) -> Discs | Regions:
+        """The targets themselves, whose weight has been checked."""
+        rows = self.plain().collect()
+        return self.make(pd.DataFrame({"id": [r["id"] for r in rows], **{c: [r[c] for r in rows] for c in self.shape()}}))
+
+
+def near(sites: DataFrame, radius: float, site_id: str) -> Relation:
+    """Points at most ``radius`` from a site (Euclidean)."""
+    return Relation(sites, discs(radius), site_id, max(2 * radius, 1e-6), radius)
+
+
+def within(zones: DataFrame, zone_id: str, height: float = 0.05) -> Relation:
+    """Points that a zone (``rings``) contains."""
+    return Relation(zones, regions, zone_id, height)
+
+
+def related(points: DataFrame, point_id: str, relations: dict[str, Relation], max_carried: int = MAX_CARRIED) -> DataFrame:
+    """Pairs (rel_kind, target_id, ``point_id``): the points (``x``, ``y``) that each target of each relation holds,
+    every pair of rows once.
+
+    Points or targets without finite coordinates pair with nothing; null ids stay null in pairs. Repeated rows give
+    repeated pairs. Empty tables give no pairs. Other columns don't matter. Relations with small target sets share one
+    pass over the points; each other one is a shuffle of its own. All target ids must be of one type.
     """
-    shape = ["x", "y"] if "rings" not in targets.columns else ["rings"]
-    t = targets.select(F.col(target_id).alias("id"), *shape)
     p = points.select(F.col(point_id).alias("pid"), "x", "y").where(finite(F.col("x")) & finite(F.col("y")))
-    n_vertices = F.lit(1) if shape == ["x", "y"] else F.greatest(F.lit(1), F.coalesce(F.aggregate("rings", F.lit(0), lambda a, r: a + F.coalesce(F.size(r), F.lit(0))), F.lit(0)))
-    weight = t.agg(F.sum(n_vertices)).first()[0] or 0
-    id_type, pid_type = t.schema["id"].dataType.simpleString(), p.schema["pid"].dataType.simpleString()
-    ddl = f"`{target_id}` {id_type}, `{point_id}` {pid_type}"
-    if weight <= max_carried:
-        rows = t.collect()  # at most max_carried vertices
-        made = make(pd.DataFrame({"id": [r["id"] for r in rows], **{c: [r[c] for r in rows] for c in shape}}))
-        carried = points.sparkSession.sparkContext.broadcast(pickle.dumps(made))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = pickle.loads(carried.value)
-            ids = pa.array(list(own.ids), from_pandas=True)
-            held: list[pa.RecordBatch] = []
-            size = 0
-
-            def out() -> pa.RecordBatch:
-                block = pa.Table.from_batches(held).combine_chunks()
-                left, right = sweep(own, block.column("x").to_numpy(), block.column("y").to_numpy(), height)
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(left)) if len(ids) else pa.nulls(0, pa.int64()), block.column("pid").take(pa.array(right)).combine_chunks()], names=[target_id, point_id])
-
-            for batch in batches:
-                held.append(batch)
-                size += batch.num_rows
-                if size >= BLOCK:
-                    yield out()
-                    held, size = [], 0
-            if size:
-                yield out()
-
-        return p.mapInArrow(run, ddl)
-    return _shuffled(p, t, make, target_id, point_id, height, reach, ddl)
+    ids = {r.plain().schema["id"].dataType.simpleString() for r in relations.values()}
+    if len(ids) != 1:
+        raise ValueError("target ids of one type are needed")
+    ddl = f"target_id {ids.pop()}, `{point_id}` {p.schema['pid'].dataType.simpleString()}"
+    small = {name: r for name, r in relations.items() if r.weight() <= max_carried}
+    parts = [_carried(p, small, point_id, ddl)] if small else []
+    for name, r in relations.items():
+        if name not in small:
+            parts.append(_shuffled(p, r.plain(), r.make, "target_id", point_id, r.height, r.reach, ddl).select(F.lit(name).alias("rel_kind"), "target_id", point_id))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _carried(p: DataFrame, relations: dict[str, Relation], point_id: str, ddl: str) -> DataFrame:
+    """The way for small target sets: they travel to the points, which don't move."""
+    made = [(name, r.carried(), r.height) for name, r in relations.items()]
+    carried = p.sparkSession.sparkContext.broadcast(pickle.dumps(made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [(name, own, height, pa.array(list(own.ids), from_pandas=True)) for name, own, height in pickle.loads(carried.value) if len(own.ids)]
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            block = pa.Table.from_batches(held).combine_chunks()
+            x, y = block.column("x").to_numpy(), block.column("y").to_numpy()
+            for name, own, height, ids in sets:
+                left, right = sweep(own, x, y, height)
+                if len(left):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name]).take(pa.array(np.zeros(len(left), np.int64))), ids.take(pa.array(left)), block.column("pid").take(pa.array(right)).combine_chunks()], names=["rel_kind", "target_id", point_id],
+                    )
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    return p.mapInArrow(run, f"rel_kind string, {ddl}")
 
 
 def _shuffled(p: DataFrame, t: DataFrame, make: Callable, target_id: str, point_id: str, height: float, reach: float, ddl: str) -> DataFrame:
@@ -253,10 +301,10 @@ def _shuffled(p: DataFrame, t: DataFrame, make: Callable, target_id: str, point_
 
 
 def near_points(points: DataFrame, sites: DataFrame, radius: float, point_id: str, site_id: str, **how: int) -> DataFrame:
-    """Pairs of rows at most ``radius`` apart (Euclidean)."""
-    return strip_sweep_join(points, sites, discs(radius), point_id, site_id, max(2 * radius, 1e-6), radius, **how)
+    """Pairs (site_id, point_id) of rows at most ``radius`` apart; see ``related``."""
+    return related(points, point_id, {"": near(sites, radius, site_id)}, **how).select(F.col("target_id").alias(site_id), point_id)
 
 
 def points_in_regions(points: DataFrame, zones: DataFrame, point_id: str, zone_id: str, height: float = 0.05, **how: int) -> DataFrame:
-    """Pairs of a zone (``rings``) and a point that it contains."""
-    return strip_sweep_join(points, zones, regions, point_id, zone_id, height, **how)
+    """Pairs (zone_id, point_id) of a zone and a point that it contains; see ``related``."""
+    return related(points, point_id, {"": within(zones, zone_id, height)}, **how).select(F.col("target_id").alias(zone_id), point_id)

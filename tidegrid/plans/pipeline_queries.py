@@ -91,12 +91,8 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    points = table(spark, d, "moving_points")
-    sites = table(spark, d, "sites").withColumnRenamed("site_id", "target_id")
-    zones = table(spark, d, "zones").withColumnRenamed("zone_id", "target_id")
-    near = strip_sweep.near_points(points, sites, SITE_RADIUS, "event_id", "target_id").select(F.lit("near_site").alias("rel_kind"), "target_id", "event_id")
-    inside = strip_sweep.points_in_regions(points, zones, "event_id", "target_id").select(F.lit("in_zone").alias("rel_kind"), "target_id", "event_id")
-    return near.unionByName(inside).where(F.col("event_id").isNotNull()).distinct()
+    relations = {"near_site": strip_sweep.near(table(spark, d, "sites"), SITE_RADIUS, "site_id"), "in_zone": strip_sweep.within(table(spark, d, "zones"), "zone_id")}
+    return strip_sweep.related(table(spark, d, "moving_points"), "event_id", relations).where(F.col("event_id").isNotNull()).distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
