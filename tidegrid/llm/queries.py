@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm import leakage, mixing, repetition
 from tidegrid.plans.tables import table
+from tidegrid.shared import written
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +46,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.host_rates(repetition.measure(table(spark, d, "documents")))
+    return repetition.host_rates(written(repetition.measure(table(spark, d, "documents")), "repetition"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_leaks, p8_found, p8_report, p8_sample, p9_found, p9_report, p9_hosts)}
