@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.canonical import finite
+from tidegrid.shared import written
 
 #: Within this distance (degrees) of an edge, a point lies on it. Coordinates have six decimals; so a point off an edge
 #: that is shorter than half a degree is at least 2e-12 away, and rounding moves one on it by less than 1e-13.
@@ -253,7 +254,7 @@ def _shuffled(p: DataFrame, t: DataFrame, make: Callable, target_id: str, point_
     """The way for large target sets: both sides by strip and salt, in one sorted pass."""
     strip = lambda y: F.floor(y / F.lit(height)).cast("long")
     pts = p.withColumn("strip", strip(F.col("y")))
-    # One row per strip of latitude: 180 / height at most, whatever the data's size.
+    # One row per strip of latitude that has points and targets: on a globe 180 / height at most, whatever the data's size.
     parts = lambda df, most, name: df.groupBy("strip").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name))
     if "rings" in t.columns:
         ys = F.transform(F.flatten(F.filter("rings", lambda r: r.isNotNull())), lambda q: q["y"])
@@ -263,7 +264,9 @@ def _shuffled(p: DataFrame, t: DataFrame, make: Callable, target_id: str, point_
     margin = F.lit(reach * 1e-9 + 1e-9)
     spread = t.withColumn("low", strip(low - margin)).withColumn("high", strip(high + margin)).where(finite(low) & finite(high))
     spread = spread.withColumn("strip", F.explode(F.sequence("low", "high"))).drop("low", "high")
-    cuts = parts(pts, STRIP_POINTS, "n_salts").join(parts(spread, STRIP_TARGETS, "n_blocks"), "strip")
+    cuts = written(parts(pts, STRIP_POINTS, "n_salts").join(parts(spread, STRIP_TARGETS, "n_blocks"), "strip"), "strips")
+    if cuts.count() <= MAX_CARRIED:  # as on any globe; else the strips' rows are joined to their cuts by shuffling
+        cuts = F.broadcast(cuts)
     shape = [c for c in t.columns if c != "id"]
     kinds = {c: t.schema[c].dataType for c in shape}
     nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
