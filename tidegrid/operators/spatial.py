@@ -36,6 +36,35 @@ def _cells(df: DataFrame, grid: Grid, r: float, prefix: str) -> DataFrame:
     return df.withColumn("cy", F.explode(F.sequence(f"{prefix}lo_y", f"{prefix}hi_y"))).drop(f"{prefix}hi_x", f"{prefix}hi_y")
 
 
+def _ranges(df: DataFrame, grid: Grid, r: float, prefix: str) -> DataFrame:
+    """``df`` with its cells' ranges (lo_x, hi_x, lo_y, hi_y), as far as they are in the grid."""
+    df = df.withColumns({f"{prefix}{k}": v for k, v in grid.near_box(F.col(f"{prefix}box"), r).items()})
+    return df.where((F.col(f"{prefix}lo_x") <= F.col(f"{prefix}hi_x")) & (F.col(f"{prefix}lo_y") <= F.col(f"{prefix}hi_y")))
+
+
+def _blocks(df: DataFrame, side: int, prefix: str, single: bool = False) -> DataFrame:
+    """``df`` once for each block of ``side`` by ``side`` cells that its ranges touch: columns bx, by. ``single`` rows have
+    one cell."""
+    first = {a: F.floor(F.col(f"{prefix}lo_{a}") / side).cast("int") for a in "xy"}
+    if single:
+        return df.withColumns({f"{prefix}b{a}": first[a] for a in "xy"})
+    for a in "xy":
+        df = df.withColumn(f"{prefix}b{a}", F.explode(F.sequence(first[a], F.floor(F.col(f"{prefix}hi_{a}") / side).cast("int"))))
+    return df
+
+
+def _meeting(side: int, single: bool) -> Column:
+    """Condition of a pair: one block, the first of those it shares, and a common cell. Blocks are as wide as the radius
+    reaches; so a query is exploded to a few of them, however fine the grid."""
+    on = F.lit(True)
+    for a in "xy":
+        low = F.greatest(F.col(f"lo_{a}"), F.col(f"q_lo_{a}"))
+        on = on & (F.col(f"b{a}") == F.col(f"q_b{a}")) & (low <= F.least(F.col(f"hi_{a}"), F.col(f"q_hi_{a}")))
+        if not single:
+            on = on & (F.col(f"b{a}") == F.floor(low / side))
+    return on
+
+
 def within(kind: str, query_kind: str, r: float, approximate: bool = False) -> tuple[Column, Column]:
     """Condition and distance of a pair with columns as they are and prefixed ``q_``. The bboxes are tried first."""
     boxes = G.box_distance(F.col("box"), F.col("q_box"))
@@ -54,8 +83,8 @@ def range_query(objects: DataFrame, queries: DataFrame, r: float, grid: Grid | N
     """Objects within ``r`` of any query shape, each once (for points: each row; else each ``key``), as they came; with
     ``windows`` once for each window. ``approximate`` takes the bboxes' distance.
 
-    Nothing is shuffled for points: the query set, exploded to its cells, joins by cell (broadcast if its size is
-    small). Polygons and lines are exploded to their cells too and the hits made single by ``key``, which must tell
+    Nothing is shuffled for points: the query set, exploded to blocks of cells, joins by block (broadcast if its size is
+    small). Polygons and lines are exploded to their blocks too and the hits made single by ``key``, which must tell
     rows apart. Objects without a shape match nothing. The time test comes last, so each object is compared once.
     """
     _check(kind, query_kind, r)
@@ -68,15 +97,13 @@ def range_query(objects: DataFrame, queries: DataFrame, r: float, grid: Grid | N
     fits, _ = within(kind, query_kind, r, approximate)
     if grid is None:
         hits = left.join(right, fits, "left_semi")
-    elif kind == "pt":
-        left = left.withColumns({"cx": grid.cx(F.col("x")), "cy": grid.cy(F.col("y"))}).where(grid.has(F.col("cx"), F.col("cy")))
-        right = _sized(_cells(right, grid, r, "q_").withColumnsRenamed({"cx": "q_cx", "cy": "q_cy"}))
-        hits = left.join(right, (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy")) & fits, "left_semi")
     else:
-        left = _cells(left, grid, 0, "")
-        right = _sized(_cells(right, grid, r, "q_").withColumnsRenamed({"cx": "q_cx", "cy": "q_cy"}))
-        first = (F.col("cx") == F.greatest("lo_x", "q_lo_x")) & (F.col("cy") == F.greatest("lo_y", "q_lo_y"))
-        hits = left.join(right, (F.col("cx") == F.col("q_cx")) & (F.col("cy") == F.col("q_cy")) & first & fits, "left_semi").dropDuplicates([key])
+        side, single = max(1, grid.candidate_layers(r)), kind == "pt"
+        left = _blocks(_ranges(left, grid, 0, ""), side, "", single)
+        right = _sized(_blocks(_ranges(right, grid, r, "q_"), side, "q_"))
+        hits = left.join(right, _meeting(side, single) & fits, "left_semi")
+        if not single:
+            hits = hits.dropDuplicates([key])
     hits = hits.select(*columns)
     return hits if windows is None else assign(hits, windows)
 
@@ -135,7 +162,7 @@ def top_k(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
 
 def spatial_join(left: DataFrame, right: DataFrame, r: float, grid: Grid | None, kind: str = "pt", query_kind: str = "pt", windows: Windows | None = None, approximate: bool = False) -> DataFrame:
     """Pairs of rows at most ``r`` apart, in the same window: the left's columns, the right's prefixed ``q_``, dist and
-    the window. Each pair of rows comes once per window. Pairs meet by window and cell; skewed cells are left to the
+    the window. Each pair of rows comes once per window. Pairs meet by window and block of cells; skewed cells are left to the
     engine's skew join.
     """
     _check(kind, query_kind, r)
@@ -153,15 +180,10 @@ def spatial_join(left: DataFrame, right: DataFrame, r: float, grid: Grid | None,
         same = [F.col(w) == F.col(f"q_{w}") for w in when]
     fits, dist = within(kind, query_kind, r, approximate)
     if grid is not None:
-        if kind == "pt":
-            a = a.withColumns({"cx": grid.cx(F.col("x")), "cy": grid.cy(F.col("y"))}).where(grid.has(F.col("cx"), F.col("cy")))
-            a = a.withColumns({"lo_x": F.col("cx"), "lo_y": F.col("cy")})
-        else:
-            a = _cells(a, grid, 0, "")
-        b = _cells(b, grid, r, "q_").withColumnsRenamed({"cx": "q_cx", "cy": "q_cy"})
-        same += [F.col("cx") == F.col("q_cx"), F.col("cy") == F.col("q_cy")]
-        if kind != "pt":
-            same += [F.col("cx") == F.greatest("lo_x", "q_lo_x"), F.col("cy") == F.greatest("lo_y", "q_lo_y")]
+        side, single = max(1, grid.candidate_layers(r)), kind == "pt"
+        a = _blocks(_ranges(a, grid, 0, ""), side, "", single)
+        b = _blocks(_ranges(b, grid, r, "q_"), side, "q_")
+        same.append(_meeting(side, single))
     on = fits
     for s in same:
         on = s & on
