@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from tidegrid.plans import pipeline_sql as p
 from tidegrid.plans import spatial_queries as q
 from tidegrid.plans import spatial_sql as s
 from tidegrid.plans.tables import table
-from tidegrid.shared import shared_folder
+from tidegrid.shared import shared_path
 from tidegrid.sinks.streams import to_files
 from tidegrid.streaming import stateful
 from tidegrid.streaming.lambda_store import LambdaStore
@@ -35,7 +33,7 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 def _worked_off(df: DataFrame, name: str) -> DataFrame:
     """A stream's result as a table in the shared folder."""
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = shared_path(spark, name)
     to_files(df, f"{at}/out", f"{at}/progress").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
@@ -59,7 +57,7 @@ def stream_tstats_rt(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_streamed(spark: SparkSession, d: str) -> DataFrame:
     """The lambda views over both streams, kept up batch by batch, after the last recompute."""
-    store = LambdaStore(spark, f"{shared_folder(spark)}/views-{uuid.uuid4().hex}")
+    store = LambdaStore(spark, shared_path(spark, "views"))
     for i, name in enumerate(("moving_points", "zone_stream")):
         log = late_events.event_log(_stream(spark, d, name), name)
         base = i * 10**9  # batches of the two streams have numbers of their own

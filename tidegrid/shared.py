@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -10,11 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from the place where the driver found it."""
+    """Lets Python workers import this package from the place where the driver found it, and sets the session's zone:
+    all times of the tables are UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -50,25 +49,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPLIT else df
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: computed once, lineage cut, and safe when executors are lost.
-    The files go when the driver ends."""
+    """``df`` as a table in the shared folder, read back: computed once, lineage cut, and safe when executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_path(spark, name)}/table"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written() -> None:
-    """Deletes the tables that ``written`` made."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended
-            return
-
-
-atexit.register(drop_written)
