@@ -70,3 +70,10 @@ def test_frame(spark):
     tables = N.flat_tables(shredded)
     assert [(r.leg, r.n_occurrences) for r in tables["leg"].collect()] == [("1", 6)] and tables["ring"].count() == 0
     assert N.shred(spark.createDataFrame([], "record_id bigint, record_json string")).count() == 0
+
+
+def test_long_record(spark):
+    line = {"type": "LineString", "coordinates": [[i, i] for i in range(200_000)]}
+    text = json.dumps({"value": {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": line}] * 3}})
+    shredded = N.shred(spark.createDataFrame([(1, text)], "record_id bigint, record_json string"))
+    assert shredded.count() == 6 and {(r.entity, r.n_occurrences) for r in N.objects(shredded).collect()} == {("feature", 3), ("geometry", 3)}

@@ -94,7 +94,7 @@ def kept_fixes(t: np.ndarray, x: np.ndarray, y: np.ndarray, rules: StayRules) ->
     at = np.flatnonzero(fast) + 1
     if not len(at):
         return keep
-    n, done, is_fast = len(t), 0, fast
+    n, done = len(t), 0
 
     def reachable(a: int, b: int) -> bool:
         return hypot(x[b] - x[a], y[b] - y[a]) * 1000 <= rules.max_speed * (t[b] - t[a])
@@ -105,7 +105,7 @@ def kept_fixes(t: np.ndarray, x: np.ndarray, y: np.ndarray, rules: StayRules) ->
         for m in range(1, rules.max_burst + 1):
             if p + m >= n:
                 break
-            if is_fast[p + m - 1] and reachable(p - 1, p + m):
+            if fast[p + m - 1] and reachable(p - 1, p + m):
                 keep[p : p + m] = False
                 done = p + m
                 break

@@ -87,7 +87,7 @@ _LINES = f"SELECT oid, ts_ms, {', '.join(f'path[{i + 1}].{c} AS {c}{i}' for i in
 SQL = {f"io_{form}_points": s.POINTS for form in ("csv", "tsv", "geojson", "wkt")} | {f"io_{form}_polygons": _ZONES for form in ("geojson", "wkt")} | {f"io_{form}_lines": _LINES for form in ("geojson", "wkt")}
 SQL["io_geojson_records"] = """WITH r AS (SELECT record_id, json_extract(CASE WHEN json_valid(record_json) THEN record_json END, '$.value') AS v FROM geojson_records),
 g AS (SELECT record_id, v, CASE json_type(v, '$.geometry') WHEN 'OBJECT' THEN json_extract(v, '$.geometry') WHEN 'VARCHAR' THEN CAST(json_extract_string(v, '$.geometry') AS JSON) ELSE v END AS g, json_extract(v, '$.properties') AS p FROM r),
-t AS (SELECT *, CASE json_type(p) WHEN 'OBJECT' THEN p END AS o FROM g)
+t AS (SELECT *, CASE json_type(p) WHEN 'OBJECT' THEN p WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(p, '$')) THEN CAST(json_extract_string(p, '$') AS JSON) END END AS o FROM g)
 SELECT record_id, nullif(trim(replace(json_extract_string(o, '$.oID'), '"', '')), '') AS oid,
 coalesce(epoch_ms(try_strptime(json_extract_string(o, '$.timestamp'), '%Y-%m-%d %H:%M:%S')), CASE WHEN regexp_full_match(json_extract_string(o, '$.timestamp'), '-?[0-9]{1,18}') THEN CAST(json_extract_string(o, '$.timestamp') AS BIGINT) END) AS ts_ms,
 CAST(json_extract(g, '$.coordinates[0]') AS DOUBLE) AS x, CAST(json_extract(g, '$.coordinates[1]') AS DOUBLE) AS y FROM t WHERE json_extract_string(g, '$.type') = 'Point'"""

@@ -188,7 +188,7 @@ def tstats_rt(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tstats_window(spark: SparkSession, d: str) -> DataFrame:
-    return _stats(trajectories.tstats(points(spark, d), IDS, TWO_DAYS), "window_start", "oid")
+    return _stats(trajectories.tstats(points(spark, d), None, TWO_DAYS), "window_start", "oid")
 
 
 def _entries(heat: DataFrame, *keys: str) -> DataFrame:

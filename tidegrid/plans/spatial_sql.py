@@ -199,7 +199,7 @@ def _counting(rows: str, keys: str) -> str:
 SQL["tstats_rt"] = f"""WITH s AS ({_counting(POINTS, 'oid')}),
 t AS (SELECT oid, ts_ms, sum(step) OVER (PARTITION BY oid ORDER BY ts_ms) AS len, ts_ms - min(ts_ms) OVER (PARTITION BY oid) AS ms FROM s)
 SELECT oid, ts_ms, round(len, 6) AS spatial_len, ms AS temporal_len_ms, round(len / ms * 1e6, 3) AS speed_micro FROM t WHERE ms > 0"""
-SQL["tstats_window"] = f"""WITH s AS ({_counting(_two_days(f'SELECT * FROM ({POINTS}) WHERE oid IN ({IDS})'), 'window_start, oid')})
+SQL["tstats_window"] = f"""WITH s AS ({_counting(_two_days(POINTS), 'window_start, oid')})
 SELECT window_start, oid, round(sum(step), 6) AS spatial_len, max(ts_ms) - min(ts_ms) AS temporal_len_ms, round(sum(step) / nullif(max(ts_ms) - min(ts_ms), 0) * 1e6, 3) AS speed_micro FROM s GROUP BY ALL"""
 
 IN_GRID = f"{CX} BETWEEN 0 AND {N - 1} AND {CY} BETWEEN 0 AND {N - 1}"

@@ -51,7 +51,7 @@ def stream_trange_rt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_tstats_rt(spark: SparkSession, d: str) -> DataFrame:
-    stats = _worked_off(stateful.running_stats(_points(spark, d), q.IDS), "stats")
+    stats = _worked_off(stateful.running_stats(_points(spark, d)), "stats")
     return stats.select("oid", "ts_ms", F.round("spatial_len", 6).alias("spatial_len"), "temporal_len_ms")
 
 
@@ -108,7 +108,7 @@ _QX, _QY = BEIJING.index(*q.PLACE)
 _NEAR = BEIJING.candidate_layers(0.1)
 SQL = {
     "stream_range_pt_pt": s.SQL["range_pt_pt"], "stream_range_pt_pg": s.SQL["range_pt_pg"], "stream_trange_rt": s.SQL["trange_rt"],
-    "stream_tstats_rt": f"SELECT oid, ts_ms, spatial_len, temporal_len_ms FROM ({s.SQL['tstats_rt']}) WHERE oid IN ({s.IDS})",
+    "stream_tstats_rt": f"SELECT oid, ts_ms, spatial_len, temporal_len_ms FROM ({s.SQL['tstats_rt']})",
     "p2_streamed": f"SELECT stream_name, oid, period_start_ms, n FROM ({p.SQL['p2_counts']}) WHERE n > 0",
     "replicate_pg": _cells(s.ZONE_STREAM, "pg", "event_id, ts_ms", 0), "replicate_ls_near": _cells(s.QUERY_SETS["ls"], "ls", "oid, ts_ms", 0.03),
     "cell_filter_pt": f"SELECT event_id, oid, ts_ms FROM ({s.POINTS}) WHERE {s.IN_GRID} AND {s.CX} BETWEEN {_QX - _NEAR} AND {_QX + _NEAR} AND {s.CY} BETWEEN {_QY - _NEAR} AND {_QY + _NEAR}",

@@ -66,8 +66,10 @@ def decode_geojson(records: DataFrame, kind: str, value: str = "value", oid_prop
         shapes = {"members": F.when(F.lower(name) == "geometrycollection", F.transform(members, lambda m: F.struct(m["type"].alias("kind"), as_text(m).alias("geojson"))))}
     else:
         shapes = shape_columns(kind, name, coordinates)
-    oid = F.nullif(F.trim(F.replace(at(v, f"$.properties.{oid_property}"), F.lit('"'), F.lit(""))), F.lit(""))
-    return out.withColumns({"oid": oid, "ts_ms": parse_time(at(v, f"$.properties.{time_property}"), date_format), **shapes}).drop("__v", "__g")
+    # Properties may be an object or, like the geometry, its text in a string.
+    own = at(v, "$.properties")
+    oid = F.nullif(F.trim(F.replace(at(own, f"$.{oid_property}"), F.lit('"'), F.lit(""))), F.lit(""))
+    return out.withColumns({"oid": oid, "ts_ms": parse_time(at(own, f"$.{time_property}"), date_format), **shapes}).drop("__v", "__g")
 
 
 def _wkt_json(body: Column) -> Column:
