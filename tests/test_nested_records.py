@@ -35,6 +35,7 @@ def test_broken():
         assert N.occurrences(text) == []
     deep = '{"value":' + '{"type":"GeometryCollection","geometries":[' * 300 + "]}" * 300 + "}"
     assert len(N.occurrences(deep)) == 301
+    assert paths({"type": ["MultiPoint"], "coordinates": [[1, 2]]}) == {("feature", "0", ""), ("geometry", "0.g", "0")}
 
 
 def test_identities():
@@ -45,11 +46,11 @@ def test_identities():
     assert not {o[4] for o in a} & {o[4] for o in c}  # a changed leaf changes all above it
 
 
-json_values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=3), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.sampled_from(["type", "geometry", "geometries", "coordinates", "properties", "legs", "calls", "features"]) | st.text(max_size=2), c, max_size=4), max_leaves=15)
+json_values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=3) | st.sampled_from(["Feature", "FeatureCollection", "Polygon", "MultiPolygon", "MultiPoint", "GeometryCollection"]), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.sampled_from(["type", "geometry", "geometries", "coordinates", "properties", "legs", "calls", "features"]) | st.text(max_size=2), c, max_size=4), max_leaves=15)
 
 
 @given(json_values)
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 def test_any_json(value):
     found = N.occurrences(json.dumps({"value": value}))
     by_path = {o[1]: o for o in found}

@@ -70,6 +70,7 @@ def _geometry(value: object, path: str, ordinal: int) -> Node | None:
     while todo:  # collections may nest deeper than Python's stack
         node, g = todo.pop()
         kind, parts = g.get("type"), g.get("coordinates")
+        kind = kind if isinstance(kind, str) else None
         inner = {"geometries"}
         if isinstance(g.get("geometries"), list):
             for i, member in enumerate(g["geometries"]):
