@@ -144,6 +144,19 @@ def test_leaks(spark):
     assert found(spark, []) == {} and found(spark, docs, [(1, None), (2, ""), (3, "too short")]) == {} and found(spark, docs, []) == {}
 
 
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_names_at_sentence_starts(spark, block):
+    passage = "Maria bought some apples near the harbour and then carried them slowly home. Later the baker gave Maria another basket of bread."
+    items = [(1, passage), (2, "Maria sleeps. Only here does a sentence begin with this one word"), (3, "nobody knows whether later trains stop near a large bakery by night")]
+    short = "Ulvano bought some apples near the harbour and then carried them slowly home"
+    docs = [(1, passage.replace("Maria", "Peter")), (2, "so Peter bought some apples near the harbour and then carried them slowly home"), (3, short.replace("Ulvano", "Peter"))]
+    got = found(spark, docs, items, block=block)
+    assert {k: r.kind for k, r in got.items() if k[0] == 1} == {(1, 1): "verbatim", (1, 2): "verbatim", (1, 3): "verbatim"}
+    assert got[1, 1].n_other == sum("maria" in words(passage)[i : i + 12] for i in range(11))
+    only = "Ulvano bought some apples near the harbour and then carried them slowly"  # met only where a sentence begins
+    assert {k: r.kind for k, r in found(spark, [(1, only.replace("Ulvano", "Peter"))], [(1, only), *items[1:]], block=block).items()} == {(1, 1): "reparameterised"}
+
+
 @pytest.mark.parametrize("block", [20_000, 3])
 def test_leaks_against_all_windows(spark, block):
     rnd = random.Random(9)

@@ -9,7 +9,6 @@ one, consistently, is the same question with new parameters.
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -28,12 +27,12 @@ UNIT_WORDS = """mm cm m km metre metres meter meters kilometre kilometres kilome
 g kg gram grams kilogram kilograms tonne tonnes pound pounds litre litres liter liters second seconds minute minutes hour hours
 day days week weeks month months year years euro euros dollar dollars percent""".split()
 NAME, NUMBER, UNIT = 1, 2, 3  # templates' placeholders; literal words come after
-_SENTENCE_START = re.compile(r"(?:^|[.!?:;]\s+|\n\s*)[^\w\s]*(\w+)")
 
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """``window``: words that a match takes. A match with new parameters needs ``min_literals`` literal words."""
+    """``window``: words that a match takes. A match with new parameters needs ``min_literals`` words that are the same
+    on both sides, as literal words always are."""
 
     window: int = 12
     min_literals: int = 6
@@ -49,19 +48,19 @@ def _rolling(values: np.ndarray, window: int) -> np.ndarray:
     return key
 
 
+def common_words(passages: Iterator[str]) -> set[str]:
+    """Words that some passage writes without a capital."""
+    return {w for p in passages for w in cased_words(p) if w == w.lower()}
+
+
 class Passages:
-    """Templates of a block of passages, by window."""
+    """Templates of a block of passages, by window. ``common``: the common words of all passages, whatever the block."""
 
-    def __init__(self, items: list[tuple[object, str]], rules: TemplateRules) -> None:
-        self.rules, self.ids = rules, [i for i, _ in items]
+    def __init__(self, items: list[tuple[object, str]], rules: TemplateRules, common: set[str]) -> None:
+        self.rules, self.ids, self.common = rules, [i for i, _ in items], common
         cased = [cased_words(p) for _, p in items]
-        initial: set[str] = set()
-        for _, p in items:
-            initial.update(w for m in _SENTENCE_START.finditer(p) for w in cased_words(m[1])[:1])
-        lower = {w for ws in cased for w in ws if w == w.lower()}
-        upper = {w for ws in cased for w in ws if w[0].isupper()}
-        # A name is always written with a capital, and not only where a sentence begins.
-        self.names = {w.lower() for w in upper if w not in initial} - lower
+        # Names are always written with a capital. Words met only where sentences begin may be names, so they are too.
+        self.names = {w.lower() for ws in cased for w in ws if w[0].isupper()} - common
         self.lexicon: dict[str, int] = {}
         kinds = {w: NUMBER for w in NUMBER_WORDS} | {w: UNIT for w in UNIT_WORDS} | {w: NAME for w in self.names}
         for w in [*kinds, *(w.lower() for ws in cased for w in ws)]:
@@ -98,7 +97,7 @@ class Passages:
         lex = np.fromiter((get(x.lower(), 0) for x in flat), np.int64, total)
         template = self.template[lex]
         for i in np.flatnonzero(lex == 0).tolist():
-            if flat[i][0].isupper():
+            if flat[i][0].isupper() and flat[i].lower() not in self.common:
                 template[i] = NAME  # a capital that no passage has: it may stand where a passage has another name
         text = np.repeat(np.arange(len(texts)), sizes)
         broken = np.concatenate([[0], np.cumsum(template == 0)])
@@ -129,10 +128,12 @@ class Passages:
                 f[1] = max(f[1], length + w - 1)
         gaps: dict[int, list[tuple[str, ...]]] = {}
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        literal = self.template[self.lex] > UNIT
-        for i, q in zip(d[~verbatim].tolist(), p[~verbatim].tolist()):
-            if literal[q : q + w].sum() < self.rules.min_literals:
-                continue
+        other = np.flatnonzero(~verbatim)
+        same = np.zeros(len(other), np.int64)
+        for j in range(w):
+            same += lex[d[other] + j] == self.lex[p[other] + j]
+        other = other[same >= self.rules.min_literals]
+        for i, q in zip(d[other].tolist(), p[other].tolist()):
             t = int(text[i])
             if t not in gaps:
                 gaps[t] = numbers_before(texts[t])
@@ -177,8 +178,15 @@ def find_leaks(
     source = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     context = documents.sparkSession.sparkContext
 
+    def common_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(common_words(batch.column(0).to_pylist())), pa.string())], names=["w"])
+
+    # The vocabulary of all passages, so that names don't depend on how blocks are cut.
+    common = {r["w"] for r in held.select("p").mapInArrow(common_of, "w string").distinct().toLocalIterator()}
+
     def against(part: list[tuple[object, str]]) -> DataFrame:
-        carried = context.broadcast(pickle.dumps(Passages(part, rules)))
+        carried = context.broadcast(pickle.dumps(Passages(part, rules, common)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             passages = pickle.loads(carried.value)
