@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidegrid.llm import leakage, mixing, queries, repetition
-from tidegrid.llm.words import numbers_before, words
+from tidegrid.llm.words import numbers_before, tokens, words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -157,6 +157,29 @@ def test_names_at_sentence_starts(spark, block):
     assert {k: r.kind for k, r in found(spark, [(1, only.replace("Ulvano", "Peter"))], [(1, only), *items[1:]], block=block).items()} == {(1, 1): "reparameterised"}
 
 
+NUMERALS = [
+    ("the baker sold {} apples before noon and then walked {} streets to reach the old harbour", [("3", "950"), ("3.5", "1,200"), ("1/2", "½"), ("five", "12"), ("twenty-five", "one hundred and seven"), ("1\u202f200 000", "3 million"), ("a hundred", "2")]),
+    ("el panadero vende {} manzanas antes del alba y luego camina {} calles hasta llegar al puerto", [("tres", "950"), ("treinta y cinco", "dieciséis"), ("ciento un", "2,5")]),
+    ("le boulanger garde {} pommes avant midi et marche ensuite pendant {} rues vers le vieux port", [("trois", "950"), ("vingt et un", "quatre-vingt-dix"), ("mille", "1 200")]),
+    ("wir sahen dort {} boote vor dem alten hafen und liefen danach noch {} gassen bis zum ufer", [("drei", "950"), ("fünfundzwanzig", "zweitausenddreihundertelf"), ("hundert und ein", "7")]),
+]
+
+
+def test_whole_numerals(spark):
+    items = [(i, t.format(*values[0])) for i, (t, values) in enumerate(NUMERALS)]
+    docs = [(100 * i + k, t.format(*v)) for i, (t, values) in enumerate(NUMERALS) for k, v in enumerate(values[1:])]
+    got = found(spark, docs, items)
+    assert {k for k, r in got.items() if r.n_other} == {(d // 100, d) for d, _ in docs}
+    back = found(spark, items, docs)  # the other way round
+    assert {k for k, r in back.items() if r.n_other and k[0] // 100 == k[1]} == {(d, d // 100) for d, _ in docs}
+    t = NUMERALS[0][0]
+    one = found(spark, [(1, t.format("4.5", "4.5")), (2, t.format("4", "5"))], [(1, t.format("three", "three"))])
+    assert {k[1]: (r.kind, r.n_other) for k, r in one.items()} == {1: ("reparameterised", 6), 2: ("reparameterised", 2)}  # two windows hold one of the two numerals
+    same = found(spark, [(1, t.format("3", "950")), (2, t.replace("{} ", ""))], items[:1])
+    assert {k[1]: (r.kind, r.n_other) for k, r in same.items()} == {1: ("verbatim", 0), 2: ("verbatim", 0)}
+    assert tokens("a 1.200,50 b3c ½ don't 4.") == ["a", "1.200,50", "b", "3", "c", "1/2", "don", "t", "4"]
+
+
 @pytest.mark.parametrize("block", [20_000, 3])
 def test_leaks_against_all_windows(spark, block):
     rnd = random.Random(9)

@@ -9,23 +9,52 @@ one, consistently, is the same question with new parameters.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.words import cased_words, numbers_before
+from tidegrid.llm.words import cased_words, tokens
 
-#: Words for numbers, and for units.
+#: Words for numbers, and for units, in English, Spanish, French and German, without marks.
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen
-seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split()
+seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion
+cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciseis diecisiete dieciocho
+diecinueve veinte veintiun veintiuno veintiuna veintidos veintitres veinticuatro veinticinco veintiseis veintisiete veintiocho
+veintinueve treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos doscientas trescientos
+trescientas cuatrocientos cuatrocientas quinientos quinientas seiscientos seiscientas setecientos setecientas ochocientos
+ochocientas novecientos novecientas mil millon millones
+deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt vingts trente quarante cinquante
+soixante septante huitante octante nonante cent cents mille millions milliard milliards
+null eins elf zwolf hundert tausend millionen milliarde milliarden""".split()
 UNIT_WORDS = """mm cm m km metre metres meter meters kilometre kilometres kilometer kilometers mile miles foot feet inch inches
 g kg gram grams kilogram kilograms tonne tonnes pound pounds litre litres liter liters second seconds minute minutes hour hours
-day days week weeks month months year years euro euros dollar dollars percent""".split()
+day days week weeks month months year years euro euros dollar dollars percent
+metro metros kilometro kilometros milla millas pulgada pulgadas gramo gramos kilogramo kilogramos kilo kilos tonelada toneladas
+libra libras litro litros segundo segundos minuto minutos hora horas dia dias semana semanas mes meses ano anos dolar dolares
+gramme grammes kilogramme kilogrammes livre livres pouce pouces seconde secondes heure heures jour jours semaine semaines mois
+an ans annee annees
+meile meilen gramm kilogramm tonnen pfund sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate
+monaten jahr jahre jahren prozent""".split()
+#: What links number words to one numeral: the link's number, and the words after which it does.
+LINKS = {
+    "and": (1, "hundred thousand million billion trillion"), "y": (2, "treinta cuarenta cincuenta sesenta setenta ochenta noventa"),
+    "et": (3, "vingt trente quarante cinquante soixante"), "und": (4, "hundert tausend million millionen"),
+}
+#: Articles are words of their own, but before a multiplier, or after a number that one can be added to.
+ARTICLES = "a un una une ein eine".split()
+MULTIPLIERS = "hundred thousand million billion trillion mil millon milliard milliarde hundert tausend".split()
+BEFORE_ONE = "ciento mil cent mille vingt vingts hundert tausend".split()
+_ONES = "(?:ein|eins|eine|zwei|drei|vier|funf|sechs|sieben|acht|neun)"
+_GERMAN_TENS = "(?:zwanzig|drei(?:ss|\u00df)ig|vierzig|funfzig|sechzig|siebzig|achtzig|neunzig)"
+_GERMAN_SMALL = f"(?:(?:{_ONES}und)?{_GERMAN_TENS}|(?:drei|vier|funf|sech|sieb|acht|neun)?zehn|elf|zwolf|{_ONES})"
+_GERMAN_HUNDREDS = f"(?:{_ONES}?hundert(?:und)?{_GERMAN_SMALL}?|{_GERMAN_SMALL})"
+_GERMAN = re.compile(f"(?:{_GERMAN_HUNDREDS}?tausend(?:und)?)?{_GERMAN_HUNDREDS}?")
 NAME, NUMBER, UNIT = 1, 2, 3  # templates' placeholders; literal words come after
 
 
@@ -38,14 +67,70 @@ class TemplateRules:
     min_literals: int = 6
 
 
-def _rolling(values: np.ndarray, window: int) -> np.ndarray:
-    n = len(values) - window + 1
-    key = np.zeros(max(n, 0), np.uint64)
+_NUMBERS = frozenset(NUMBER_WORDS)
+
+
+@lru_cache(1 << 16)
+def number_word(word: str) -> bool:
+    """Whether a lower-cased word stands for a number, as German ones of any length do."""
+    return word in _NUMBERS or (word not in ARTICLES and bool(word) and _GERMAN.fullmatch(word) is not None)
+
+
+def _rolling(values: np.ndarray, windows: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of all windows of each of the given lengths, which rise."""
+    key = np.zeros(len(values) + 1, np.uint64)
     v = values.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
     v ^= v >> np.uint64(29)
-    for j in range(window if n > 0 else 0):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + v[j : j + n]
-    return key
+    j = 0
+    for window in windows:
+        if len(values) < window:
+            return
+        for j in range(j, window):
+            n = len(values) - j
+            key = key[:n] * np.uint64(0x9E3779B97F4A7C15) + v[j:]
+        j = window
+        yield window, key ^ np.uint64(window * 0xD6E8FEB86659FD93 % 2**64)
+
+
+class _Index:
+    """Places of windows by their hashes."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.at = at[order]
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.last = np.append(self.first[1:], len(self.at))
+        # A filter in front of the search: most windows of most documents match nothing.
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def meet(self, keys: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (own place, place of a window with the same hash)."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.flatnonzero(whole & self.sieve[(keys >> np.uint64(44)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        hit = self.keys[k] == keys[at]
+        at, k = at[hit], k[hit]
+        n = self.last[k] - self.first[k]
+        return np.repeat(at, n), self.at[np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+@dataclass
+class _Texts:
+    """Texts as words (``word_*``) and as templates, in which a numeral is one position."""
+
+    flat: list[str]
+    word_lex: np.ndarray
+    word_text: np.ndarray
+    template: np.ndarray
+    text: np.ndarray
+    value: np.ndarray  # of words, their lexicon number
+    words: np.ndarray  # words in each position, which digits aren't
+    first: np.ndarray  # in ``flat``; the last is the end
+
+    def said(self, i: int) -> str:
+        return " ".join(self.flat[self.first[i] : self.first[i + 1]]).lower()
 
 
 def common_words(passages: Iterator[str]) -> set[str]:
@@ -62,101 +147,128 @@ class Passages:
         # Names are always written with a capital. Words met only where sentences begin may be names, so they are too.
         self.names = {w.lower() for ws in cased for w in ws if w[0].isupper()} - common
         self.lexicon: dict[str, int] = {}
-        kinds = {w: NUMBER for w in NUMBER_WORDS} | {w: UNIT for w in UNIT_WORDS} | {w: NAME for w in self.names}
-        for w in [*kinds, *(w.lower() for ws in cased for w in ws)]:
+        all_words = {w.lower(): None for ws in cased for w in ws}
+        kinds = {w: NAME for w in self.names} | {w: NUMBER for w in [*NUMBER_WORDS, *all_words] if number_word(w)} | {w: UNIT for w in UNIT_WORDS}
+        for w in [*kinds, *LINKS, *ARTICLES, *all_words]:
             self.lexicon.setdefault(w, len(self.lexicon) + 1)
-        self.template = np.zeros(len(self.lexicon) + 1, np.int64)  # by lexicon number; 0: in no passage
+        n = len(self.lexicon) + 1
+        self.template = np.zeros(n, np.int64)  # by lexicon number; 0: in no passage
         for w, i in self.lexicon.items():
             self.template[i] = kinds.get(w, i + UNIT)
-        self.lex = np.array([self.lexicon[w.lower()] for ws in cased for w in ws], np.int64)
-        self.numbers = [g for _, p in items for g in numbers_before(p)]
-        self.words = [w.lower() for ws in cased for w in ws]
-        sizes = np.array([len(ws) for ws in cased], np.int64)
-        self.item = np.repeat(np.arange(len(items)), sizes)
-        n = len(self.lex) - rules.window + 1
-        keys = _rolling(self.template[self.lex], rules.window)
-        at = np.flatnonzero(self.item[: max(n, 0)] == self.item[rules.window - 1 :]) if n > 0 else np.empty(0, np.int64)
-        order = np.argsort(keys[at], kind="stable")
-        self.at = at[order]
-        self.keys, self.first = np.unique(keys[self.at], return_index=True)
-        self.last = np.append(self.first[1:], len(self.at))
-        # A filter in front of the search: most windows of most documents match nothing.
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        known = lambda ws: np.isin(np.arange(n), [self.lexicon[w] for w in ws])
+        self.article, self.multiplier, self.before_one = known(ARTICLES), known(MULTIPLIERS), known(BEFORE_ONE)
+        self.link, self.opens = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for w, (k, after) in LINKS.items():
+            self.link[self.lexicon[w]] = k
+            self.opens[known(after.split())] |= 1 << k
+        own = self.own = self._texts([p for _, p in items])
+        w = rules.window
+        at = np.arange(max(0, len(own.word_lex) - w + 1))
+        at = at[own.word_text[at] == own.word_text[at + w - 1]]
+        keys = dict(_rolling(own.word_lex, [w])).get(w, np.empty(0, np.uint64))
+        self.verbatim = _Index(keys[at], at)
+        # Windows of the template hold as many words of the passage, however many positions these are.
+        self.numerals: dict[str, int] = {}
+        for i in np.flatnonzero(own.template == NUMBER).tolist():
+            own.value[i] = self.numerals.setdefault(own.said(i), -2 - len(self.numerals))
+        sums = np.concatenate([[0], np.cumsum(own.words)])
+        at = np.flatnonzero(own.words)
+        end = np.searchsorted(sums, sums[at] + w)
+        fine = end < len(sums)
+        at, end = at[fine], end[fine]
+        fine = own.text[at] == own.text[end - 1]
+        at, size = at[fine], (end - at)[fine]
+        self.others = {n: _Index(keys[at[size == n]], at[size == n]) for n, keys in _rolling(own.template, np.unique(size).tolist())}
+
+    def _texts(self, texts: list[str]) -> _Texts:
+        parts = [tokens(t) for t in texts]
+        flat = [x for ws in parts for x in ws]
+        get = self.lexicon.get
+        lex = np.fromiter((get(x.lower(), 0) for x in flat), np.int64, len(flat))
+        text = np.repeat(np.arange(len(texts)), np.array([len(ws) for ws in parts], np.int64))
+        template = self.template[lex]
+        digits = np.zeros(len(flat), bool)
+        for i in np.flatnonzero(lex == 0).tolist():
+            x = flat[i]
+            if x[0] in "0123456789":
+                digits[i] = True
+            elif number_word(x.lower()):
+                template[i] = NUMBER
+            elif x[0].isupper() and x.lower() not in self.common:
+                template[i] = NAME  # a capital that no passage has: it may stand where a passage has another name
+        number = digits | (template == NUMBER)
+
+        def beside(values: np.ndarray, by: int) -> np.ndarray:
+            """The values ``by`` places on, nothing beyond a text's bounds."""
+            out = np.zeros_like(values)
+            here, there = (slice(None, -by), slice(by, None)) if by > 0 else (slice(-by, None), slice(None, by))
+            out[here] = np.where(text[here] == text[there], values[there], 0)
+            return out
+
+        before, after = beside(lex, -1), beside(lex, 1)
+        link = self.link[lex]
+        linked = (link > 0) & (self.opens[before] >> link & 1 > 0) & ((beside(number, 1) & ~self.multiplier[beside(lex, 2)]) | ((link > 1) & self.article[after]))
+        number |= linked | (self.article[lex] & (self.before_one[before] | self.multiplier[after] | beside(linked, -1)))
+        first = np.flatnonzero(~(number & beside(number, -1)))
+        template[number] = NUMBER
+        value = np.where(number, -1, lex)
+        counted = np.concatenate([[0], np.cumsum(~digits)])
+        ends = np.append(first, len(flat))
+        return _Texts(flat, lex[~digits], text[~digits], template[first], text[first], value[first], np.diff(counted[ends]), ends)
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """Per text and passage: (text, passage, verbatim windows, words of the longest verbatim run, windows with
         other parameters)."""
-        w, get = self.rules.window, self.lexicon.get
-        cased = [cased_words(t) for t in texts]
-        sizes = np.array([len(ws) for ws in cased], np.int64)
-        total = int(sizes.sum())
-        if total < w or not len(self.keys):
+        w, own, found = self.rules.window, self.own, {}
+        if not len(self.verbatim.at):
             return []
-        flat = [x for ws in cased for x in ws]
-        lex = np.fromiter((get(x.lower(), 0) for x in flat), np.int64, total)
-        template = self.template[lex]
-        for i in np.flatnonzero(lex == 0).tolist():
-            if flat[i][0].isupper() and flat[i].lower() not in self.common:
-                template[i] = NAME  # a capital that no passage has: it may stand where a passage has another name
-        text = np.repeat(np.arange(len(texts)), sizes)
-        broken = np.concatenate([[0], np.cumsum(template == 0)])
-        whole = (broken[w:] == broken[:-w]) & (text[: total - w + 1] == text[w - 1 :])
-        keys = _rolling(template, w)
-        at = np.flatnonzero(whole & self.sieve[(keys >> np.uint64(44)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-        hit = self.keys[k] == keys[at]
-        at, k = at[hit], k[hit]
-        n = self.last[k] - self.first[k]
-        d = np.repeat(at, n)
-        p = self.at[np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(n) else np.empty(0, np.int64)
-        alike, verbatim = np.ones(len(d), bool), np.ones(len(d), bool)
-        for j in range(w):
-            alike &= template[d + j] == self.template[self.lex[p + j]]
-            verbatim &= lex[d + j] == self.lex[p + j]
-        d, p, verbatim = d[alike], p[alike], verbatim[alike]
-        found: dict[tuple[int, int], list[int]] = {}
-        vd, vp = d[verbatim], p[verbatim]
-        order = np.lexsort((vd, vd - vp, self.item[vp], text[vd]))
-        vd, vp = vd[order], vp[order]
-        if len(vd):
-            fresh = np.concatenate([[True], (np.diff(vd) != 1) | (np.diff(vp) != 1)])
-            runs = np.diff(np.append(np.flatnonzero(fresh), len(vd)))
-            for i, length in zip(np.flatnonzero(fresh).tolist(), runs.tolist()):
-                f = found.setdefault((int(text[vd[i]]), int(self.item[vp[i]])), [0, 0, 0])
-                f[0] += length
-                f[1] = max(f[1], length + w - 1)
-        gaps: dict[int, list[tuple[str, ...]]] = {}
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        other = np.flatnonzero(~verbatim)
-        same = np.zeros(len(other), np.int64)
-        for j in range(w):
-            same += lex[d[other] + j] == self.lex[p[other] + j]
-        other = other[same >= self.rules.min_literals]
-        for i, q in zip(d[other].tolist(), p[other].tolist()):
-            t = int(text[i])
-            if t not in gaps:
-                gaps[t] = numbers_before(texts[t])
-            o = i - int(starts[t])
-            own = [x.lower() for x in flat[i : i + w]]
-            if self._consistent(q, own, gaps[t][o : o + w]):
-                found.setdefault((t, int(self.item[q])), [0, 0, 0])[2] += 1
-        return [(t, i, *f) for (t, i), f in found.items()]
-
-    def _consistent(self, q: int, own: list[str], own_numbers: list[tuple[str, ...]]) -> bool:
+        t = self._texts(texts)
+
+        def whole(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+            broken = np.concatenate([[0], np.cumsum(values == 0)])
+            return (broken[n:] == broken[:-n]) & (text[: len(values) - n + 1] == text[n - 1 :])
+
+        for _, keys in _rolling(t.word_lex, [w]):
+            vd, vp = self.verbatim.meet(keys, whole(t.word_lex, t.word_text, w))
+            alike = np.ones(len(vd), bool)
+            for j in range(w):
+                alike &= t.word_lex[vd + j] == own.word_lex[vp + j]
+            vd, vp = vd[alike], vp[alike]
+            order = np.lexsort((vd, vd - vp, own.word_text[vp], t.word_text[vd]))
+            vd, vp = vd[order], vp[order]
+            if len(vd):
+                fresh = np.concatenate([[True], (np.diff(vd) != 1) | (np.diff(vp) != 1)])
+                runs = np.diff(np.append(np.flatnonzero(fresh), len(vd)))
+                for i, length in zip(np.flatnonzero(fresh).tolist(), runs.tolist()):
+                    f = found.setdefault((int(t.word_text[vd[i]]), int(own.word_text[vp[i]])), [0, 0, 0])
+                    f[0] += length
+                    f[1] = max(f[1], length + w - 1)
+        for n, keys in _rolling(t.template, list(self.others)):
+            d, p = self.others[n].meet(keys, whole(t.template, t.text, n))
+            alike = np.ones(len(d), bool)
+            for j in range(n):
+                alike &= t.template[d + j] == own.template[p + j]
+            d, p = d[alike], p[alike]
+            steps = np.arange(n)
+            for a in range(0, len(d), 100_000):
+                di, pi = d[a : a + 100_000, None] + steps, p[a : a + 100_000, None] + steps
+                for i in np.unique(di[own.template[pi] == NUMBER]).tolist():
+                    t.value[i] = self.numerals.get(t.said(i), -1)
+                same = t.value[di] == own.value[pi]
+                fine = ~same.all(axis=1) & ((same * own.words[pi]).sum(axis=1) >= self.rules.min_literals)
+                for i, q in zip(d[a : a + 100_000][fine].tolist(), p[a : a + 100_000][fine].tolist()):
+                    if self._consistent(t, i, q, n):
+                        found.setdefault((int(t.text[i]), int(own.text[q])), [0, 0, 0])[2] += 1
+        return [(i, k, *f) for (i, k), f in found.items()]
+
+    def _consistent(self, t: _Texts, i: int, q: int, n: int) -> bool:
         """Whether one value of the passage always has one value in the text, and the other way round."""
         forth: dict[str, str] = {}
         back: dict[str, str] = {}
-
-        def pair(a: str, b: str) -> bool:
-            return forth.setdefault(a, b) == b and back.setdefault(b, a) == a
-
-        for j, b in enumerate(own):
-            if self.template[self.lex[q + j]] <= UNIT and not pair(self.words[q + j], b):
-                return False
-            if j:  # numbers in digits stand between words
-                here, there = self.numbers[q + j], own_numbers[j]
-                if len(here) != len(there) or not all(pair(x, y) for x, y in zip(here, there)):
+        for j in range(n):
+            if self.own.template[q + j] <= UNIT:
+                a, b = self.own.said(q + j), t.said(i + j)
+                if forth.setdefault(a, b) != b or back.setdefault(b, a) != a:
                     return False
         return True
 
