@@ -56,3 +56,16 @@ def test_frame(spark, carried, monkeypatch):
     for a, b in ((points.limit(0), sites), (points, sites.limit(0))):
         assert P.near_points(a, b, 0.05, "event_id", "site_id", max_carried=carried).count() == 0
     assert P.points_in_regions(points, frame.limit(0), "event_id", "zone_id", max_carried=carried).count() == 0
+
+
+@pytest.mark.parametrize("carried", [10**6, 0])
+def test_vertices_without_numbers(spark, carried):
+    rnd = random.Random(5)
+    rows = [(i, rnd.uniform(-0.1, 0.5), rnd.uniform(-0.1, 0.5)) for i in range(200)]
+    points = spark.createDataFrame(rows, "event_id bigint, x double, y double")
+    inf = float("inf")
+    zones = [(1, [ring([*SQUARE, (0.2, NAN)])]), (2, [ring([(0.2, -inf), *SQUARE])]), (3, [ring(SQUARE), ring([(0.2, NAN), *HOLE])]), (4, [ring([(inf, 9.0), (NAN, -9.0), *SQUARE])]), (5, [ring([(NAN, NAN)] * 4)]), (6, [ring([*SQUARE, (None, 0.1)]) + [None]])]
+    frame = spark.createDataFrame(zones, "zone_id bigint, rings array<array<struct<x:double,y:double>>>")
+    got = sorted((r.zone_id, r.event_id) for r in P.points_in_regions(points, frame, "event_id", "zone_id", max_carried=carried).collect())
+    inside = [r for r in rows if 0 <= r[1] <= 0.4 and 0 <= r[2] <= 0.4]
+    assert got == sorted((z, r[0]) for z in (1, 2, 3, 4, 6) for r in inside if z != 3 or not (0.1 < r[1] < 0.3 and 0.1 < r[2] < 0.3))

@@ -257,7 +257,8 @@ def _shuffled(p: DataFrame, t: DataFrame, make: Callable, target_id: str, point_
     # One row per strip of latitude that has points and targets: on a globe 180 / height at most, whatever the data's size.
     parts = lambda df, most, name: df.groupBy("strip").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name))
     if "rings" in t.columns:
-        ys = F.transform(F.flatten(F.filter("rings", lambda r: r.isNotNull())), lambda q: q["y"])
+        vertices = F.flatten(F.filter("rings", lambda r: r.isNotNull()))
+        ys = F.transform(F.filter(vertices, lambda q: finite(q["x"]) & finite(q["y"])), lambda q: q["y"])  # as in _to_rings
         low, high = F.array_min(ys), F.array_max(ys)
     else:
         low, high = F.col("y") - F.lit(reach), F.col("y") + F.lit(reach)
