@@ -180,6 +180,20 @@ def test_whole_numerals(spark):
     assert tokens("a 1.200,50 b3c ½ don't 4.") == ["a", "1.200,50", "b", "3", "c", "1/2", "don", "t", "4"]
 
 
+def test_lists_of_slots(spark):
+    names = ["Torzel", "Brahul", "Hulbra", "Fenjo", "Pelgar", "Urmolis"]
+    kinds = ["apples", "pears", "plums", "figs", "nuts", "beans"]
+    numbers = ["three", "five", "seven", "nine", "eleven", "thirteen"]
+    table = lambda ns, vs, unit: " ".join(f"{n} {v} {unit} {k}" for n, v, k in zip(ns, vs, kinds))
+    roster = " ".join(f"{a}{b}" for a in names for b in ("or", "an", "il"))
+    items = [(1, table(names, numbers, "kg")), (2, roster)]
+    others = ["Quator", "Osmel", "Lisfen", "Stawen", "Wenven", "Droick"]
+    docs = [(1, table(others, range(20, 26), "pounds")), (2, table([*others[:3], others[2], *others[3:5]], range(20, 26), "pounds")), (3, roster.replace("l", "m"))]
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1)} and got[1, 1].n_other == 13 and got[1, 1].kind == "reparameterised"  # three to four of twelve words are literal
+    assert found(spark, [(1, table(others[:4], range(20, 24), "pounds"))], items) == {}  # four words are the same
+
+
 @pytest.mark.parametrize("block", [20_000, 3])
 def test_leaks_against_all_windows(spark, block):
     rnd = random.Random(9)

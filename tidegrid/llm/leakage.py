@@ -61,7 +61,7 @@ NAME, NUMBER, UNIT = 1, 2, 3  # templates' placeholders; literal words come afte
 @dataclass(frozen=True)
 class TemplateRules:
     """``window``: words that a match takes. A match with new parameters needs ``min_literals`` words that are the same
-    on both sides, as literal words always are."""
+    on both sides, as literal words always are, in one window or in a run of consecutive consistent windows."""
 
     window: int = 12
     min_literals: int = 6
@@ -243,24 +243,63 @@ class Passages:
                     f = found.setdefault((int(t.word_text[vd[i]]), int(own.word_text[vp[i]])), [0, 0, 0])
                     f[0] += length
                     f[1] = max(f[1], length + w - 1)
+        met = []
         for n, keys in _rolling(t.template, list(self.others)):
             d, p = self.others[n].meet(keys, whole(t.template, t.text, n))
             alike = np.ones(len(d), bool)
             for j in range(n):
                 alike &= t.template[d + j] == own.template[p + j]
             d, p = d[alike], p[alike]
+            same, changed = np.zeros(len(d), np.int64), np.zeros(len(d), bool)
             steps = np.arange(n)
             for a in range(0, len(d), 100_000):
-                di, pi = d[a : a + 100_000, None] + steps, p[a : a + 100_000, None] + steps
+                z = a + 100_000
+                di, pi = d[a:z, None] + steps, p[a:z, None] + steps
                 for i in np.unique(di[own.template[pi] == NUMBER]).tolist():
                     t.value[i] = self.numerals.get(t.said(i), -1)
-                same = t.value[di] == own.value[pi]
-                fine = ~same.all(axis=1) & ((same * own.words[pi]).sum(axis=1) >= self.rules.min_literals)
-                for i, q in zip(d[a : a + 100_000][fine].tolist(), p[a : a + 100_000][fine].tolist()):
-                    if self._consistent(t, i, q, n):
-                        found.setdefault((int(t.text[i]), int(own.text[q])), [0, 0, 0])[2] += 1
+                equal = t.value[di] == own.value[pi]
+                same[a:z], changed[a:z] = (equal * own.words[pi]).sum(axis=1), ~equal.all(axis=1)
+            met.append((d, p, np.full(len(d), n), same, changed))
+        if met:
+            for i, q in self._others(t, *(np.concatenate(c) for c in zip(*met))):
+                found.setdefault((int(t.text[i]), int(own.text[q])), [0, 0, 0])[2] += 1
         return [(i, k, *f) for (i, k), f in found.items()]
 
+    def _others(self, t: _Texts, d: np.ndarray, p: np.ndarray, n: np.ndarray, same: np.ndarray, changed: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Those of the windows at (``d``, ``p``), whose templates are alike, that match with other parameters. ``same``:
+        words that are equal; ``changed``: whether something isn't."""
+        if not changed.any():
+            return
+        own, least = self.own, self.rules.min_literals
+        order = np.lexsort((d, d - p, own.text[p], t.text[d]))
+        d, p, n, same, changed = d[order], p[order], n[order], same[order], changed[order]
+        step = np.diff(p)  # windows don't start at digits
+        next_one = (step == 1) | ((step == 2) & (own.words[np.minimum(p[:-1] + 1, len(own.words) - 1)] == 0))
+        next_one &= (np.diff(d) == step) & (np.diff(t.text[d]) == 0) & (np.diff(own.text[p]) == 0)
+        fresh = np.concatenate([[True], ~next_one])
+        starts = np.flatnonzero(fresh)
+        enough = np.repeat(np.add.reduceat(same, starts) >= least, np.diff(np.append(starts, len(d))))  # else no run in it has as many
+        run: list[tuple[int, int, int, bool, bool]] = []
+
+        def kept() -> Iterator[tuple[int, int]]:
+            if not run:
+                return
+            whole = all(strong for *_, strong, _ in run)
+            if not whole:
+                (i, q, *_), end = run[0], max(q + n for _, q, n, *_ in run)
+                whole = int(((t.value[i : i + end - q] == own.value[q:end]) * own.words[q:end]).sum()) >= least
+            yield from ((i, q) for i, q, _, strong, other in run if other and (strong or whole))
+
+        at = np.flatnonzero(enough)
+        for i, q, size, s, other, new in zip(*(c[at].tolist() for c in (d, p, n, same, changed, fresh))):
+            fine = not other or self._consistent(t, i, q, size)
+            if new or not fine:
+                yield from kept()
+                run = []
+            if fine:
+                run.append((i, q, size, s >= least, other))
+        yield from kept()
+
     def _consistent(self, t: _Texts, i: int, q: int, n: int) -> bool:
         """Whether one value of the passage always has one value in the text, and the other way round."""
         forth: dict[str, str] = {}
