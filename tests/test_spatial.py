@@ -190,3 +190,12 @@ def test_query_shapes(spark):
     assert cells.in_cells(zone, copies.select("cx", "cy"), GRID, "pg").count() == 1
     with pytest.raises(Exception, match="control"):
         cells.stop_on_control(spark.createDataFrame([("control",)], "kind string"), "kind").collect()
+
+
+def test_knn_of_several_shapes(spark):
+    pts = spark.createDataFrame([("a", 0, 0.1, 0.1), ("b", 0, 0.9, 0.9)], "oid string, ts_ms bigint, x double, y double")
+    places = spark.createDataFrame([(0.1, 0.1), (0.9, 0.9)], "x double, y double")
+    with pytest.raises(ValueError):
+        spatial.knn_query(pts, places, 0.4, 3, GRID)
+    assert [r.oid for r in spatial.knn_query(pts, places.where("x < 0.5"), 0.4, 3, GRID).collect()] == ["a"]
+    assert spatial.knn_query(pts, places.limit(0), 0.4, 3, GRID).count() == 0

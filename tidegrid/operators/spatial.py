@@ -122,7 +122,7 @@ def _sized(queries: DataFrame) -> DataFrame:
 
 
 def knn_query(objects: DataFrame, query: DataFrame, r: float, k: int, grid: Grid | None, kind: str = "pt", query_kind: str = "pt", windows: Windows | None = None, approximate: bool = False) -> DataFrame:
-    """The ``k`` nearest distinct oids within ``r`` of one query shape (the one row of ``query``), per window: window,
+    """The ``k`` nearest distinct oids within ``r`` of one query shape (the one row of ``query``; more are an error), per window: window,
     rank, oid, dist. An oid's distance is that of its nearest row; ties are ranked by oid. Null oids don't take part.
 
     Rows shrink to one per window and oid before they move, then to ``k`` per window. Streams give one row per window
@@ -131,6 +131,8 @@ def knn_query(objects: DataFrame, query: DataFrame, r: float, k: int, grid: Grid
     _check(kind, query_kind, r)
     if k < 1:
         raise ValueError("k is 1 or more")
+    if not query.isStreaming and query.limit(2).count() > 1:
+        raise ValueError("query is one shape")
     left = G.with_shape(_even(objects.where(F.col("oid").isNotNull()), kind, query_kind), kind)
     right = _prefixed(G.with_shape(query.select(*{"x", "y", "rings", "path", "paths"}.intersection(query.columns)), query_kind).drop("rings", "path", "paths"))
     _, dist = within(kind, query_kind, r, approximate)
@@ -140,7 +142,7 @@ def knn_query(objects: DataFrame, query: DataFrame, r: float, k: int, grid: Grid
         apart = [F.greatest(own[f"lo_{a}"], near[f"lo_{a}"]) <= F.least(own[f"hi_{a}"], near[f"hi_{a}"]) for a in "xy"]
         fits = apart[0] & apart[1] & fits
     # One query shape: the join carries a single row to all objects.
-    hits = left.join(F.broadcast(right.limit(1) if not right.isStreaming else right), fits)
+    hits = left.join(F.broadcast(right), fits)
     hits = hits.select("oid", "ts_ms", dist.alias("dist"))
     hits = assign(hits, windows) if windows else hits
     by = window_columns(hits) if windows else []
