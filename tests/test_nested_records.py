@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,3 +79,31 @@ def test_long_record(spark):
     text = json.dumps({"value": {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": line}] * 3}})
     shredded = N.shred(spark.createDataFrame([(1, text)], "record_id bigint, record_json string"))
     assert shredded.count() == 6 and {(r.entity, r.n_occurrences) for r in N.objects(shredded).collect()} == {("feature", 3), ("geometry", 3)}
+
+
+def test_records_of_any_depth_and_length():
+    deep = 20_000
+    nested = "[" * deep + "1" + "]" * deep
+    record = '{"value":{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[1,2]]]},"properties":{"a":%s}}}'
+    assert [r[:2] for r in N.occurrences(record % nested)] == [r[:2] for r in N.occurrences(record % "1")] != []
+    assert N.occurrences(record % nested)[0][-1].count("[") == deep + 1  # and the list of children
+    assert N.occurrences(record % nested[:-1]) == []
+    for levels in (9_980, 9_990, 9_998, 10_000, 10_010):  # about the parser's own limit
+        assert len(N.occurrences(record % ("[" * levels + "]" * levels))) == 3
+    collections = 6_000
+    shape = '{"type":"GeometryCollection","geometries":[' * collections + '{"type":"Point","coordinates":[1,2]}' + "]}" * collections
+    assert len(N.occurrences('{"value":%s}' % shape)) == collections + 2
+    long = "9" * 5_000
+    assert long in N.occurrences(record % long)[0][-1] and N.occurrences(record % long)[0][4] != N.occurrences(record % f'"{long}"')[0][4]
+    assert N.occurrences(record % "NaN") == N.occurrences(record % ("0" + long)) == []
+
+
+@pytest.mark.parametrize("text", ['{"b": [1, -2.5e3, "x\\u00e9", {}], "a": {"c": null, "d": [true, false, []]}, "a": 2}', "[]", " 1 ", '"x"', "", "[1,]", "{,}", '{"a" 1}', "[1 2]", "01", "[", '{"a":1', "1 2", "nul", "﻿1", '{"a":"\n"}', "-", "1.", "[1}", "-Infinity"])
+def test_own_parser(text):
+    try:
+        want = json.loads(text, parse_constant=N._no_constant)
+    except ValueError:
+        with pytest.raises(ValueError):
+            N._loads(text)
+    else:
+        assert N._loads(text) == want and N._dumps(want) == N.canonical(want)

@@ -8,8 +8,11 @@ identity, its path and its ordinal.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+import sys
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,13 +33,124 @@ def parse_json(text: str | None) -> object:
         return None
     try:
         return json.loads(text, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+    except (ValueError, RecursionError) as error:
+        if isinstance(error, json.JSONDecodeError):
+            return None
+    try:  # nested too deep for that parser, or a number too long, or a constant
+        return _unlimited(_loads, text)
+    except ValueError:
         return None
 
 
 def canonical(value: object) -> str:
     """One text for all spellings of a value: keys sorted, no blanks."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    try:
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return _unlimited(_dumps, value)
+
+
+def _unlimited(work: Callable, value: object) -> object:
+    """Work with integers of any length."""
+    limit = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    try:
+        return work(value)
+    finally:
+        sys.set_int_max_str_digits(limit)
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_WORD = re.compile("null|true|false")
+_WORDS = {"null": None, "true": True, "false": False}
+
+
+def _loads(text: str) -> object:
+    """``json.loads`` for any depth."""
+
+    def skip(i: int) -> int:
+        return _BLANK.match(text, i).end()
+
+    def named(i: int) -> tuple[str, int]:
+        i = skip(i)
+        if text[i : i + 1] != '"':
+            raise ValueError("name")
+        name, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("colon")
+        return name, i + 1
+
+    top: list = []
+    path: list[tuple[dict | list, str | None]] = [(top, None)]  # what is open, and the name of the value to come
+    i = 0
+    while True:
+        i = skip(i)
+        c = text[i : i + 1]
+        inner = None
+        if c in ("{", "["):
+            value: object = {} if c == "{" else []
+            inner, i = value, skip(i + 1)
+            if text[i : i + 1] == ("}" if c == "{" else "]"):
+                inner, i = None, i + 1
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        elif m := _NUMBER.match(text, i):
+            value, i = float(m[0]) if m[1] or m[2] else int(m[0]), m.end()
+        elif m := _WORD.match(text, i):
+            value, i = _WORDS[m[0]], m.end()
+        else:
+            raise ValueError("value")
+        box, name = path[-1]
+        if isinstance(box, dict):
+            box[name] = value
+        else:
+            box.append(value)
+        if inner is not None:
+            name, i = named(i) if c == "{" else (None, i)
+            path.append((inner, name))
+            continue
+        while True:  # after a value
+            i = skip(i)
+            box, c = path[-1][0], text[i : i + 1]
+            if box is top:
+                if c:
+                    raise ValueError("more")
+                return top[0]
+            i += 1
+            if c == ",":
+                name, i = named(i) if isinstance(box, dict) else (None, i)
+                path[-1] = (box, name)
+                break
+            if c != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError("end")
+            path.pop()
+
+
+def _dumps(value: object) -> str:
+    """``canonical`` for any depth."""
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, value)]
+    while todo:
+        plain, v = todo.pop()
+        if plain:
+            out.append(v)
+        elif isinstance(v, dict):
+            out.append("{")
+            todo.append((True, "}"))
+            for k, name in reversed(list(enumerate(sorted(v)))):
+                todo.append((False, v[name]))
+                todo.append((True, "," * (k > 0) + json.dumps(name, ensure_ascii=False) + ":"))
+        elif isinstance(v, list):
+            out.append("[")
+            todo.append((True, "]"))
+            for k, member in reversed(list(enumerate(v))):
+                todo.append((False, member))
+                todo.append((True, "," * (k > 0)))
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
 
 
 def identity(entity: str, content: str) -> str:
