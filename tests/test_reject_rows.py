@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators import reject_rows as R
 
 
-def sequential(line, delimiter, n, attrs):
+def sequential(line, delimiter, n, attrs, dated=False):
     """The rules, one character after the other."""
     d, s = delimiter.decode(), line.decode().removesuffix("\r")
     fields, i = [], 0
@@ -50,8 +50,8 @@ def sequential(line, delimiter, n, attrs):
     oid, time, x, y = (fields[a] for a in attrs)
     if not oid.strip():
         return "oid"
-    if re.fullmatch("[0-9]{13}", time):
-        fine = 946684800000 <= int(time) < 4102444800000
+    if not dated:
+        fine = re.fullmatch("[0-9]{13}", time) is not None and 946684800000 <= int(time) < 4102444800000
     else:
         fine = re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}", time) is not None
         try:
@@ -78,16 +78,21 @@ def test_random_lines(delimiter):
 
 def test_values():
     attrs = [0, 1, 2, 3]
-    cases = {
-        "a,1704381609414,1,2": None, "a,2024-02-29 23:59:59,+1.5e1,-.5": None, "a,2023-02-29 00:00:00,1,2": "timestamp", "a,2024-01-01 24:00:00,1,2": "timestamp",
-        "a,2024-01-01T00:00:00,1,2": "timestamp", "a,0946684800000,1,2": None, "a,4102444800000,1,2": "timestamp", "a,1704381609414,180.1,2": "coordinate",
-        "a,1704381609414,180,-90": None, "a,1704381609414,NaN,2": "coordinate", "a,1704381609414,0x7,2": "coordinate", '" ",1704381609414,1,2': "oid", "a,1704381609414,1": "column_count",
-        '"a"x,1704381609414,1,2': "quoting", '"a,1704381609414,1,2': "quoting", '"a""b",1704381609414, 1 ,"2"\r': None, "": "column_count", "a,1704381609414,1_6,2": "coordinate",
-        "a,1969-12-31 23:59:59,1,2": None,
+    epoch = {
+        "a,1704381609414,1,2": None, "a,0946684800000,1,2": None, "a,4102444800000,1,2": "timestamp", "a,1704381609414,180.1,2": "coordinate", "a,2024-02-29 23:59:59,1,2": "timestamp",
+        "a,1704381609414,+1.5e1,-.5": None, "a,1704381609414,180,-90": None, "a,1704381609414,NaN,2": "coordinate", "a,1704381609414,0x7,2": "coordinate", '" ",1704381609414,1,2': "oid", "a,1704381609414,1": "column_count",
+        '"a"x,1704381609414,1,2': "quoting", '"a,1704381609414,1,2': "quoting", '"a""b",1704381609414, 1 ,"2"\r': None, "": "column_count", "a,1704381609414,1_6,2": "coordinate", "\u2003,1704381609414,1,2": "oid",
     }
-    lines = [k.encode() for k in cases]
-    assert list(R.check_lines(lines, b",", 4, attrs)["fail_reason"]) == list(cases.values())
-    assert [sequential(x, b",", 4, attrs) for x in lines] == list(cases.values())
+    dated = {
+        "a,2024-02-29 23:59:59,+1.5e1,-.5": None, "a,2023-02-29 00:00:00,1,2": "timestamp", "a,2024-01-01 24:00:00,1,2": "timestamp", "a,2024-01-01T00:00:00,1,2": "timestamp", "a,1969-12-31 23:59:59,1,2": None,
+        "a,1704381609414,1,2": "timestamp", '" a ""b""","2024-02-29 23:59:59",1,2': None,
+    }
+    for cases, form in ((epoch, "null"), (epoch, None), (dated, "yyyy-MM-dd HH:mm:ss")):
+        lines = [k.encode() for k in cases]
+        assert list(R.check_lines(lines, b",", 4, attrs, form)["fail_reason"]) == list(cases.values())
+        assert [sequential(x, b",", 4, attrs, cases is dated) for x in lines] == list(cases.values())
+    assert R.check_lines([b'" a ""b""",29/02/2024 23.59.58,1,2'], b",", 4, attrs, "dd/MM/yyyy HH.mm.ss")["oid"].tolist() == [' a "b"']
+    assert R.usable_format("dd/MM/yyyy HH.mm.ss") and not R.usable_format("dd MMM yyyy") and not R.usable_format("yyyy-MM-dd")
 
 
 def test_long_line():
@@ -95,8 +100,8 @@ def test_long_line():
     assert R.check_lines([line, b"a"], b",", 4, [0, 1, 2, 3])["fail_reason"].tolist() == [None, "column_count"]
 
 
-def conf(spark, rows=(("s", ",", 4, [0, 1, 2, 3]),)):
-    return spark.createDataFrame(list(rows), "stream_id string, input_delimiter string, n_fields int, csv_tsv_schema_attr array<int>")
+def conf(spark, rows=(("s", ",", 4, [0, 1, 2, 3], "null"),)):
+    return spark.createDataFrame(list(rows), "stream_id string, input_delimiter string, n_fields int, csv_tsv_schema_attr array<int>, date_format string")
 
 
 def test_frame(spark):
@@ -108,5 +113,6 @@ def test_frame(spark):
     }
     assert R.loaded(R.parse_lines(lines, conf(spark))).count() == 2
     assert R.parse_lines(lines.limit(0), conf(spark)).count() == 0
-    assert R.rejects(R.parse_lines(lines, conf(spark, [("s", None, 4, None)]))).where(F.col("fail_reason") == "stream").count() == 6
+    assert R.rejects(R.parse_lines(lines, conf(spark, [("s", None, 4, None, None)]))).where(F.col("fail_reason") == "stream").count() == 6
+    assert R.rejects(R.parse_lines(lines, conf(spark, [("s", ",", 4, [0, 1, 2, 3], "MMM")]))).where(F.col("fail_reason") == "stream").count() == 6
     assert R.delimiter_bytes(r"\t") == b"\t" and R.delimiter_bytes(r"\\t") == rb"\t"

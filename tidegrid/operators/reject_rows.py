@@ -8,7 +8,9 @@ neighbours, done for all records at once. Counts and types are then checked fiel
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ QUOTE, BLANK, CR = 0x22, 0x20, 0x0D
 #: From 2000-01-01 to before 2100-01-01.
 MS_FROM, MS_TO = 946684800000, 4102444800000
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+#: Letters of date formats and how often each is written.
+DATE_LETTERS = {"y": 4, "M": 2, "d": 2, "H": 2, "m": 2, "s": 2}
 #: Bound of the configuration table, whose rows each task receives.
 MAX_STREAMS = 10_000
 
@@ -36,19 +39,20 @@ class Index:
     """Fields of records in one buffer.
 
     ``quoting``: records that break the quoting rules; ``n_fields``: fields by record; ``field(rec, k)``: the k-th
-    field's bytes of the records ``rec``, blanks and outer quotes off, doubled quotes single.
+    fields of the records ``rec``, blanks and outer quotes off, doubled quotes single.
     """
 
-    def __init__(self, lines: list[bytes], delimiter: bytes) -> None:
+    def __init__(self, lines: pa.Array | list[bytes], delimiter: bytes) -> None:
         if not delimiter:
             raise ValueError("an empty delimiter separates nothing")
-        lines = [x[:-1] if x[-1:] == b"\r" else x for x in lines]
-        # One zero byte ends each record. No mask reads it as a field's content.
-        lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
-        self.buffer = b"\0".join(lines) + b"\0"
-        b = np.frombuffer(self.buffer, np.uint8)
+        if isinstance(lines, list):
+            lines = pa.array(lines, pa.binary()).cast(pa.string())
+        # A final CR goes. One zero byte ends each record; no mask reads it as a field's content.
+        lines = pc.binary_join_element_wise(pc.replace_substring_regex(lines, "\r\\z", ""), "", "\0")
+        lengths = pc.binary_length(lines).to_numpy().astype(np.int64)
         ends = np.cumsum(lengths) - 1
         starts = ends - lengths + 1
+        self.bytes = b = np.frombuffer(b"".join(memoryview(c) for c in _contents(lines)), np.uint8)
         record = np.repeat(np.arange(len(lines)), lengths)
         quote = b == QUOTE
         before = np.cumsum(quote) - quote  # quotes in front of each byte
@@ -107,30 +111,73 @@ class Index:
             at = np.array(kept, np.int64)
         return at
 
-    def field(self, rec: np.ndarray, k: int) -> list[bytes]:
-        at = self.first[rec] + k
-        out = []
-        for lo, hi in zip(self.lo[at].tolist(), self.hi[at].tolist()):
-            v = self.buffer[lo:hi]
-            out.append(v[1:-1].replace(b'""', b'"') if v[:1] == b'"' else v)
-        return out
+    def field(self, rec: np.ndarray, k: int) -> pa.Array:
+        lo, hi = self.lo[self.first[rec] + k], self.hi[self.first[rec] + k]
+        quoted = (hi > lo) & (self.bytes[np.minimum(lo, len(self.bytes) - 1)] == QUOTE)
+        size = hi - lo - 2 * quoted
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        picked = self.bytes[np.repeat(lo + quoted - offsets[:-1], size) + np.arange(offsets[-1])]
+        # Fields end at ASCII signs or whole delimiters, so they are UTF-8 as their lines are.
+        values = pa.LargeStringArray.from_buffers(len(rec), pa.py_buffer(offsets), pa.py_buffer(picked))
+        return pc.if_else(pa.array(quoted), pc.replace_substring(values, '""', '"'), values) if quoted.any() else values
+
+
+def _contents(lines: pa.Array) -> list[pa.Buffer]:
+    """The bytes of a text array, of this array's part of its buffer only."""
+    lines = lines.cast(pa.large_binary())
+    first, last = (int(np.frombuffer(lines.buffers()[1], np.int64)[lines.offset + i]) for i in (0, len(lines))) if len(lines) else (0, 0)
+    return [lines.buffers()[2].slice(first, last - first)] if last > first else []
 
 
 def _matches(values: pa.Array, pattern: str) -> np.ndarray:
     return pc.match_substring_regex(values, pattern).to_numpy(zero_copy_only=False)
 
 
-def times(values: pa.Array) -> np.ndarray:
-    """Epoch milliseconds of 13 digits or ``yyyy-MM-dd HH:mm:ss`` texts (UTC); -1 where a text is neither, or no real time."""
+def is_epoch(date_format: str | None) -> bool:
+    """Whether a stream's times are epoch milliseconds, as a format of null (or its name) says."""
+    return date_format is None or date_format.strip().lower() in ("", "null")
+
+
+@lru_cache
+def date_parts(date_format: str) -> tuple[str, tuple[slice, ...]]:
+    """A date format as a pattern of the whole text, and where year, month, day, hour, minute and second are in it. Other
+    letters than theirs, or one of them missing, are an error."""
+    at, pattern, i = {}, "", 0
+    while i < len(date_format):
+        c = date_format[i]
+        if c.isalpha():
+            width = len(date_format[i:]) - len(date_format[i:].lstrip(c))
+            if DATE_LETTERS.get(c) != width or c in at:
+                raise ValueError(f"date format {date_format!r}")
+            at[c], pattern, i = slice(i, i + width), pattern + f"[0-9]{{{width}}}", i + width
+        else:
+            pattern, i = pattern + re.escape(c), i + 1
+    if len(at) != len(DATE_LETTERS):
+        raise ValueError(f"date format {date_format!r}")
+    return f"^{pattern}$", tuple(at[c] for c in DATE_LETTERS)
+
+
+def usable_format(date_format: str | None) -> bool:
+    try:
+        return is_epoch(date_format) or bool(date_parts(date_format))
+    except ValueError:
+        return False
+
+
+def times(values: pa.Array, date_format: str | None = None) -> np.ndarray:
+    """Epoch milliseconds of texts in a stream's form: 13 digits (see ``is_epoch``), or real dates and times written
+    exactly as ``date_format`` says (UTC); -1 for others."""
     out = np.full(len(values), -1, np.int64)
-    digits = _matches(values, "^[0-9]{13}$")
-    if digits.any():
+    if is_epoch(date_format):
+        digits = _matches(values, "^[0-9]{13}$")
         ms = pc.cast(values.filter(pa.array(digits)), pa.int64()).to_numpy()
         out[digits] = np.where((ms >= MS_FROM) & (ms < MS_TO), ms, -1)
-    dated = np.flatnonzero(_matches(values, DATE_TIME))
+        return out
+    pattern, places = date_parts(date_format)
+    dated = np.flatnonzero(_matches(values, pattern))
     if len(dated):
         text = values.take(pa.array(dated))
-        y, mo, d, h, mi, s = (pc.cast(pc.utf8_slice_codeunits(text, a, z), pa.int64()).to_numpy() for a, z in ((0, 4), (5, 7), (8, 10), (11, 13), (14, 16), (17, 19)))
+        y, mo, d, h, mi, s = (pc.cast(pc.utf8_slice_codeunits(text, p.start, p.stop), pa.int64()).to_numpy() for p in places)
         month_fine = (mo >= 1) & (mo <= 12)
         month = ((y - 1970) * 12 + np.where(month_fine, mo, 1) - 1).astype("datetime64[M]")
         day0 = month.astype("datetime64[D]").astype(np.int64)
@@ -150,7 +197,7 @@ def numbers(values: pa.Array) -> np.ndarray:
     return out
 
 
-def check_lines(lines: list[bytes], delimiter: bytes, n_fields: int, attrs: list[int]) -> dict[str, np.ndarray]:
+def check_lines(lines: pa.Array | list[bytes], delimiter: bytes, n_fields: int, attrs: list[int], date_format: str | None = None) -> dict[str, np.ndarray]:
     """Reason (None: valid), number of fields, oid, time, x and y of each line."""
     n = len(lines)
     ix = Index(lines, delimiter)
@@ -161,18 +208,21 @@ def check_lines(lines: list[bytes], delimiter: bytes, n_fields: int, attrs: list
     oid, ts, x, y = np.full(n, None, object), np.full(n, -1, np.int64), np.full(n, np.nan), np.full(n, np.nan)
 
     def texts(rec: np.ndarray, k: int) -> pa.Array:
-        return pa.array([v.decode("utf-8", "replace") for v in ix.field(rec, attrs[k])], pa.string())
+        return ix.field(rec, attrs[k])
 
     def narrow(rec: np.ndarray, fine: np.ndarray, name: str) -> np.ndarray:
         reason[rec[~fine]] = name
         return rec[fine]
 
     if len(ok):
-        raw = texts(ok, 0).to_pylist()
-        oid[ok] = raw
-        ok = narrow(ok, np.array([not (v == "" or v.isspace()) for v in raw], bool), "oid")
+        raw = texts(ok, 0)
+        oid[ok] = raw.to_numpy(zero_copy_only=False)
+        fine = np.ones(len(ok), bool)
+        for i in np.flatnonzero(~_matches(raw, "[0-9A-Za-z]")).tolist():  # few have no such sign; of these the white ones go
+            fine[i] = bool(oid[ok[i]].strip())
+        ok = narrow(ok, fine, "oid")
     if len(ok):
-        ts[ok] = times(texts(ok, 1))
+        ts[ok] = times(texts(ok, 1), date_format)
         ok = narrow(ok, ts[ok] != -1, "timestamp")
     if len(ok):
         x[ok], y[ok] = numbers(texts(ok, 2)), numbers(texts(ok, 3))
@@ -183,21 +233,22 @@ def check_lines(lines: list[bytes], delimiter: bytes, n_fields: int, attrs: list
 def parse_lines(lines: DataFrame, conf: DataFrame, line_col: str = "raw_line", stream_col: str = "stream_id") -> DataFrame:
     """``lines`` with fail_reason, n_found, oid, ts_ms, x, y added (columns of those names are replaced).
 
-    ``conf`` gives each stream's ``input_delimiter``, ``n_fields`` and ``csv_tsv_schema_attr`` (0-based positions of
-    oid, time, x, y). Valid lines have a null fail_reason and all four values. Others have the first reason that
+    ``conf`` gives each stream's ``input_delimiter``, ``n_fields``, ``csv_tsv_schema_attr`` (0-based positions of oid,
+    time, x, y) and ``date_format``, the one form its times may have (see ``times``). Valid lines have a null fail_reason and all four values. Others have the first reason that
     applies: ``stream`` (no usable configuration), ``quoting``, ``column_count``, ``oid``, ``timestamp``,
     ``coordinate``, and null values. A null line counts as an empty one. Repeated lines each give their own row.
     Nothing is shuffled; the configuration travels with the tasks and must have at most MAX_STREAMS rows.
     """
     # A closing row count keeps a wrongly large table from being collected whole.
-    rows = conf.select("stream_id", "input_delimiter", "n_fields", "csv_tsv_schema_attr").limit(MAX_STREAMS + 1).collect()
+    rows = conf.select("stream_id", "input_delimiter", "n_fields", "csv_tsv_schema_attr", "date_format").limit(MAX_STREAMS + 1).collect()
     if len(rows) > MAX_STREAMS:
         raise ValueError(f"more than {MAX_STREAMS} stream configurations")
     streams = {}
     for r in rows:
         attrs = r["csv_tsv_schema_attr"]
         if r["input_delimiter"] and r["n_fields"] and attrs is not None and len(attrs) == 4 and all(a is not None and 0 <= a < r["n_fields"] for a in attrs):
-            streams[r["stream_id"]] = (delimiter_bytes(r["input_delimiter"]), r["n_fields"], list(attrs))
+            if usable_format(r["date_format"]):
+                streams[r["stream_id"]] = (delimiter_bytes(r["input_delimiter"]), r["n_fields"], list(attrs), r["date_format"])
     added = ["fail_reason", "n_found", "oid", "ts_ms", "x", "y"]
     kept = [c for c in lines.columns if c not in added]
     source = lines.select(*kept)
@@ -209,14 +260,14 @@ def parse_lines(lines: DataFrame, conf: DataFrame, line_col: str = "raw_line", s
             if not n:
                 continue
             at = {name: i for i, name in enumerate(batch.schema.names)}
-            raw = pc.fill_null(batch.column(at[line_col]), "").cast(pa.binary()).to_pylist()
+            raw = pc.fill_null(batch.column(at[line_col]), "")
             names = batch.column(at[stream_col]).dictionary_encode()
             code = names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
             out = {"fail_reason": np.full(n, "stream", object), "n_found": np.zeros(n, np.int32), "oid": np.full(n, None, object), "ts_ms": np.full(n, -1, np.int64), "x": np.full(n, np.nan), "y": np.full(n, np.nan)}
             for c, name in enumerate(names.dictionary.to_pylist()):
                 if name in streams:
                     rec = np.flatnonzero(code == c)
-                    for k, v in check_lines([raw[i] for i in rec.tolist()], *streams[name]).items():
+                    for k, v in check_lines(raw.take(pa.array(rec)), *streams[name]).items():
                         out[k][rec] = v
             bad = out["fail_reason"] != None  # noqa: E711
             new = [

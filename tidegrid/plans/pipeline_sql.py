@@ -19,6 +19,22 @@ LATE = "((arrived_us - period_start_ms * 1000) / 1000.0 - 3600000)"
 
 KINDS = f"(SELECT 'oid' AS key_kind, {OID} AS key_value, * FROM moving_points UNION ALL SELECT 'grid_id', {GRID_ID}, * FROM moving_points)"
 
+_FIELD = ' *"(?:[^"]|"")*" *|[^"\x01]*'
+_AT = lambda i: f"fields[attrs[{i + 1}] + 1]"
+_NUMBER = "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?"
+#: Lines cut at their stream's delimiter, which a sign that no line has stands for, and what is wrong with them.
+LINES = f"""(WITH raw AS (SELECT l.line_id, l.stream_id, c.n_fields, c.csv_tsv_schema_attr AS attrs, c.date_format = 'null' AS epoch,
+  replace(regexp_replace(coalesce(raw_line, ''), '\\r\\z', ''), CASE input_delimiter WHEN '\\t' THEN chr(9) WHEN '\\\\t' THEN '\\t' ELSE input_delimiter END, chr(1)) AS line
+  FROM stream_lines l JOIN stream_conf c USING (stream_id)),
+cut AS (SELECT *, regexp_full_match(line, '(?s)(?:{_FIELD})(?:\x01(?:{_FIELD}))*') AS fine, regexp_extract_all(line || chr(1), '(?s)(?:{_FIELD})\x01') AS parts FROM raw),
+f AS (SELECT *, list_transform(parts, lambda p: CASE WHEN trim(replace(p, chr(1), ''), ' ') LIKE '"%' THEN replace(trim(p[:-2], ' ')[2:-2], '""', '"') ELSE trim(p[:-2], ' ') END) AS fields FROM cut),
+v AS (SELECT line_id, stream_id, fine, len(parts) = n_fields AS whole, epoch, {_AT(0)} AS oid, {_AT(1)} AS t, {_AT(2)} AS x, {_AT(3)} AS y FROM f),
+r AS (SELECT *, CASE WHEN epoch THEN CASE WHEN regexp_full_match(t, '[0-9]{{13}}') AND CAST(t AS BIGINT) >= 946684800000 AND CAST(t AS BIGINT) < 4102444800000 THEN CAST(t AS BIGINT) END
+  WHEN regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN epoch_ms(try_strptime(t, '%Y-%m-%d %H:%M:%S')) END AS ts_ms,
+  CASE WHEN regexp_full_match(x, '{_NUMBER}') THEN CAST(x AS DOUBLE) END AS nx, CASE WHEN regexp_full_match(y, '{_NUMBER}') THEN CAST(y AS DOUBLE) END AS ny FROM v)
+SELECT line_id, stream_id, oid, ts_ms, nx AS x, ny AS y, CASE WHEN NOT fine THEN 'quoting' WHEN NOT whole THEN 'column_count' WHEN regexp_full_match(oid, '[\\s\\p{{Z}}]*') THEN 'oid'
+  WHEN ts_ms IS NULL THEN 'timestamp' WHEN NOT coalesce(abs(nx) <= 180 AND abs(ny) <= 90, false) THEN 'coordinate' END AS fail_reason FROM r)"""
+
 
 def inside_ring(ring: str) -> tuple[str, str]:
     """Whether a point (p.x, p.y) is inside a list of vertices, and whether on its border."""
@@ -40,6 +56,8 @@ FROM ({EVENTS}) WHERE {LATE} > 120000""",
     "p2_counts": f"""WITH e AS (SELECT *, CASE WHEN {LATE} <= 120000 THEN 0 ELSE ceil(({LATE} - 120000) / 3600000) END AS run FROM ({EVENTS}) WHERE oid IS NOT NULL)
 SELECT stream_name, oid, period_start_ms, count(*) FILTER (WHERE {LATE} <= 120000) AS n_provisional, count(*) FILTER (WHERE {LATE} <= 21600000) AS n,
 count(*) FILTER (WHERE {LATE} > 21600000) AS n_dropped, count(DISTINCT run) FILTER (WHERE {LATE} > 120000 AND {LATE} <= 21600000) AS n_revisions FROM e GROUP BY ALL""",
+    "p3_found": f"SELECT line_id, fail_reason FROM {LINES} WHERE fail_reason IS NOT NULL",
+    "p3_loaded": f"SELECT line_id, stream_id, oid, ts_ms, x, y FROM {LINES} WHERE fail_reason IS NULL",
     "p4_found": f"""WITH k AS (SELECT key_kind, key_value, count(*) AS n FROM {KINDS} WHERE key_value IS NOT NULL GROUP BY ALL)
 SELECT key_kind, key_value FROM (SELECT *, sum(n) OVER (PARTITION BY key_kind) AS n_kind FROM k) WHERE n * 20 >= n_kind""",
     "p4_stats": f"""SELECT key_kind, key_value, count(*) AS n, count(*) FILTER (WHERE ts_ms >= {USABLE}) AS n_timed, min(ts_ms) FILTER (WHERE ts_ms >= {USABLE}) AS first_ms,
