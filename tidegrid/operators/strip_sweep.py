@@ -1,26 +1,24 @@
 """Points near other points or inside regions: latitude strips, swept in longitude order.
 
-Latitude is cut into strips. A point belongs to one strip, its owner; a target reaches into every strip within its
-distance or extent, so each pair meets in exactly one place, the point's strip. Within a strip the points are sorted by
-longitude and the targets' active ranges slide along them; only pairs in range are verified.
-
-Two ways to bring strips together. Targets whose size is checked to be small travel to the points, which are cut into
-strips batch by batch and never move. Larger target sets are shuffled by strip together with the points; a strip of many
-points or targets is cut into shares of each, and every share of its points meets every share of its targets, so no
-strip is one task's burden.
+Latitude is cut into strips of one height. A point belongs to one strip, its owner; a target reaches into every strip
+within its distance or extent, so strips overlap in targets only and each pair meets in exactly one place. Strips are
+range-partitioned over the tasks in order of latitude by what they weigh; a strip that weighs more than a task should
+is cut along longitude where its cells' counts say, and a target goes to the pieces that it reaches. So a point moves
+once, however many targets there are, and not at all if its cell has none.
+
+In a task the points of each piece are sorted by longitude; the active points of every target are a range of them,
+found for all targets at once, and only those are verified.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.canonical import finite
@@ -29,17 +27,18 @@ from tidegrid.shared import written
 #: Within this distance (degrees) of an edge, a point lies on it. Coordinates have six decimals; so a point off an edge
 #: that is shorter than half a degree is at least 2e-12 away, and rounding moves one on it by less than 1e-13.
 ON_EDGE = 1e-12
-#: Targets (vertices, for regions) that may travel with the tasks.
-MAX_CARRIED = 1_000_000
-#: Points and targets that a shuffled strip may hold before it is cut, and points swept at once.
-STRIP_POINTS, STRIP_TARGETS, BLOCK = 200_000, 50_000, 200_000
+#: Points and targets that a task should hold.
+STRIP_POINTS, STRIP_TARGETS = 200_000, 50_000
+#: Candidate pairs (or pairs and edges) verified at once.
+CHUNK = 1_000_000
+#: Cells that a target is listed for one by one. Larger targets are compared with the cells that have points.
+WIDE = 1 << 16
 
 
 @dataclass
 class Discs:
     """Targets that hold the points within ``radius`` of their place."""
 
-    ids: np.ndarray
     x: np.ndarray
     y: np.ndarray
     radius: float
@@ -48,267 +47,262 @@ class Discs:
         r = self.radius * (1 + 1e-9) + 1e-12
         return self.x - r, self.y - r, self.x + r, self.y + r
 
-    def holds(self, k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def holds(self, k: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether target k[i] holds the i-th point."""
         dx, dy = x - self.x[k], y - self.y[k]
         return np.sqrt(dx * dx + dy * dy) <= self.radius
 
-    def weight(self) -> int:
-        return len(self.ids)
+
+def _each(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of ``n`` numbers from ``first`` one after the other: to which range each belongs, and the numbers."""
+    owner = np.repeat(np.arange(len(n)), n)
+    ends = np.cumsum(n)
+    return owner, np.arange(ends[-1] if len(n) else 0) - (ends - n)[owner] + first[owner]
 
 
-@dataclass
 class Regions:
-    """Targets that hold the points in their outer ring (the first) and not inside a hole; borders belong to them."""
+    """Targets that hold the points in their outer ring (the first) and not inside a hole; borders belong to them.
+
+    ``x``, ``y``: the vertices of all rings, none closed, each of three or more; ``sizes``: vertices of each ring;
+    ``n_rings``: rings of each target, at least one.
+    """
 
-    ids: np.ndarray
-    rings: list[list[np.ndarray]]
+    def __init__(self, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, n_rings: np.ndarray) -> None:
+        self.x, self.y, self.sizes, self.n_rings = x, y, sizes, n_rings
+        self.ring_at, self.edge_at = np.cumsum(n_rings) - n_rings, np.cumsum(sizes) - sizes
+        after = np.arange(len(x)) + 1
+        after[self.edge_at + sizes - 1] = self.edge_at  # an unclosed ring closes itself; turning sense doesn't matter
+        self.ex, self.ey = x[after] - x, y[after] - y
+        self.by = y[after]
 
     def boxes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        outer = [r[0] for r in self.rings]
-        lo = np.array([r.min(axis=0) for r in outer]).reshape(-1, 2) - ON_EDGE
-        hi = np.array([r.max(axis=0) for r in outer]).reshape(-1, 2) + ON_EDGE
-        return lo[:, 0], lo[:, 1], hi[:, 0], hi[:, 1]
-
-    def holds(self, k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        inside, edge = in_ring(self.rings[k][0], x, y)
-        out = inside | edge
-        for hole in self.rings[k][1:]:
-            if out.any():
-                inside, edge = in_ring(hole, x, y)
-                out &= ~inside | edge
+        if not len(self.n_rings):
+            return (np.empty(0),) * 4
+        outer = [f.reduceat(v, self.edge_at)[self.ring_at] for f in (np.minimum, np.maximum) for v in (self.x, self.y)]
+        return outer[0] - ON_EDGE, outer[1] - ON_EDGE, outer[2] + ON_EDGE, outer[3] + ON_EDGE
+
+    def holds(self, k: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether target k[i] holds the i-th point: inside by even-odd crossings, or on the border."""
+        out = np.zeros(len(k), bool)
+        edges = np.add.reduceat(self.sizes, self.ring_at)[k] if len(k) else np.empty(0, np.int64)
+        for a, z in _chunks(edges):
+            pair, ring = _each(self.ring_at[k[a:z]], self.n_rings[k[a:z]])
+            which, e = _each(self.edge_at[ring], self.sizes[ring])
+            at = a + pair[which]
+            ax, ay, ex, ey = self.x[e], self.y[e], self.ex[e], self.ey[e]
+            px, py = x[at] - ax, y[at] - ay
+            with np.errstate(divide="ignore", invalid="ignore"):
+                length = ex * ex + ey * ey
+                t = np.where(length > 0, np.clip((px * ex + py * ey) / length, 0, 1), 0.0)
+                cross = (ey != 0) & ((ay > y[at]) != (self.by[e] > y[at])) & (px < py * (ex / ey))
+            edge = np.hypot(px - t * ex, py - t * ey) <= ON_EDGE
+            first = np.cumsum(self.sizes[ring]) - self.sizes[ring]
+            inside, border = np.bitwise_xor.reduceat(cross, first), np.logical_or.reduceat(edge, first)
+            outer = ring == self.ring_at[k[a:z]][pair]
+            fine = np.where(outer, inside | border, ~inside | border)
+            out[a:z] = np.logical_and.reduceat(fine, np.flatnonzero(outer))
         return out
 
-    def weight(self) -> int:
-        return sum(len(r) for rs in self.rings for r in rs)
 
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges whose ``sizes`` sum to at most about CHUNK."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, side="right")))
+        yield a, z
+        a = z
 
-def in_ring(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inside by even-odd crossings, and on the border. An unclosed ring closes itself; turning sense doesn't matter."""
-    inside, edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0)):
-        ex, ey = bx - ax, by - ay
-        px, py = x - ax, y - ay
-        length = ex * ex + ey * ey
-        t = np.clip((px * ex + py * ey) / length, 0, 1) if length else np.zeros(len(x))
-        edge |= np.hypot(px - t * ex, py - t * ey) <= ON_EDGE
-        if ey:
-            inside ^= ((ay > y) != (by > y)) & (px < py * (ex / ey))
-    return inside, edge
 
+def _lower(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool = False) -> np.ndarray:
+    """For each i where ``wanted[i]`` belongs in the sorted ``values[low[i] : high[i]]``, by bisection of all at once."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        v = values[np.minimum(mid, len(values) - 1)]
+        before = open_ & ((v <= wanted) if right else (v < wanted))
+        low, high = np.where(before, mid + 1, low), np.where(open_ & ~before, mid, high)
+    return low
 
-def sweep(targets: Discs | Regions, x: np.ndarray, y: np.ndarray, height: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (target's index, point's index), each once."""
+
+def sweep(targets: Discs | Regions, target_piece: np.ndarray, x: np.ndarray, y: np.ndarray, piece: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (target's index, point's index) of the same piece, each once."""
     x0, y0, x1, y1 = targets.boxes()
-    none = np.empty(0, np.int64)
     if not len(x0) or not len(x):
-        return none, none
-    strip = np.floor(y / height).astype(np.int64)
-    order = np.lexsort((x, strip))
-    xs, ys, ss = x[order], y[order], strip[order]
-    strips, starts = np.unique(ss, return_index=True)
-    bounds = np.append(starts, len(ss))
-    left, right = [none], [none]
-    by_x = np.argsort(x0, kind="stable")  # the order in which targets become active
-    low, high = np.searchsorted(strips, np.floor(y0 / height)), np.searchsorted(strips, np.floor(y1 / height), side="right")
-    for k in by_x.tolist():
-        for s in range(low[k], high[k]):
-            a, z = bounds[s], bounds[s + 1]
-            i = a + np.searchsorted(xs[a:z], x0[k])
-            j = a + np.searchsorted(xs[a:z], x1[k], side="right")
-            if j > i:
-                near = (ys[i:j] >= y0[k]) & (ys[i:j] <= y1[k])
-                at = np.flatnonzero(near) + i
-                at = at[targets.holds(k, xs[at], ys[at])]
-                if len(at):
-                    left.append(np.full(len(at), k))
-                    right.append(order[at])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _to_rings(value: object) -> list[np.ndarray] | None:
-    """Rings as arrays; None where the outer ring has fewer than three vertices. Vertices without numbers are left out,
-    holes of fewer than three vertices have no inside and are too."""
-    if value is None or not len(value) or value[0] is None:
-        return None
-    rings = []
-    for i, ring in enumerate(value):
-        pts = [(p["x"], p["y"]) for p in ring if p is not None and p["x"] is not None and p["y"] is not None] if ring is not None else []
-        pts = [p for p in pts if np.isfinite(p).all()]
-        if len(pts) > 1 and pts[0] == pts[-1]:
-            pts = pts[:-1]
-        if len(pts) >= 3:
-            rings.append(np.array(pts, float))
-        elif i == 0:
-            return None
-    return rings
-
-
-def discs(radius: float) -> Callable[[pd.DataFrame], Discs]:
-    def make(t: pd.DataFrame) -> Discs:
-        t = t[np.isfinite(t["x"].astype(float)) & np.isfinite(t["y"].astype(float))]
-        return Discs(t["id"].to_numpy(), t["x"].to_numpy(float), t["y"].to_numpy(float), radius)
-
-    return make
-
-
-def regions(t: pd.DataFrame) -> Regions:
-    rings = [_to_rings(r) for r in t["rings"]]
-    fine = [i for i, r in enumerate(rings) if r is not None]
-    return Regions(t["id"].to_numpy()[fine], [rings[i] for i in fine])
+        return
+    order = np.lexsort((x, piece))
+    xs, ys, ps = x[order], y[order], piece[order]
+    a, z = np.searchsorted(ps, target_piece), np.searchsorted(ps, target_piece, side="right")
+    a = _lower(xs, a, z, x0)
+    z = _lower(xs, a, z, x1, right=True)
+    for i, j in _chunks(z - a):
+        k, at = _each(a[i:j], (z - a)[i:j])
+        k += i
+        near = (ys[at] >= y0[k]) & (ys[at] <= y1[k])
+        k, at = k[near], at[near]
+        fine = targets.holds(k, xs[at], ys[at])
+        if fine.any():
+            yield k[fine], order[at[fine]]
 
 
 @dataclass(frozen=True)
 class Relation:
-    """Targets and how they hold points. ``targets`` has ``target_id`` and ``x``, ``y`` or ``rings``; ``height`` is the
-    strips', ``reach`` how far a target's hold goes beyond its own coordinates."""
+    """Targets and how they hold points. ``targets`` has ``target_id`` and ``x``, ``y`` (discs of ``radius``) or
+    ``rings``; ``height`` is what strips should measure for them."""
 
     targets: DataFrame
-    make: Callable[[pd.DataFrame], Discs | Regions]
     target_id: str
     height: float
-    reach: float = 0.0
-
-    def shape(self) -> list[str]:
-        return ["rings"] if "rings" in self.targets.columns else ["x", "y"]
-
-    def plain(self) -> DataFrame:
-        return self.targets.select(F.col(self.target_id).alias("id"), *self.shape())
-
-    def weight(self) -> int:
-        """Vertices of all targets."""
-        n = F.lit(1)
-        if self.shape() == ["rings"]:
-            n = F.greatest(n, F.coalesce(F.aggregate("rings", F.lit(0), lambda a, r: a + F.coalesce(F.size(r), F.lit(0))), F.lit(0)))
-        return self.plain().agg(F.sum(n)).first()[0] or 0
-
-    def carried(self) -> Discs | Regions:
-        """The targets themselves, whose weight has been checked."""
-        rows = self.plain().collect()
-        return self.make(pd.DataFrame({"id": [r["id"] for r in rows], **{c: [r[c] for r in rows] for c in self.shape()}}))
+    radius: float | None = None
+
+    def rows(self, number: int) -> DataFrame:
+        """One row per target that can hold a point: rel, id, x, y, xs, ys, sizes, and its extent."""
+        nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        head = [F.lit(number).alias("rel"), F.col(self.target_id).alias("id")]
+        if self.radius is not None:
+            r = self.radius * (1 + 1e-9) + 1e-12
+            t = self.targets.select(*head, F.col("x").cast("double"), F.col("y").cast("double"), nothing("array<double>", "xs"), nothing("array<double>", "ys"), nothing("array<int>", "sizes"))
+            t = t.where(finite(F.col("x")) & finite(F.col("y")))
+            return t.withColumns({"x0": F.col("x") - r, "y0": F.col("y") - r, "x1": F.col("x") + r, "y1": F.col("y") + r})
+        rings = _clean(F.col("rings"))
+        t = self.targets.select(*head, rings.alias("__rings")).where(F.size(F.get("__rings", F.lit(0))) >= 3)
+        # Holes of fewer than three vertices have no inside.
+        kept = F.concat(F.slice("__rings", 1, 1), F.filter(F.slice("__rings", 2, F.greatest(F.size("__rings"), F.lit(1))), lambda r: F.size(r) >= 3))
+        t = t.withColumn("__rings", kept)
+        flat = lambda c: F.transform(F.flatten("__rings"), lambda p: p[c])
+        outer = lambda c: F.transform(F.get("__rings", F.lit(0)), lambda p: p[c])
+        t = t.select("rel", "id", nothing("double", "x"), nothing("double", "y"), flat("x").alias("xs"), flat("y").alias("ys"), F.transform("__rings", F.size).alias("sizes"), outer("x").alias("ox"), outer("y").alias("oy"))
+        edge = {f"{c}{i}": f(f"o{c}") + s * ON_EDGE for c in "xy" for i, f, s in ((0, F.array_min, -1), (1, F.array_max, 1))}
+        return t.withColumns(edge).drop("ox", "oy")
+
+
+def _clean(rings: Column) -> Column:
+    """Rings without vertices that lack finite numbers, and without a closing vertex; null rings are empty."""
+    fine = lambda r: F.coalesce(F.filter(r, lambda p: p.isNotNull() & finite(p["x"]) & finite(p["y"])), F.array())
+    ends = lambda r: F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)
+    opened = lambda r: F.when((F.size(r) > 1) & ends(r), F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r)
+    return F.transform(F.transform(rings, fine), opened)
 
 
 def near(sites: DataFrame, radius: float, site_id: str) -> Relation:
     """Points at most ``radius`` from a site (Euclidean)."""
-    return Relation(sites, discs(radius), site_id, max(2 * radius, 1e-6), radius)
+    return Relation(sites, site_id, max(2 * radius, 1e-6), radius)
 
 
-def within(zones: DataFrame, zone_id: str, height: float = 0.05) -> Relation:
-    """Points that a zone (``rings``) contains."""
-    return Relation(zones, regions, zone_id, height)
+def within(zones: DataFrame, zone_id: str, height: float = 0.02) -> Relation:
+    """Points that a zone (``rings``) contains. ``height`` should be about the zones' own: a zone of a hundred times
+    that is listed for ten thousand cells."""
+    return Relation(zones, zone_id, height)
 
 
-def related(points: DataFrame, point_id: str, relations: dict[str, Relation], max_carried: int = MAX_CARRIED) -> DataFrame:
+def related(points: DataFrame, point_id: str, relations: dict[str, Relation]) -> DataFrame:
     """Pairs (rel_kind, target_id, ``point_id``): the points (``x``, ``y``) that each target of each relation holds,
     every pair of rows once.
 
     Points or targets without finite coordinates pair with nothing; null ids stay null in pairs. Repeated rows give
-    repeated pairs. Empty tables give no pairs. Other columns don't matter. Relations with small target sets share one
-    pass over the points; each other one is a shuffle of its own. All target ids must be of one type.
+    repeated pairs. Empty tables give no pairs. Other columns don't matter. All relations share one pass over the
+    points, after one over their coordinates that counts them by cell. All target ids must be of one type.
     """
-    p = points.select(F.col(point_id).alias("pid"), "x", "y").where(finite(F.col("x")) & finite(F.col("y")))
-    ids = {r.plain().schema["id"].dataType.simpleString() for r in relations.values()}
-    if len(ids) != 1:
+    height = max(r.height for r in relations.values())
+    p = points.select(F.col(point_id).alias("pid"), F.col("x").cast("double"), F.col("y").cast("double")).where(finite(F.col("x")) & finite(F.col("y")))
+    rows = [r.rows(i) for i, r in enumerate(relations.values())]
+    if len({t.schema["id"].dataType for t in rows}) != 1:
         raise ValueError("target ids of one type are needed")
-    ddl = f"target_id {ids.pop()}, `{point_id}` {p.schema['pid'].dataType.simpleString()}"
-    small = {name: r for name, r in relations.items() if r.weight() <= max_carried}
-    parts = [_carried(p, small, point_id, ddl)] if small else []
-    for name, r in relations.items():
-        if name not in small:
-            parts.append(_shuffled(p, r.plain(), r.make, "target_id", point_id, r.height, r.reach, ddl).select(F.lit(name).alias("rel_kind"), "target_id", point_id))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _carried(p: DataFrame, relations: dict[str, Relation], point_id: str, ddl: str) -> DataFrame:
-    """The way for small target sets: they travel to the points, which don't move."""
-    made = [(name, r.carried(), r.height) for name, r in relations.items()]
-    carried = p.sparkSession.sparkContext.broadcast(pickle.dumps(made))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [(name, own, height, pa.array(list(own.ids), from_pandas=True)) for name, own, height in pickle.loads(carried.value) if len(own.ids)]
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            block = pa.Table.from_batches(held).combine_chunks()
-            x, y = block.column("x").to_numpy(), block.column("y").to_numpy()
-            for name, own, height, ids in sets:
-                left, right = sweep(own, x, y, height)
-                if len(left):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]).take(pa.array(np.zeros(len(left), np.int64))), ids.take(pa.array(left)), block.column("pid").take(pa.array(right)).combine_chunks()], names=["rel_kind", "target_id", point_id],
-                    )
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= BLOCK:
-                yield from out()
-                held, size = [], 0
-        if size:
-            yield from out()
-
-    return p.mapInArrow(run, f"rel_kind string, {ddl}")
-
-
-def _shuffled(p: DataFrame, t: DataFrame, make: Callable, target_id: str, point_id: str, height: float, reach: float, ddl: str) -> DataFrame:
-    """The way for large target sets: both sides by strip and salt, in one sorted pass."""
-    strip = lambda y: F.floor(y / F.lit(height)).cast("long")
-    pts = p.withColumn("strip", strip(F.col("y")))
-    # One row per strip of latitude that has points and targets: on a globe 180 / height at most, whatever the data's size.
-    parts = lambda df, most, name: df.groupBy("strip").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name))
-    if "rings" in t.columns:
-        vertices = F.flatten(F.filter("rings", lambda r: r.isNotNull()))
-        ys = F.transform(F.filter(vertices, lambda q: finite(q["x"]) & finite(q["y"])), lambda q: q["y"])  # as in _to_rings
-        low, high = F.array_min(ys), F.array_max(ys)
-    else:
-        low, high = F.col("y") - F.lit(reach), F.col("y") + F.lit(reach)
-    margin = F.lit(reach * 1e-9 + 1e-9)
-    spread = t.withColumn("low", strip(low - margin)).withColumn("high", strip(high + margin)).where(finite(low) & finite(high))
-    spread = spread.withColumn("strip", F.explode(F.sequence("low", "high"))).drop("low", "high")
-    cuts = written(parts(pts, STRIP_POINTS, "n_salts").join(parts(spread, STRIP_TARGETS, "n_blocks"), "strip"), "strips")
-    if cuts.count() <= MAX_CARRIED:  # as on any globe; else the strips' rows are joined to their cuts by shuffling
-        cuts = F.broadcast(cuts)
-    shape = [c for c in t.columns if c != "id"]
-    kinds = {c: t.schema[c].dataType for c in shape}
-    nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    targets = reduce(DataFrame.unionByName, rows)
+    step = lambda c: F.floor(c / F.lit(height)).cast("long")  # noqa: E731  wild coordinates end up in the outermost cells
+    p = p.withColumns({"strip": step(F.col("y")), "col": step(F.col("x"))})
+    targets = targets.withColumns({"s0": step(F.col("y0")), "s1": step(F.col("y1")), "c0": step(F.col("x0")), "c1": step(F.col("x1"))}).drop("x0", "x1", "y0", "y1")
+    occupied = written(p.groupBy("strip", "col").agg(F.count("*").alias("n_p")), "occupied")
+    listed = _listed(targets, occupied)
+    cells = written(_pieces(occupied, listed), "cells")
+    total, n = cells.agg(F.max(F.col("load_before") + F.col("unit_load") * F.col("n_shares") * F.col("n_blocks")), F.count("*")).first()
+    kinds = f"rel_kind string, target_id {targets.schema['id'].dataType.simpleString()}, `{point_id}` {p.schema['pid'].dataType.simpleString()}"
+    if not n:
+        return p.sparkSession.createDataFrame([], kinds)
+    n_parts = max(p.sparkSession.sparkContext.defaultParallelism, int(np.ceil(total)))
+    return _swept(p, listed, cells, [(name, r.radius) for name, r in relations.items()], point_id, kinds, n_parts, total)
+
+
+def _listed(targets: DataFrame, occupied: DataFrame) -> DataFrame:
+    """``targets`` once for each cell (strip, col) that they reach."""
+    size = lambda a, z: F.col(z).cast("double") - F.col(a).cast("double") + 1
+    wide = size("s0", "s1") * size("c0", "c1") > WIDE
+    narrow = targets.where(~wide).withColumn("strip", F.explode(F.sequence("s0", "s1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    at = occupied.select("strip", "col")
+    reached = F.col("strip").between(F.col("s0"), F.col("s1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    return narrow.unionByName(targets.where(wide).join(at, reached))
+
+
+def _pieces(occupied: DataFrame, listed: DataFrame) -> DataFrame:
+    """Cells that have points and targets, and the piece that each belongs to: first_unit, n_shares and n_blocks (of
+    points and targets; more than one only where the piece's last cell outweighs a task), load_before and unit_load
+    (in tasks), prev_col (the last cell in the same piece)."""
+    cells = occupied.join(listed.groupBy("strip", "col").agg(F.count("*").alias("n_t")), ["strip", "col"])
+    load = F.col("n_p") / F.lit(float(STRIP_POINTS)) + F.col("n_t") / F.lit(float(STRIP_TARGETS))
+    along = Window.partitionBy("strip").orderBy("col")
+    cells = cells.withColumn("piece", F.floor(F.coalesce(F.sum(load).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).cast("long"))
+    cells = cells.withColumn("prev_col", F.lag("col").over(Window.partitionBy("strip", "piece").orderBy("col")))
+    shares = lambda c, most: F.greatest(F.ceil(F.sum(c) / F.lit(2.0 * most)), F.lit(1)).cast("int")
+    pieces = cells.groupBy("strip", "piece").agg(shares("n_p", STRIP_POINTS).alias("n_shares"), shares("n_t", STRIP_TARGETS).alias("n_blocks"), F.sum("n_p").alias("sp"), F.sum("n_t").alias("st"))
+    unit_load = F.col("sp") / F.col("n_shares") / F.lit(float(STRIP_POINTS)) + F.col("st") / F.col("n_blocks") / F.lit(float(STRIP_TARGETS))
+    n_units = F.col("n_shares").cast("long") * F.col("n_blocks")
+    # One row per piece: on a globe 180 / height, and one more for each task's load. So one task may order them.
+    before = Window.orderBy("strip", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("unit_load", unit_load).withColumns({
+        "load_before": F.coalesce(F.sum(F.col("unit_load") * n_units).over(before), F.lit(0.0)), "first_unit": F.coalesce(F.sum(n_units).over(before), F.lit(0)),
+    })
+    return cells.select("strip", "col", "piece", "prev_col").join(pieces.drop("sp", "st"), ["strip", "piece"]).drop("piece")
+
+
+def _swept(p: DataFrame, listed: DataFrame, cells: DataFrame, kinds: list[tuple[str, float | None]], point_id: str, ddl: str, n_parts: int, total: float) -> DataFrame:
+    """Both sides by part, a range of pieces in order of latitude; swept there."""
     share = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = spread.join(cuts, "strip").withColumn("block", share("n_blocks", "id", *shape)).withColumn("salt", each("n_salts"))
-    left = left.select("strip", "salt", "block", F.lit(0).alias("side"), "id", nothing(p.schema["pid"].dataType, "pid"), nothing("double", "px"), nothing("double", "py"), *shape)
-    right = pts.join(cuts, "strip").withColumn("salt", share("n_salts", "pid", "x", "y")).withColumn("block", each("n_blocks"))
-    right = right.select("strip", "salt", "block", F.lit(1).alias("side"), nothing(t.schema["id"].dataType, "id"), "pid", F.col("x").alias("px"), F.col("y").alias("py"), *(nothing(kinds[c], c) for c in shape))
-    key = ["strip", "salt", "block"]
-    both = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "side")
+    shape = ["id", "xs", "ys", "sizes"]
+    types = {c: listed.schema[c].dataType for c in shape} | {"pid": p.schema["pid"].dataType}
+    nothing = lambda c: F.lit(None).cast(types[c]).alias(c)
+    # A target is in a piece once, with the first of its cells there.
+    t = listed.join(cells, ["strip", "col"]).where(F.col("prev_col").isNull() | (F.col("prev_col") < F.col("c0")))
+    t = t.withColumn("block", share("n_blocks", *shape, "x", "y")).withColumn("share", each("n_shares"))
+    q = p.join(cells, ["strip", "col"]).withColumn("share", share("n_shares", "pid", "x", "y")).withColumn("block", each("n_blocks"))
+    number = F.col("share").cast("long") * F.col("n_blocks") + F.col("block")
+    part = F.least(F.floor((F.col("load_before") + number * F.col("unit_load")) * F.lit(n_parts / total)), F.lit(n_parts - 1)).cast("int").alias("part")
+    unit = (F.col("first_unit") + number).alias("unit")
+    t = t.select(part, unit, F.col("rel").cast("int").alias("rel"), *shape, nothing("pid"), "x", "y")
+    q = q.select(part, unit, F.lit(-1).alias("rel"), *(nothing(c) for c in shape), "pid", "x", "y")
+    both = t.unionByName(q)
+    both = both.repartitionById(n_parts, "part") if hasattr(both, "repartitionById") else both.repartition(n_parts, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, rows = None, None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            ks = np.stack([col[k].to_numpy() for k in [*key, "side"]])
-            edges = [0, *(np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, z in zip(edges[:-1], edges[1:]):
-                if (this := tuple(ks[:3, a])) != now:
-                    now, own, rows = this, None, []
-                if ks[3, a] == 0:
-                    rows.append({n: col[n].slice(a, z - a).to_pylist() for n in ["id", *shape]})
-                    continue
-                if own is None:  # a block's targets come first, at most about STRIP_TARGETS
-                    own = make(pd.DataFrame({n: [v for r in rows for v in r[n]] for n in ["id", *shape]}))
-                    ids = pa.array(list(own.ids), from_pandas=True)
-                i, j = sweep(own, col["px"].slice(a, z - a).to_numpy(), col["py"].slice(a, z - a).to_numpy(), height)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), col["pid"].slice(a, z - a).take(pa.array(j))], names=[target_id, point_id])
-
-    return both.mapInArrow(run, ddl)
-
-
-def near_points(points: DataFrame, sites: DataFrame, radius: float, point_id: str, site_id: str, **how: int) -> DataFrame:
+        kept = [b for b in batches if b.num_rows]
+        if not kept:
+            return
+        rows = pa.Table.from_batches(kept)
+        rel, unit = rows.column("rel").to_numpy(), rows.column("unit").to_numpy()
+        here = np.flatnonzero(rel == -1)
+        own = rows.select(["pid", "x", "y"]).take(pa.array(here))
+        x, y, pid = own.column("x").to_numpy(), own.column("y").to_numpy(), own.column("pid").combine_chunks()
+        for number, (name, radius) in enumerate(kinds):
+            there = np.flatnonzero(rel == number)
+            t = rows.take(pa.array(there)).combine_chunks()
+            if radius is None:
+                lists = {c: pa.chunked_array(t.column(c)).combine_chunks() for c in ("xs", "ys", "sizes")}
+                flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
+                n_rings = np.diff(lists["sizes"].offsets.to_numpy()) if len(t) else np.empty(0, np.int64)
+                targets: Discs | Regions = Regions(flat["xs"], flat["ys"], flat["sizes"].astype(np.int64), n_rings.astype(np.int64))
+            else:
+                targets = Discs(t.column("x").to_numpy(), t.column("y").to_numpy(), radius)
+            ids = t.column("id").combine_chunks()
+            for i, j in sweep(targets, unit[there], x, y, unit[here]):
+                yield pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(len(i), np.int64))), ids.take(pa.array(i)), pid.take(pa.array(j))], names=["rel_kind", "target_id", point_id])
+
+    return both.drop("part").mapInArrow(run, ddl)
+
+
+def near_points(points: DataFrame, sites: DataFrame, radius: float, point_id: str, site_id: str) -> DataFrame:
     """Pairs (site_id, point_id) of rows at most ``radius`` apart; see ``related``."""
-    return related(points, point_id, {"": near(sites, radius, site_id)}, **how).select(F.col("target_id").alias(site_id), point_id)
+    return related(points, point_id, {"": near(sites, radius, site_id)}).select(F.col("target_id").alias(site_id), point_id)
 
 
-def points_in_regions(points: DataFrame, zones: DataFrame, point_id: str, zone_id: str, height: float = 0.05, **how: int) -> DataFrame:
+def points_in_regions(points: DataFrame, zones: DataFrame, point_id: str, zone_id: str, height: float = 0.02) -> DataFrame:
     """Pairs (zone_id, point_id) of a zone and a point that it contains; see ``related``."""
-    return related(points, point_id, {"": within(zones, zone_id, height)}, **how).select(F.col("target_id").alias(zone_id), point_id)
+    return related(points, point_id, {"": within(zones, zone_id, height)}).select(F.col("target_id").alias(zone_id), point_id)

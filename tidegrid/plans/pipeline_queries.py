@@ -90,18 +90,9 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).select("oid", "seg_kind", "start_ms", "end_ms", "duration_ms", "n_fixes", F.round("distance", 6).alias("distance"))
 
 
-def _related(spark: SparkSession, d: str, **how: int) -> DataFrame:
-    relations = {"near_site": strip_sweep.near(table(spark, d, "sites"), SITE_RADIUS, "site_id"), "in_zone": strip_sweep.within(table(spark, d, "zones"), "zone_id")}
-    return strip_sweep.related(table(spark, d, "moving_points"), "event_id", relations, **how).where(F.col("event_id").isNotNull()).distinct()
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _related(spark, d)
-
-
-def p6_shuffled(spark: SparkSession, d: str) -> DataFrame:
-    """The same by the way for large target sets."""
-    return _related(spark, d, max_carried=0)
+    relations = {"near_site": strip_sweep.near(table(spark, d, "sites"), SITE_RADIUS, "site_id"), "in_zone": strip_sweep.within(table(spark, d, "zones"), "zone_id")}
+    return strip_sweep.related(table(spark, d, "moving_points"), "event_id", relations).where(F.col("event_id").isNotNull()).distinct()
 
 
 def p6_site_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -111,5 +102,5 @@ def p6_site_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_objects, p1_calls, p2_found, p2_counts, p3_found, p3_loaded, p4_found, p4_stats, p4_joined, p5_found, p5_segments, p6_found, p6_shuffled, p6_site_pairs)
+    f.__name__: f for f in (p1_found, p1_objects, p1_calls, p2_found, p2_counts, p3_found, p3_loaded, p4_found, p4_stats, p4_joined, p5_found, p5_segments, p6_found, p6_site_pairs)
 }

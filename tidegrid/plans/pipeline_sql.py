@@ -75,5 +75,4 @@ SELECT DISTINCT 'near_site' AS rel_kind, s.site_id AS target_id, p.event_id FROM
 UNION ALL SELECT DISTINCT 'in_zone', zone_id, event_id FROM (SELECT event_id, x, y, zone_id, rings FROM near) p, (SELECT 1) WHERE ({_OUTER.replace('z.rings', 'p.rings')} OR {_OUTER_EDGE.replace('z.rings', 'p.rings')})
 AND NOT coalesce(list_bool_or(list_transform(p.rings[2:], lambda h: {_HOLE} AND NOT {_HOLE_EDGE})), false)""",
 }
-SQL["p6_shuffled"] = SQL["p6_found"]
 SQL["p6_site_pairs"] = "SELECT a.site_id, b.site_id AS near_id FROM sites a JOIN sites b ON a.site_id < b.site_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.01"
