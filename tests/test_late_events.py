@@ -53,6 +53,34 @@ def test_store(spark, tmp_path):
     assert all(r.frozen for r in store.serve().collect())
 
 
+def test_feeds_have_batches_of_their_own(spark, tmp_path):
+    """A feed's batches count as they come, whatever the numbers of another feed's."""
+    schema = L.event_log(spark.createDataFrame([], SCHEMA), "s").schema
+    store = LambdaStore(spark, f"file://{tmp_path}/views")
+    row = lambda s, e, p: spark.createDataFrame([(s, e, "a", START + p * H, (START + p * H) * 1000)], schema)
+    store.add(row("one", 1, 0), 0, "one")
+    store.add(row("two", 1, 0), 10**9, "two")
+    store.recompute(START + H)
+    store.add(row("one", 2, 0), 1, "one")
+    got = lambda: {(r.stream_name, r.period_start_ms, r.n, r.frozen) for r in store.serve().collect()}
+    assert got() == {("one", START, 2, False), ("two", START, 1, False)}
+    store.recompute(START + 8 * H)  # freezes the first period
+    store.add(row("one", 3, 9), 2, "one")
+    store.add(row("two", 2, 0), 10**9 + 1, "two")  # too late: its period is frozen
+    assert got() == {("one", START, 2, True), ("two", START, 1, True), ("one", START + 9 * H, 1, False)}
+    store.recompute(START + 10 * H)
+    store.recompute(START + 100 * H)
+    assert got() == {("one", START, 2, True), ("two", START, 1, True), ("one", START + 9 * H, 1, True)}
+
+
+def test_runs(spark):
+    end = START + H
+    rows = [(i, "a", START, at(end + late), 0, 0) for i, late in enumerate([0, 120_000, 120_001, 120_000 + H, 120_001 + H, 6 * H, 6 * H + 1])]
+    events = L.ledger(L.event_log(spark.createDataFrame(rows, SCHEMA), "s"))
+    assert {r.event_id: r.run for r in events.collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 6, 6: None}
+    assert {(r.run, r.n_added, r.n) for r in L.view_runs(events).collect()} == {(0, 2, 2), (1, 2, 4), (2, 1, 5), (6, 1, 6), (None, 1, None)}
+
+
 def test_stream_into_store(spark, tmp_path):
     points = spark.createDataFrame(rows(), SCHEMA)
     points.repartition(3).write.parquet(f"{tmp_path}/in")

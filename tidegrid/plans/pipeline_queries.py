@@ -73,9 +73,10 @@ def p4_joined(spark: SparkSession, d: str) -> DataFrame:
     """Per grid cell: pairs of points and sites, with the points' times and the sites' ids summed over the pairs."""
     points = table(spark, d, "moving_points").select(canonical_grid_id(F.col("grid_id")).alias("cell"), usable_ms(F.col("ts_ms")).alias("ts_ms"))
     sites = table(spark, d, "sites").where(finite(F.col("x")) & finite(F.col("y"))).select(BEIJING.cell_id(F.col("x"), F.col("y")).alias("cell"), "site_id")
-    # A hundred years of epoch seconds over 10^9 pairs still fit a bigint.
     points = points.withColumn("ts_s", F.floor(F.col("ts_ms") / 1000).cast("long"))
-    return heavy_keys.eager_join(points, sites, "cell", {"sum_ts_s": ("left", "ts_s"), "sum_site_id": ("right", "site_id")})
+    joined = heavy_keys.eager_join(points, sites, "cell", {"sum_ts_s": ("left", "ts_s"), "sum_site_id": ("right", "site_id")})
+    # With the fixed table of sites, a hundred years of epoch seconds over 10^9 pairs still fit a bigint.
+    return joined.select("cell", *(F.col(c).cast("bigint").alias(c) for c in joined.columns if c != "cell"))
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tidegrid.plans import pipeline_sql as p
 from tidegrid.plans import spatial_queries as q
 from tidegrid.plans import spatial_sql as s
 from tidegrid.plans.tables import table
-from tidegrid.shared import shared_path
+from tidegrid.shared import exists, shared_path
 from tidegrid.sinks.streams import to_files
 from tidegrid.streaming import stateful
 from tidegrid.streaming.lambda_store import LambdaStore
@@ -55,15 +57,29 @@ def stream_tstats_rt(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("oid", "ts_ms", F.round("spatial_len", 6).alias("spatial_len"), "temporal_len_ms")
 
 
+SLICES = 4
+
+
 def p2_streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The lambda views over both streams, kept up batch by batch, after the last recompute."""
-    store = LambdaStore(spark, shared_path(spark, "views"))
-    for i, name in enumerate(("moving_points", "zone_stream")):
-        log = late_events.event_log(_stream(spark, d, name), name)
-        base = i * 10**9  # batches of the two streams have numbers of their own
-        add = lambda df, n, base=base: store.add(df, base + n)
-        log.writeStream.foreachBatch(add).option("checkpointLocation", f"{store.folder}/progress/{name}").trigger(availableNow=True).start().awaitTermination()
-    store.recompute(late_events.Periods().length * 10**6)
+    """The lambda views over both streams, kept up as they arrive: in slices of arrival time each stream brings its
+    batches, and a scheduled batch then replaces the open periods and freezes those past their cut-off."""
+    store, logs = LambdaStore(spark, shared_path(spark, "views")), f"{shared_path(spark, 'logs')}/in"
+    log = reduce(DataFrame.unionByName, (late_events.event_log(table(spark, d, t), t) for t in ("moving_points", "zone_stream")))
+    first, last = log.agg(F.min("arrived_us"), F.max("arrived_us")).first()
+    if first is None:
+        return store.serve().select("stream_name", "oid", "period_start_ms", "n")
+    span = (last - first) // SLICES + 1
+    arrived = log.withColumns({"slice": F.floor((F.col("arrived_us") - F.lit(first)) / F.lit(span)).cast("int"), "feed": F.col("stream_name")})
+    arrived.write.partitionBy("slice", "feed").parquet(logs)
+    for i in range(SLICES):
+        for name in ("moving_points", "zone_stream"):
+            folder = f"{logs}/slice={i}/feed={name}"
+            if not exists(spark, folder):
+                continue
+            add = lambda df, n, i=i, name=name: store.add(df, i * 10**6 + n, name)
+            stream = spark.readStream.schema(log.schema).parquet(folder)
+            stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{store.folder}/progress/{i}-{name}").trigger(availableNow=True).start().awaitTermination()
+        store.recompute((first + span * (i + 1)) // 1000)
     return store.serve().select("stream_name", "oid", "period_start_ms", "n")
 
 
