@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +145,18 @@ def sweep(targets: Discs | Regions, target_piece: np.ndarray, x: np.ndarray, y:
             yield k[fine], order[at[fine]]
 
 
+def _unpacked(shapes: pa.ListArray) -> Regions:
+    """Regions from their ``shape``."""
+    v = shapes.flatten().to_numpy(zero_copy_only=False)
+    end = np.cumsum(pc.list_value_length(shapes).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = np.concatenate([[0], end[:-1]]).astype(np.int64)[: len(end)]
+    n_rings = v[at].astype(np.int64)
+    sizes = v[_each(at + 1, n_rings)[1]].astype(np.int64)
+    n = (end - at - 1 - n_rings) // 2
+    x = v[_each(at + 1 + n_rings, n)[1]]
+    return Regions(x, v[_each(at + 1 + n_rings + n, n)[1]], sizes, n_rings)
+
+
 @dataclass(frozen=True)
 class Relation:
     """Targets and how they hold points. ``targets`` has ``target_id`` and ``x``, ``y`` (discs of ``radius``) or
@@ -155,12 +168,12 @@ class Relation:
     radius: float | None = None
 
     def rows(self, number: int) -> DataFrame:
-        """One row per target that can hold a point: rel, id, x, y, xs, ys, sizes, and its extent."""
-        nothing = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        """One row per target that can hold a point: rel, id, x, y, shape (of regions: how many rings, their sizes, all x,
+        all y), and its extent."""
         head = [F.lit(number).alias("rel"), F.col(self.target_id).alias("id")]
         if self.radius is not None:
             r = self.radius * (1 + 1e-9) + 1e-12
-            t = self.targets.select(*head, F.col("x").cast("double"), F.col("y").cast("double"), nothing("array<double>", "xs"), nothing("array<double>", "ys"), nothing("array<int>", "sizes"))
+            t = self.targets.select(*head, F.col("x").cast("double"), F.col("y").cast("double"), _no_shape())
             t = t.where(finite(F.col("x")) & finite(F.col("y")))
             return t.withColumns({"x0": F.col("x") - r, "y0": F.col("y") - r, "x1": F.col("x") + r, "y1": F.col("y") + r})
         rings = _clean(F.col("rings"))
@@ -170,11 +183,18 @@ class Relation:
         t = t.withColumn("__rings", kept)
         flat = lambda c: F.transform(F.flatten("__rings"), lambda p: p[c])
         outer = lambda c: F.transform(F.get("__rings", F.lit(0)), lambda p: p[c])
-        t = t.select("rel", "id", nothing("double", "x"), nothing("double", "y"), flat("x").alias("xs"), flat("y").alias("ys"), F.transform("__rings", F.size).alias("sizes"), outer("x").alias("ox"), outer("y").alias("oy"))
+        sizes = F.transform("__rings", lambda r: F.size(r).cast("double"))
+        shape = F.concat(F.array(F.size("__rings").cast("double")), sizes, flat("x"), flat("y"))
+        t = t.select("rel", "id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), shape.alias("shape"), outer("x").alias("ox"), outer("y").alias("oy"))
         edge = {f"{c}{i}": f(f"o{c}") + s * ON_EDGE for c in "xy" for i, f, s in ((0, F.array_min, -1), (1, F.array_max, 1))}
         return t.withColumns(edge).drop("ox", "oy")
 
 
+def _no_shape() -> Column:
+    """An empty array, as Spark's writer of Arrow batches goes over all null ones anew at each row."""
+    return F.array().cast("array<double>").alias("shape")
+
+
 def _clean(rings: Column) -> Column:
     """Rings without vertices that lack finite numbers, and without a closing vertex; null rings are empty."""
     fine = lambda r: F.coalesce(F.filter(r, lambda p: p.isNotNull() & finite(p["x"]) & finite(p["y"])), F.array())
@@ -257,18 +277,16 @@ def _swept(p: DataFrame, listed: DataFrame, cells: DataFrame, kinds: list[tuple[
     """Both sides by part, a range of pieces in order of latitude; swept there."""
     share = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    shape = ["id", "xs", "ys", "sizes"]
-    types = {c: listed.schema[c].dataType for c in shape} | {"pid": p.schema["pid"].dataType}
-    nothing = lambda c: F.lit(None).cast(types[c]).alias(c)
+    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     # A target is in a piece once, with the first of its cells there.
     t = listed.join(cells, ["strip", "col"]).where(F.col("prev_col").isNull() | (F.col("prev_col") < F.col("c0")))
-    t = t.withColumn("block", share("n_blocks", *shape, "x", "y")).withColumn("share", each("n_shares"))
+    t = t.withColumn("block", share("n_blocks", "id", "x", "y", "shape")).withColumn("share", each("n_shares"))
     q = p.join(cells, ["strip", "col"]).withColumn("share", share("n_shares", "pid", "x", "y")).withColumn("block", each("n_blocks"))
     number = F.col("share").cast("long") * F.col("n_blocks") + F.col("block")
     part = F.least(F.floor((F.col("load_before") + number * F.col("unit_load")) * F.lit(n_parts / total)), F.lit(n_parts - 1)).cast("int").alias("part")
     unit = (F.col("first_unit") + number).alias("unit")
-    t = t.select(part, unit, F.col("rel").cast("int").alias("rel"), *shape, nothing("pid"), "x", "y")
-    q = q.select(part, unit, F.lit(-1).alias("rel"), *(nothing(c) for c in shape), "pid", "x", "y")
+    t = t.select(part, unit, F.col("rel").cast("int").alias("rel"), "id", nothing(p, "pid"), "x", "y", "shape")
+    q = q.select(part, unit, F.lit(-1).alias("rel"), nothing(listed, "id"), "pid", "x", "y", _no_shape())
     both = t.unionByName(q)
     both = both.repartitionById(n_parts, "part") if hasattr(both, "repartitionById") else both.repartition(n_parts, "part")
 
@@ -285,10 +303,7 @@ def _swept(p: DataFrame, listed: DataFrame, cells: DataFrame, kinds: list[tuple[
             there = np.flatnonzero(rel == number)
             t = rows.take(pa.array(there)).combine_chunks()
             if radius is None:
-                lists = {c: pa.chunked_array(t.column(c)).combine_chunks() for c in ("xs", "ys", "sizes")}
-                flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
-                n_rings = np.diff(lists["sizes"].offsets.to_numpy()) if len(t) else np.empty(0, np.int64)
-                targets: Discs | Regions = Regions(flat["xs"], flat["ys"], flat["sizes"].astype(np.int64), n_rings.astype(np.int64))
+                targets: Discs | Regions = _unpacked(t.column("shape").combine_chunks())
             else:
                 targets = Discs(t.column("x").to_numpy(), t.column("y").to_numpy(), radius)
             ids = t.column("id").combine_chunks()
