@@ -58,8 +58,8 @@ def test_csv(spark):
     values = ['0,"7",0,0,1704067205000,116.41 , 39.92', "0,,0,0,x,1,y", "short", None]
     got = [(r.oid, r.ts_ms, r.x, r.y) for r in decode.decode(texts(spark, values), "CSV", attrs=[1, 4, 5, 6]).collect()]
     assert got == [("7", 1704067205000, 116.41, 39.92), (None, None, 1.0, None), (None, None, None, None), (None, None, None, None)]
-    with pytest.raises(ValueError):
-        decode.decode(texts(spark, values), "CSV", "pg")
+    polygon = decode.decode(texts(spark, ["7;POLYGON((0 0, 1 0, 1 1));1704067205000", "7;8"]), "CSV", "pg", attrs=[0, 1, 2, 3], delimiter=";").collect()
+    assert [(r.oid, r.ts_ms) for r in polygon][0] == ("7", 1704067205000) and len(polygon[0].rings[0]) == 3 and polygon[1].rings is None
     row = spark.createDataFrame([("7", 5, 1.0, 2.0), (None, None, None, 2.0)], "oid string, ts_ms bigint, x double, y double")
     assert [r.value for r in encode.encode_csv(row, [1, 4, 5, 6]).collect()] == ["0,7,0,0,5,1.0,2.0", "0,0,0,0,0,0,2.0"]
 

@@ -62,23 +62,34 @@ def test_any_json(value):
             assert by_path[o[2]][4] == o[5]
 
 
-def test_frame(spark):
+def test_spellings():
+    record = '{"value":{"type":"Feature","properties":{"a":%s}}}'
+    one = lambda v: N.occurrences(record % v)[0][4]
+    assert one("1") == one("1.0") == one("1e0") == one("10e-1") != one("1.5") and one("0") == one("-0.0") and one("1e20") == one("1" + "0" * 20)
+    assert one('"1"') != one("1") != one("true") and one("1.50") == one("15e-1")
+
+
+def test_frame(spark, monkeypatch):
+    monkeypatch.setattr(N, "HELD", 1000)
     text = json.dumps({"value": {"type": "Feature", "properties": {"legs": [{"leg": 1}, {"leg": 1}]}}})
     rows = [(1, text, "x"), (2, text, "y"), (3, None, None), (None, text, "z"), (4, '{"value":{"type":"Feature","properties":{"a":"\\ud800é"}}}', "w")]
-    shredded = N.shred(spark.createDataFrame(rows, "record_id bigint, record_json string, content string"))
-    assert N.bridge(shredded).count() == 10
-    objects = {(o.entity, o.n_occurrences) for o in N.objects(shredded).collect()}
-    assert objects == {("feature", 3), ("leg", 6), ("feature", 1)}
-    tables = N.flat_tables(shredded)
+    records = spark.createDataFrame(rows, "record_id bigint, record_json string, content string")
+    linked = N.bridge(records).collect()
+    assert len(linked) == 10 and {(r.record_id, r.node_path) for r in linked if r.record_id} == {(1, "0"), (1, "0.l0"), (1, "0.l1"), (2, "0"), (2, "0.l0"), (2, "0.l1"), (4, "0")}
+    made = {o.object_id: o for o in N.objects(records).collect()}
+    assert sorted((o.entity, o.n_occurrences) for o in made.values()) == [("feature", 1), ("feature", 3), ("leg", 6)]
+    assert all(r.object_id in made and (r.parent_object_id is None or f"{r.ordinal}:{r.entity}:{r.object_id}" in made[r.parent_object_id].content) for r in linked)
+    tables = N.flat_tables(records)
     assert [(r.leg, r.n_occurrences) for r in tables["leg"].collect()] == [("1", 6)] and tables["ring"].count() == 0
-    assert N.shred(spark.createDataFrame([], "record_id bigint, record_json string")).count() == 0
+    empty = spark.createDataFrame([], "record_id bigint, record_json string")
+    assert N.bridge(empty).count() == N.objects(empty).count() == 0
 
 
 def test_long_record(spark):
     line = {"type": "LineString", "coordinates": [[i, i] for i in range(200_000)]}
     text = json.dumps({"value": {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": line}] * 3}})
-    shredded = N.shred(spark.createDataFrame([(1, text)], "record_id bigint, record_json string"))
-    assert shredded.count() == 6 and {(r.entity, r.n_occurrences) for r in N.objects(shredded).collect()} == {("feature", 3), ("geometry", 3)}
+    records = spark.createDataFrame([(1, text)], "record_id bigint, record_json string")
+    assert N.bridge(records).count() == 6 and {(r.entity, r.n_occurrences) for r in N.objects(records).collect()} == {("feature", 3), ("geometry", 3)}
 
 
 def test_records_of_any_depth_and_length():

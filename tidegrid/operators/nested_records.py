@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENTITIES = ("feature", "geometry", "ring", "leg", "call")
-BRIDGE = "entity string, node_path string, parent_path string, ordinal int, object_id string, parent_object_id string, content string"
+BRIDGE = "entity string, node_path string, parent_path string, ordinal int, object_id string, parent_object_id string"
+#: Below this, numbers are written out whole, whatever their spelling.
+WHOLE = 1e21
+#: Bytes of contents whose occurrences a task counts before it gives them on, and what a row takes besides.
+HELD, HELD_ROW = 64 << 20, 300
 _MULTI = {"MultiPoint", "MultiLineString", "MultiPolygon"}
 
 
@@ -27,12 +31,18 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+def _number(text: str) -> int | float:
+    """A number with a point or an exponent; a whole one as an integer, so 1, 1.0 and 1e0 are one value."""
+    f = float(text)
+    return int(f) if f.is_integer() and abs(f) < WHOLE else f
+
+
 def parse_json(text: str | None) -> object:
     """The value of a well-formed JSON text; None for null, empty and malformed ones (NaN and Infinity are no JSON)."""
     if not text or text.isspace():
         return None
     try:
-        return json.loads(text, parse_constant=_no_constant)
+        return json.loads(text, parse_constant=_no_constant, parse_float=_number)
     except (ValueError, RecursionError) as error:
         if isinstance(error, json.JSONDecodeError):
             return None
@@ -43,7 +53,7 @@ def parse_json(text: str | None) -> object:
 
 
 def canonical(value: object) -> str:
-    """One text for all spellings of a value: keys sorted, no blanks."""
+    """One text for all spellings of a value: keys sorted, no blanks, numbers as ``parse_json`` gives them."""
     try:
         return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     except (ValueError, RecursionError):
@@ -97,7 +107,7 @@ def _loads(text: str) -> object:
         elif c == '"':
             value, i = scanstring(text, i + 1, True)
         elif m := _NUMBER.match(text, i):
-            value, i = float(m[0]) if m[1] or m[2] else int(m[0]), m.end()
+            value, i = _number(m[0]) if m[1] or m[2] else int(m[0]), m.end()
         elif m := _WORD.match(text, i):
             value, i = _WORDS[m[0]], m.end()
         else:
@@ -253,8 +263,13 @@ def occurrences(text: str | None) -> list[tuple]:
     ]
 
 
-def shred(records: DataFrame, id_col: str = "record_id", json_col: str = "record_json") -> DataFrame:
-    """All occurrences of objects: ``id_col`` and BRIDGE.
+def _plain(text: str) -> str:
+    """``text`` without lone surrogates, which no table holds."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+def bridge(records: DataFrame, id_col: str = "record_id", json_col: str = "record_json") -> DataFrame:
+    """Parent-child rows of all occurrences of objects: ``id_col`` and BRIDGE.
 
     Paths: a feature's position (``0`` for a lone one); ``.g`` its geometry and ``.i`` members of it, nested; ``.rI``
     rings; ``.lI`` legs; ``.cI`` calls. Positions count null elements, which give no row. Records that are null, empty
@@ -263,6 +278,7 @@ def shred(records: DataFrame, id_col: str = "record_id", json_col: str = "record
     """
     source = records.select(F.col(id_col).alias("__id"), F.col(json_col).alias("__json"))
     id_type = source.schema["__id"].dataType.simpleString()
+    names = ["__id", *(c.split()[0] for c in BRIDGE.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,31 +290,55 @@ def shred(records: DataFrame, id_col: str = "record_id", json_col: str = "record
                 ids.extend([i] * len(found))
                 rows.extend(found)
                 if len(rows) >= 10_000 or (i == len(texts) - 1 and rows):
-                    cols = list(zip(*rows))
-                    strings = [[v.encode("utf-8", "replace").decode() if v is not None and not v.isascii() else v for v in c] if k == 6 else c for k, c in enumerate(cols)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, pa.int32() if k == 3 else pa.string()) for k, c in enumerate(strings))],
-                        names=["__id", "entity", "node_path", "parent_path", "ordinal", "object_id", "parent_object_id", "content"],
-                    )
+                    entity, path, parent, ordinal, own, above, _ = zip(*rows)
+                    cols = [pa.array(c, pa.int32() if c is ordinal else pa.string()) for c in (entity, path, parent, ordinal, own, above)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *cols], names=names)
                     ids, rows = [], []
 
     return source.mapInArrow(run, f"__id {id_type}, {BRIDGE}").withColumnRenamed("__id", id_col)
 
 
-def bridge(occurred: DataFrame) -> DataFrame:
-    """Parent-child rows of every occurrence, without contents."""
-    return occurred.drop("content")
+def objects(records: DataFrame, entity: str | None = None, json_col: str = "record_json") -> DataFrame:
+    """Each distinct object (of one kind) once: object_id, entity, content (canonical JSON, its children as
+    ``ordinal:entity:id``), n_occurrences.
 
+    A task counts the occurrences of each object that it meets (of HELD at a time) and gives its content with the
+    count, so a content moves about once for each task that has it. Equal ids have equal contents, so contents are
+    grouping keys too; then rows are hashed, and no long texts are sorted.
+    """
+    source = records.select(F.col(json_col))
 
-def objects(occurred: DataFrame, entity: str | None = None) -> DataFrame:
-    """Each distinct object once: object_id, entity, content (canonical JSON, its children as ``ordinal:entity:id``),
-    n_occurrences. Often repeated objects shrink to one row per task before the shuffle."""
-    own = occurred if entity is None else occurred.where(F.col("entity") == entity)
-    return own.groupBy("object_id", "entity").agg(F.min("content").alias("content"), F.count("*").alias("n_occurrences"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(i, *v) for i, v in held.items()]
+            for at in range(0, len(rows), 10_000):
+                own, kind, content, n = zip(*rows[at : at + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(kind), pa.array(map(_plain, content), pa.string()), pa.array(n, pa.int64())], names=["object_id", "entity", "content", "n"])
 
-def flat_tables(occurred: DataFrame) -> dict[str, DataFrame]:
-    """The five tables of distinct objects, with the fields of each kind as columns."""
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for kind, _, _, _, own, _, content in occurrences(text):
+                    if entity is not None and kind != entity:
+                        continue
+                    if (known := held.get(own)) is not None:
+                        known[2] += 1
+                        continue
+                    held[own] = [kind, content, 1]
+                    size += len(content) + HELD_ROW
+                    if size >= HELD:
+                        yield from out()
+                        held, size = {}, 0
+        yield from out()
+
+    counted = source.mapInArrow(run, "object_id string, entity string, content string, n bigint")
+    return counted.groupBy("object_id", "entity", "content").agg(F.sum("n").alias("n_occurrences"))
+
+
+def flat_tables(records: DataFrame, json_col: str = "record_json") -> dict[str, DataFrame]:
+    """The five tables of distinct objects, with the fields of each kind as columns; ``bridge`` links them."""
     own = lambda path: F.get_json_object("content", f"$.own.{path}")
     columns = {
         "feature": {"oid": own("properties.oID"), "event_time": own("properties.timestamp"), "operator": own("properties.operator")},
@@ -307,4 +347,4 @@ def flat_tables(occurred: DataFrame) -> dict[str, DataFrame]:
         "leg": {"leg": own("leg"), "mode": own("mode")},
         "call": {"site": own("site"), "arr": own("arr"), "load_in": own("load.in").try_cast("bigint"), "load_out": own("load.out").try_cast("bigint")},
     }
-    return {e: objects(occurred, e).select("object_id", "n_occurrences", *(c.alias(k) for k, c in columns[e].items())) for e in ENTITIES}
+    return {e: objects(records, e, json_col).select("object_id", "n_occurrences", *(c.alias(k) for k, c in columns[e].items())) for e in ENTITIES}

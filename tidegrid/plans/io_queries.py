@@ -75,9 +75,9 @@ def io_wkt_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def io_geojson_records(spark: SparkSession, d: str) -> DataFrame:
-    """Points of the envelope records, bare or as features."""
-    rows = decode.decode_geojson(table(spark, d, "geojson_records"), "pt", "record_json")
-    return rows.where(F.col("x").isNotNull()).select("record_id", "oid", "ts_ms", "x", "y")
+    """Points of the envelope records: bare, as features, and in collections of features."""
+    rows = decode.decode_geojson(decode.features(table(spark, d, "geojson_records"), "record_json"), "pt", "record_json")
+    return rows.where(F.col("x").isNotNull()).select("record_id", "position", "oid", "ts_ms", "x", "y")
 
 
 QUERIES = {f.__name__: f for f in (io_csv_points, io_tsv_points, io_geojson_points, io_wkt_points, io_geojson_polygons, io_wkt_polygons, io_geojson_lines, io_wkt_lines, io_geojson_records)}
@@ -85,9 +85,11 @@ QUERIES = {f.__name__: f for f in (io_csv_points, io_tsv_points, io_geojson_poin
 _ZONES = f"SELECT zone_id, oid, CASE WHEN ts_ms >= {s.USABLE} THEN ts_ms END AS ts_ms, len(rings) AS n_rings, len(flatten(rings)) AS n_vertices, rings[1][1].x AS x, rings[1][1].y AS y FROM zones WHERE len(rings) > 0"
 _LINES = f"SELECT oid, ts_ms, {', '.join(f'path[{i + 1}].{c} AS {c}{i}' for i in range(3) for c in 'xy')} FROM ({s.STREAMS['ls']})"
 SQL = {f"io_{form}_points": s.POINTS for form in ("csv", "tsv", "geojson", "wkt")} | {f"io_{form}_polygons": _ZONES for form in ("geojson", "wkt")} | {f"io_{form}_lines": _LINES for form in ("geojson", "wkt")}
-SQL["io_geojson_records"] = """WITH r AS (SELECT record_id, json_extract(CASE WHEN json_valid(record_json) THEN record_json END, '$.value') AS v FROM geojson_records),
-g AS (SELECT record_id, v, CASE json_type(v, '$.geometry') WHEN 'OBJECT' THEN json_extract(v, '$.geometry') WHEN 'VARCHAR' THEN CAST(json_extract_string(v, '$.geometry') AS JSON) ELSE v END AS g, json_extract(v, '$.properties') AS p FROM r),
-t AS (SELECT *, CASE json_type(p) WHEN 'OBJECT' THEN p WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(p, '$')) THEN CAST(json_extract_string(p, '$') AS JSON) END END AS o FROM g)
-SELECT record_id, nullif(trim(replace(json_extract_string(o, '$.oID'), '"', '')), '') AS oid,
-coalesce(epoch_ms(try_strptime(json_extract_string(o, '$.timestamp'), '%Y-%m-%d %H:%M:%S')), CASE WHEN regexp_full_match(json_extract_string(o, '$.timestamp'), '-?[0-9]{1,18}') THEN CAST(json_extract_string(o, '$.timestamp') AS BIGINT) END) AS ts_ms,
-CAST(json_extract(g, '$.coordinates[0]') AS DOUBLE) AS x, CAST(json_extract(g, '$.coordinates[1]') AS DOUBLE) AS y FROM t WHERE json_extract_string(g, '$.type') = 'Point'"""
+_RECORDS = """(WITH e AS (SELECT record_id, json_extract(CASE WHEN json_valid(record_json) THEN record_json END, '$.value') AS v FROM geojson_records),
+l AS (SELECT record_id, CASE WHEN json_extract_string(v, '$.type') = 'FeatureCollection' THEN CASE json_type(v, '$.features') WHEN 'ARRAY' THEN CAST(json_extract(v, '$.features') AS JSON[]) ELSE [] END ELSE [v] END AS vs FROM e),
+r AS (SELECT record_id, CAST(i - 1 AS INT) AS position, vs[i] AS v FROM l, unnest(generate_series(1, len(vs))) u(i)),
+g AS (SELECT record_id, position, v, CASE json_type(v, '$.geometry') WHEN 'OBJECT' THEN json_extract(v, '$.geometry') WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(v, '$.geometry')) THEN CAST(json_extract_string(v, '$.geometry') AS JSON) END ELSE v END AS g, json_extract(v, '$.properties') AS p FROM r WHERE json_type(v) = 'OBJECT')
+SELECT *, CASE json_type(p) WHEN 'OBJECT' THEN p WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(p, '$')) THEN CAST(json_extract_string(p, '$') AS JSON) END END AS o FROM g)"""
+_META = """nullif(trim(replace(json_extract_string(o, '$.oID'), '"', '')), '') AS oid,
+coalesce(epoch_ms(try_strptime(json_extract_string(o, '$.timestamp'), '%Y-%m-%d %H:%M:%S')), CASE WHEN regexp_full_match(json_extract_string(o, '$.timestamp'), '-?[0-9]{1,18}') THEN CAST(json_extract_string(o, '$.timestamp') AS BIGINT) END) AS ts_ms"""
+SQL["io_geojson_records"] = f"SELECT record_id, position, {_META}, CAST(json_extract(g, '$.coordinates[0]') AS DOUBLE) AS x, CAST(json_extract(g, '$.coordinates[1]') AS DOUBLE) AS y FROM {_RECORDS} WHERE json_extract_string(g, '$.type') = 'Point' AND json_type(g, '$.coordinates[0]') IN ('DOUBLE', 'UBIGINT', 'BIGINT')"

@@ -21,16 +21,20 @@ def point_keys() -> dict:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = nested_records.bridge(nested_records.shred(table(spark, d, "geojson_records")))
-    return found.select("record_id", "entity", "node_path", "parent_path")
+    return p1_bridge(spark, d).select("record_id", "entity", "node_path", "parent_path")
+
+
+def p1_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence with its own and its parent's identity and its place in it."""
+    return nested_records.bridge(table(spark, d, "geojson_records"))
 
 
 def p1_objects(spark: SparkSession, d: str) -> DataFrame:
-    return nested_records.objects(nested_records.shred(table(spark, d, "geojson_records")))
+    return nested_records.objects(table(spark, d, "geojson_records"))
 
 
-def p1_calls(spark: SparkSession, d: str) -> DataFrame:
-    return nested_records.flat_tables(nested_records.shred(table(spark, d, "geojson_records")))["call"]
+def flat(entity: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: nested_records.flat_tables(table(spark, d, "geojson_records"))[entity]
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:
@@ -103,5 +107,6 @@ def p6_site_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_objects, p1_calls, p2_found, p2_counts, p3_found, p3_loaded, p4_found, p4_stats, p4_joined, p5_found, p5_segments, p6_found, p6_site_pairs)
+    f.__name__: f for f in (p1_found, p1_bridge, p1_objects, p2_found, p2_counts, p3_found, p3_loaded, p4_found, p4_stats, p4_joined, p5_found, p5_segments, p6_found, p6_site_pairs)
 }
+QUERIES |= {"p1_features": flat("feature"), "p1_geometries": flat("geometry"), "p1_rings": flat("ring"), "p1_legs": flat("leg"), "p1_calls": flat("call")}
