@@ -55,9 +55,22 @@ def test_windowed_knn_and_trajectories(spark, tmp_path):
     place = spark.createDataFrame([(0.5, 0.5)], "x double, y double")
     stream = arriving(spark, tmp_path, rows + CLOSE)
     batch = spark.createDataFrame(rows, DDL)
-    got = {(int(r.window.start.timestamp() * 1000), i + 1, n.oid) for r in run(spark, spatial.knn_query(stream, place, 0.4, 3, GRID, windows=windows), "k").collect() for i, n in enumerate(r.nearest)}
-    want = {(r.window_start, r.rank, r.oid) for r in spatial.knn_query(batch, place, 0.4, 3, GRID, windows=windows).collect()}
-    assert {g for g in got if g[0] < 10**8} == want
+    start = lambda r: int(r.window.start.timestamp() * 1000)
+    got = {(start(r), r.rank, r.oid) for r in run(spark, spatial.knn_query(stream, place, 0.4, 2, GRID, windows=windows), "k").collect()}
+    want = {(r.window_start, r.rank, r.oid) for r in spatial.knn_query(batch, place, 0.4, 2, GRID, windows=windows).collect()}
+    assert got == want
+    near = trajectories.tknn(stream, 0.5, 0.5, 0.4, 2, GRID, windows)
+    want = {(r.window_start, r.rank, r.oid, r.dist, r.x, r.y) for r in trajectories.tknn(batch, 0.5, 0.5, 0.4, 2, GRID, windows).collect()}
+    assert {(start(r), r.rank, r.oid, r.dist, r.x, r.y) for r in run(spark, near, "n").collect()} == want
+    latest = {}
+
+    def keep(df, batch_id):
+        for r in df.collect():
+            latest.setdefault(start(r), {}).setdefault(batch_id, set()).add((r.rank, r.oid, r.dist))
+
+    every = trajectories.tknn(stream, 0.5, 0.5, 0.4, 2, GRID, windows, every_batch=True)
+    every.writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    assert {(w, *row) for w, by in latest.items() if w < 10**8 for row in by[max(by)]} == {w[:4] for w in want} and max(map(len, latest.values())) > 1
     got = {(int(r.window.start.timestamp() * 1000), r.oid, r.n) for r in run(spark, trajectories.tfilter(stream, None, windows), "t").collect()}
     assert got == {(r.window_start, r.oid, r.n) for r in trajectories.tfilter(batch, None, windows).collect()}
 
@@ -71,6 +84,23 @@ def test_stream_join(spark, tmp_path):
     assert {g for g in got if g[0] < 10**6} == want and want
 
 
+def test_streamed_trajectories(spark, tmp_path):
+    windows = Windows(50_000, None, 5_000)
+    a, b = points(120, 1), points(120, 2)
+    left, right = arriving(spark, tmp_path, a + CLOSE, name="a"), arriving(spark, tmp_path, b + CLOSE, name="b")
+    start = lambda r: int(r.window.start.timestamp() * 1000)
+    own, other = spark.createDataFrame(a, DDL), spark.createDataFrame(b, DDL)
+    got = {(start(r), r.oid, r.qid, r.q_ts_ms, r.q_x) for r in run(spark, trajectories.tjoin(left, right, 0.1, GRID, windows), "tj").collect()}
+    want = {(r.window_start, r.oid, r.qid, r.q_ts_ms, r.q_x) for r in trajectories.tjoin(own, other, 0.1, GRID, windows).collect()}
+    assert got == want and want
+    zones = spark.createDataFrame([([[(0.1, 0.1), (0.4, 0.1), (0.4, 0.4)]],)], "rings array<array<struct<x:double,y:double>>>")
+    got = {(start(r), r.oid, r.n) for r in run(spark, trajectories.trange(left, zones, GRID, windows), "tr").collect()}
+    assert got == {(r.window_start, r.oid, r.n) for r in trajectories.trange(own, zones, GRID, windows).collect()} != set()
+    for fn in ("ALL", "SUM", "MAX"):
+        got = {(start(r), r.cx, r.cy, r.n_traj, *sorted(r.lengths.items())) for r in run(spark, trajectories.taggregate(left, fn, GRID, windows), f"ta_{fn}").collect()}
+        assert got == {(r.window_start, r.cx, r.cy, r.n_traj, *sorted(r.lengths.items())) for r in trajectories.taggregate(own, fn, GRID, windows).collect()} != set()
+
+
 def test_running_stats(spark, tmp_path):
     rows = points()
     got = {(r.oid, r.ts_ms, round(r.spatial_len, 9)) for r in run(spark, stateful.running_stats(arriving(spark, tmp_path, rows)), "s").collect()}

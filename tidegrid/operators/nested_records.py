@@ -37,12 +37,19 @@ def _number(text: str) -> int | float:
     return int(f) if f.is_integer() and abs(f) < WHOLE else f
 
 
+#: Floats that may be whole: only texts that have some need ``_number``.
+_WHOLE_FLOAT = re.compile(r"[0-9]\.0+(?![0-9])|[0-9][eE]")
+_QUICK = json.JSONDecoder(parse_constant=_no_constant)
+_EXACT = json.JSONDecoder(parse_constant=_no_constant, parse_float=_number)
+_ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def parse_json(text: str | None) -> object:
     """The value of a well-formed JSON text; None for null, empty and malformed ones (NaN and Infinity are no JSON)."""
     if not text or text.isspace():
         return None
     try:
-        return json.loads(text, parse_constant=_no_constant, parse_float=_number)
+        return (_EXACT if _WHOLE_FLOAT.search(text) else _QUICK).decode(text)
     except (ValueError, RecursionError) as error:
         if isinstance(error, json.JSONDecodeError):
             return None
@@ -55,7 +62,7 @@ def parse_json(text: str | None) -> object:
 def canonical(value: object) -> str:
     """One text for all spellings of a value: keys sorted, no blanks, numbers as ``parse_json`` gives them."""
     try:
-        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return _ENCODER.encode(value)
     except (ValueError, RecursionError):
         return _unlimited(_dumps, value)
 

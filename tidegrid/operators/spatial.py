@@ -7,7 +7,7 @@ off (``grid=None``). Pairs that share several cells meet in all, and are kept in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import geometry as G
@@ -15,9 +15,6 @@ from tidegrid.grid import Grid
 from tidegrid.operators.windowing import Windows, assign, window_columns
 from tidegrid.shared import spread
 
-#: Rows of an exploded query side that may be broadcast; beyond, both sides are shuffled by cell.
-MAX_CARRIED = 1_000_000
-
 
 def _check(kind: str, query_kind: str, r: float) -> None:
     if kind not in G.KINDS or query_kind not in G.KINDS:
@@ -83,8 +80,8 @@ def range_query(objects: DataFrame, queries: DataFrame, r: float, grid: Grid | N
     """Objects within ``r`` of any query shape, each once (for points: each row; else each ``key``), as they came; with
     ``windows`` once for each window. ``approximate`` takes the bboxes' distance.
 
-    Nothing is shuffled for points: the query set, exploded to blocks of cells, joins by block (broadcast if its size is
-    small). Polygons and lines are exploded to their blocks too and the hits made single by ``key``, which must tell
+    The query set, exploded to blocks of cells, joins by block. The engine broadcasts it if its size in bytes is below
+    the session's threshold, and nothing is shuffled for points; else both sides are shuffled by block. Polygons and lines are exploded to their blocks too and the hits made single by ``key``, which must tell
     rows apart. Objects without a shape match nothing. The time test comes last, so each object is compared once.
     """
     _check(kind, query_kind, r)
@@ -100,7 +97,7 @@ def range_query(objects: DataFrame, queries: DataFrame, r: float, grid: Grid | N
     else:
         side, single = max(1, grid.candidate_layers(r)), kind == "pt"
         left = _blocks(_ranges(left, grid, 0, ""), side, "", single)
-        right = _sized(_blocks(_ranges(right, grid, r, "q_"), side, "q_"))
+        right = _blocks(_ranges(right, grid, r, "q_"), side, "q_")
         hits = left.join(right, _meeting(side, single) & fits, "left_semi")
         if not single:
             hits = hits.dropDuplicates([key])
@@ -113,20 +110,12 @@ def _even(objects: DataFrame, kind: str, query_kind: str) -> DataFrame:
     return objects if kind == query_kind == "pt" else spread(objects)
 
 
-def _sized(queries: DataFrame) -> DataFrame:
-    """A query side, marked for broadcast if it is small. Streams are left to the planner."""
-    if queries.isStreaming:
-        return queries
-    small = queries.select(F.lit(1)).limit(MAX_CARRIED + 1).count() <= MAX_CARRIED
-    return F.broadcast(queries) if small else queries
-
-
 def knn_query(objects: DataFrame, query: DataFrame, r: float, k: int, grid: Grid | None, kind: str = "pt", query_kind: str = "pt", windows: Windows | None = None, approximate: bool = False) -> DataFrame:
     """The ``k`` nearest distinct oids within ``r`` of one query shape (the one row of ``query``; more are an error), per window: window,
     rank, oid, dist. An oid's distance is that of its nearest row; ties are ranked by oid. Null oids don't take part.
 
-    Rows shrink to one per window and oid before they move, then to ``k`` per window. Streams give one row per window
-    with ``nearest``, an array of (dist, oid).
+    Rows shrink to one per window and oid before they move, then to ``k`` per window. On a stream, windows come out once
+    the watermark has passed them (see ``streaming.nearest``).
     """
     _check(kind, query_kind, r)
     if k < 1:
@@ -144,20 +133,22 @@ def knn_query(objects: DataFrame, query: DataFrame, r: float, k: int, grid: Grid
     # One query shape: the join carries a single row to all objects.
     hits = left.join(F.broadcast(right), fits)
     hits = hits.select("oid", "ts_ms", dist.alias("dist"))
+    if objects.isStreaming:
+        from tidegrid.streaming.nearest import nearest
+
+        if windows is None:
+            raise ValueError("on a stream the nearest are those of a window")
+        return nearest(hits.where(F.col("dist") <= r), k, windows).select("window", "rank", "oid", "dist")
     hits = assign(hits, windows) if windows else hits
     by = window_columns(hits) if windows else []
     # The radius is tested on each oid's least distance, so distances are computed once.
-    nearest = hits.groupBy(*by, "oid").agg(F.min("dist").alias("dist")).where(F.col("dist") <= r)
-    return top_k(nearest, k, by)
+    near = hits.groupBy(*by, "oid").agg(F.min("dist").alias("dist")).where(F.col("dist") <= r)
+    return top_k(near, k, by)
 
 
 def top_k(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """The ``k`` rows of least (dist, oid) per window, with their rank."""
-    from pyspark.sql import Window
-
-    if rows.isStreaming:
-        return rows.groupBy("window").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "oid"))), 1, k).alias("nearest"))
-    # Without windows the ranking is over all; the group limit in front leaves k rows per task.
+    """The ``k`` rows of least (dist, oid) per window, with their rank. A group limit in front of the ranking leaves k
+    rows per task and window."""
     order = Window.partitionBy(*by).orderBy("dist", "oid")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

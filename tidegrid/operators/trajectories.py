@@ -13,7 +13,7 @@ from tidegrid.functions import geometry as G
 from tidegrid.functions.canonical import finite
 from tidegrid.grid import Grid
 from tidegrid.operators.prefix import ordinals
-from tidegrid.operators.spatial import _cells, _sized, spatial_join, top_k
+from tidegrid.operators.spatial import _cells, spatial_join, top_k
 from tidegrid.operators.windowing import Windows, assign, window_columns
 from tidegrid.shared import spread
 
@@ -61,9 +61,9 @@ def in_any(points: DataFrame, polygons: DataFrame, grid: Grid | None) -> DataFra
     if grid is None:
         shapes = G.with_shape(polygons.select("rings"), "pg").select("segs", "box")
         boxed = x.between(F.col("box.minx"), F.col("box.maxx")) & y.between(F.col("box.miny"), F.col("box.maxy"))
-        hits = points.join(_sized(shapes), F.when(boxed, G.contains(x, y, F.col("segs"))).otherwise(F.lit(False)), "left_semi")
+        hits = points.join(shapes, F.when(boxed, G.contains(x, y, F.col("segs"))).otherwise(F.lit(False)), "left_semi")
         return hits.withColumn("inside", F.lit(True))
-    index = _sized(polygon_index(polygons, grid)).withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
+    index = polygon_index(polygons, grid).withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
     placed = points.withColumns({"cx": grid.cx(x), "cy": grid.cy(y)})
     joined = placed.join(index, (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy")), "left")
     inside = F.coalesce(F.exists("shapes", lambda s: G.contains(x, y, s)), F.lit(False))
@@ -189,15 +189,22 @@ def _near(points: DataFrame, x: float, y: float, r: float | None, grid: Grid | N
     return near if r is None else near.where(F.col("dist") <= r)
 
 
-def tknn(points: DataFrame, x: float, y: float, r: float | None, k: int, grid: Grid | None, windows: Windows, paths: bool = False) -> DataFrame:
+def tknn(points: DataFrame, x: float, y: float, r: float | None, k: int, grid: Grid | None, windows: Windows, paths: bool = False, every_batch: bool = False) -> DataFrame:
     """The ``k`` trajectories nearest to a place, per window: rank, oid, dist and the nearest point's x, y; with
     ``paths`` the sub-trajectory (n, path) instead, and only oids of two or more points are ranked. ``r`` None: at any
     distance. Ties of distance rank by oid; of an oid's points at one distance the earliest counts.
 
-    Oids shrink to one row per window before ranking; paths are collected for the winners alone.
+    Oids shrink to one row per window before ranking; paths are collected for the winners alone. On a stream (without
+    paths) windows come out when they are closed, or with ``every_batch`` whenever a batch brings points for them.
     """
     if k < 1:
         raise ValueError("k is 1 or more")
+    if points.isStreaming:
+        from tidegrid.streaming.nearest import nearest
+
+        if paths:
+            raise ValueError("on a stream the nearest come without paths")
+        return nearest(_near(usable(points), x, y, r, grid).select("oid", "dist", "ts_ms", "x", "y"), k, windows, every_batch).drop("ts_ms")
     placed = assign(usable(points), windows)
     by = window_columns(placed)
     hits = _near(placed, x, y, r, grid).groupBy(*by, "oid").agg(F.min(F.struct("dist", "ts_ms", "x", "y")).alias("p"))
@@ -214,14 +221,19 @@ def tjoin(points: DataFrame, queries: DataFrame, r: float, grid: Grid | None, wi
     (ts_ms, x, y) and the qid's latest one near the oid (q_ts_ms, q_x, q_y); with ``paths`` both sub-trajectories (path,
     q_path; two or more points each). ``apart`` leaves out pairs of equal ids, for joining a stream to itself.
 
-    Pairs of points shrink to one row per pair of ids where they are made; only those rows move on.
+    Pairs of points shrink to one row per pair of ids where they are made; only those rows move on. On streams (without
+    paths) a pair comes out when its window is closed, with the first of its own oid's points.
     """
     left, right = usable(points).select("oid", "ts_ms", "x", "y"), usable(queries).select("oid", "ts_ms", "x", "y")
     pairs = spatial_join(left, right, r, grid, windows=windows)
     if apart:
         pairs = pairs.where(F.col("oid") != F.col("q_oid"))
-    by = window_columns(assign(left, windows))
+    by = ["window"] if points.isStreaming else window_columns(assign(left, windows))
+    if points.isStreaming and paths:
+        raise ValueError("on streams pairs come without paths")
     met = pairs.groupBy(*by, "oid", F.col("q_oid").alias("qid")).agg(F.min(F.struct("ts_ms", "x", "y")).alias("p"), F.max(F.struct("q_ts_ms", "q_x", "q_y")).alias("q"))
+    if points.isStreaming:
+        return met.select(*by, "oid", "qid", "p.ts_ms", "p.x", "p.y", "q.q_ts_ms", "q.q_x", "q.q_y")
     if not paths:
         first = F.min("p").over(Window.partitionBy(*by, "oid"))
         return met.withColumn("p", first).select(*by, "oid", "qid", "p.ts_ms", "p.x", "p.y", "q.q_ts_ms", "q.q_x", "q.q_y")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,11 +42,15 @@ SPLIT = 4 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it is so small that its files make fewer tasks than there are cores; else as it is, so
-    a large input isn't moved. For work that costs far more than moving a row."""
+    a large input isn't moved. For work that costs far more than moving a row. Rows are the same either way; where the
+    engine's estimate can't be had (as over a remote connection), ``df`` stays as it is."""
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except (AttributeError, NotImplementedError, PySparkException):
+        return df
     return df.repartition(cores) if size < cores * SPLIT else df
 
 
