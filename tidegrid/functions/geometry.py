@@ -125,12 +125,29 @@ def path_path(a: Column, b: Column) -> Column:
     return F.array_min(F.transform(a, lambda s: F.array_min(F.transform(b, lambda t: segment_segment(s, t)))))
 
 
-def _corner_inside(segs: Column, area: Column) -> Column:
-    return F.exists(segs, lambda s: inside(s["ax"], s["ay"], area))
+def _corner_inside(segs: Column, area: Column, box: Column) -> Column:
+    """Whether a segment begins inside an area, of which ``box`` is the bbox."""
+    boxed = lambda s: (s["ax"] >= box["minx"]) & (s["ax"] <= box["maxx"]) & (s["ay"] >= box["miny"]) & (s["ay"] <= box["maxy"])
+    return F.exists(segs, lambda s: boxed(s) & inside(s["ax"], s["ay"], area))
 
 
-def distance(kind: str, a: str, query_kind: str, q: str) -> Column:
-    """Distance of two shapes, whose columns are prefixed ``a`` and ``q``; 0 where they meet. Polygons are areas."""
+def near_segments(segs: Column, box: Column, r: float) -> Column:
+    """Segments whose own bbox is within ``r`` of ``box``: all that can be within ``r`` of a shape in it."""
+    r = r * (1 + 1e-9) + 1e-12
+
+    def near(s: Column) -> Column:
+        out = F.lit(True)
+        for c in "xy":
+            a, b = s[f"a{c}"], s[f"b{c}"]
+            out = out & (F.least(a, b) <= box[f"max{c}"] + r) & (F.greatest(a, b) >= box[f"min{c}"] - r)
+        return out
+
+    return F.filter(segs, near)
+
+
+def distance(kind: str, a: str, query_kind: str, q: str, r: float | None = None) -> Column:
+    """Distance of two shapes, whose columns are prefixed ``a`` and ``q``; 0 where they meet. Polygons are areas. With
+    ``r``, only distances up to it need be right; others may come out larger, or null."""
     c = lambda prefix, name: F.col(f"{prefix}{name}")
     if kind == "pt" and query_kind == "pt":
         return point_distance(c(a, "x"), c(a, "y"), c(q, "x"), c(q, "y"))
@@ -141,10 +158,13 @@ def distance(kind: str, a: str, query_kind: str, q: str) -> Column:
     # A line's last vertex needs no test of its own: where no sides cross, one vertex tells for its whole part.
     overlap = F.lit(False)
     if query_kind == "pg":
-        overlap = overlap | _corner_inside(c(a, "segs"), c(q, "segs"))
+        overlap = overlap | _corner_inside(c(a, "segs"), c(q, "segs"), c(q, "box"))
     if kind == "pg":
-        overlap = overlap | _corner_inside(c(q, "segs"), c(a, "segs"))
-    return F.when(overlap, F.lit(0.0)).otherwise(path_path(c(a, "segs"), c(q, "segs")))
+        overlap = overlap | _corner_inside(c(q, "segs"), c(a, "segs"), c(a, "box"))
+    mine, other = c(a, "segs"), c(q, "segs")
+    if r is not None:
+        mine, other = near_segments(mine, c(q, "box"), r), near_segments(other, c(a, "box"), r)
+    return F.when(overlap, F.lit(0.0)).otherwise(path_path(mine, other))
 
 
 def box_distance(a: Column, b: Column) -> Column:

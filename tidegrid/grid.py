@@ -95,6 +95,15 @@ class Grid:
             "lo_y": F.greatest(self.cy(box["miny"]) - k, lo), "hi_y": F.least(self.cy(box["maxy"]) + k, hi),
         }
 
+    def reach_box(self, box: Column, r: float) -> dict[str, Column]:
+        """The cells, clipped to the grid, that a bbox widened by ``r`` meets: what is within ``r`` of it lies in them."""
+        m = F.lit(r * (1 + 1e-9) + 1e-12 if r > 0 else 0.0)
+        lo, hi = F.lit(0), F.lit(self.n - 1)
+        return {
+            "lo_x": F.greatest(self.cx(box["minx"] - m), lo), "hi_x": F.least(self.cx(box["maxx"] + m), hi),
+            "lo_y": F.greatest(self.cy(box["miny"] - m), lo), "hi_y": F.least(self.cy(box["maxy"] + m), hi),
+        }
+
     def cells(self, lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column) -> Column:
         """All cells of an index rectangle, as array<struct<cx, cy>>; empty where a range is."""
         some = (lo_x <= hi_x) & (lo_y <= hi_y)

@@ -34,8 +34,8 @@ def _cells(df: DataFrame, grid: Grid, r: float, prefix: str) -> DataFrame:
 
 
 def _ranges(df: DataFrame, grid: Grid, r: float, prefix: str) -> DataFrame:
-    """``df`` with its cells' ranges (lo_x, hi_x, lo_y, hi_y), as far as they are in the grid."""
-    df = df.withColumns({f"{prefix}{k}": v for k, v in grid.near_box(F.col(f"{prefix}box"), r).items()})
+    """``df`` with the ranges of the cells it reaches (lo_x, hi_x, lo_y, hi_y), as far as they are in the grid."""
+    df = df.withColumns({f"{prefix}{k}": v for k, v in grid.reach_box(F.col(f"{prefix}box"), r).items()})
     return df.where((F.col(f"{prefix}lo_x") <= F.col(f"{prefix}hi_x")) & (F.col(f"{prefix}lo_y") <= F.col(f"{prefix}hi_y")))
 
 
@@ -65,7 +65,7 @@ def _meeting(side: int, single: bool) -> Column:
 def within(kind: str, query_kind: str, r: float, approximate: bool = False) -> tuple[Column, Column]:
     """Condition and distance of a pair with columns as they are and prefixed ``q_``. The bboxes are tried first."""
     boxes = G.box_distance(F.col("box"), F.col("q_box"))
-    dist = boxes if approximate else G.distance(kind, "", query_kind, "q_")
+    dist = boxes if approximate else G.distance(kind, "", query_kind, "q_", r)
     if approximate or (kind == "pt" and query_kind == "pt"):
         return dist <= r, dist
     # A bbox can't be farther than its shape; the margin is for rounding.

@@ -55,8 +55,12 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pings(spark: SparkSession, d: str) -> DataFrame:
+    return pings_of(table(spark, d, "events"))
+
+
+def pings_of(rows: DataFrame) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("oid"), ms.alias("ts_ms"), F.expr(PING_X).alias("x"), F.expr(PING_Y).alias("y"))
+    return rows.select("event_id", F.col("user_id").cast("string").alias("oid"), ms.alias("ts_ms"), F.expr(PING_X).alias("x"), F.expr(PING_Y).alias("y"))
 
 
 def zone_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -135,15 +139,14 @@ for _k in G.KINDS:
         QUERIES[f"range_{_k}_{_q}"] = _range(_k, _q)
         QUERIES[f"knn_{_k}_{_q}_window"] = _knn(_k, _q)
         QUERIES[f"join_{_k}_{_q}_window"] = _join(_k, _q)
-for _q in G.KINDS:
-    QUERIES[f"range_pt_{_q}_approx"] = _range("pt", _q, approximate=True)
-QUERIES["range_pt_pt_window"] = _range("pt", "pt", windows=TWO_DAYS)
+        QUERIES[f"range_{_k}_{_q}_window"] = _range(_k, _q, windows=TWO_DAYS)
+        QUERIES[f"range_{_k}_{_q}_approx"] = _range(_k, _q, approximate=True)
+        QUERIES[f"knn_{_k}_{_q}_approx"] = _knn(_k, _q, approximate=True)
+        QUERIES[f"join_{_k}_{_q}_approx"] = _join(_k, _q, approximate=True)
 QUERIES["range_pt_pg_naive"] = _range("pt", "pg", grid=None)
 QUERIES["knn_pt_pg_naive"] = _knn("pt", "pg", grid=None)
-QUERIES["knn_pt_pg_approx"] = _knn("pt", "pg", approximate=True)
 QUERIES["join_pt_pt_naive"] = _join("pt", "pt", grid=None)
 QUERIES["join_pt_pg_naive"] = _join("pt", "pg", grid=None)
-QUERIES["join_pg_pg_approx"] = _join("pg", "pg", approximate=True)
 
 
 def summary(paths: DataFrame, *keys: str) -> DataFrame:
@@ -240,6 +243,17 @@ def tjoin_rt(spark: SparkSession, d: str) -> DataFrame:
     return trajectories.tjoin(points(spark, d), pings(spark, d), JOIN_R, BEIJING, ONE_DAY).drop("window_end")
 
 
+@query
+def tjoin_naive(spark: SparkSession, d: str) -> DataFrame:
+    """As ``tjoin_rt``, by comparing all pairs of a window's points."""
+    return trajectories.tjoin(points(spark, d), pings(spark, d), JOIN_R, None, ONE_DAY).drop("window_end")
+
+
+@query
+def tknn_window_naive(spark: SparkSession, d: str) -> DataFrame:
+    return summary(trajectories.tknn(events(spark, d), *PLACE, None, K, None, TWO_DAYS, paths=True), "window_start", "rank", "oid")
+
+
 def _joined(paths: DataFrame) -> DataFrame:
     length = lambda c: F.round(G.path_length(F.col(c)), 6)
     return paths.select("window_start", "oid", "qid", F.size("path").cast("long").alias("n"), length("path").alias("length"), F.size("q_path").cast("long").alias("q_n"), length("q_path").alias("q_length"))
@@ -272,12 +286,16 @@ def stay_normalized(spark: SparkSession, d: str) -> DataFrame:
     return value.select("window_start", "cx", "cy", F.round("value", 4).alias("value"))
 
 
-@query
-def checkin(spark: SparkSession, d: str) -> DataFrame:
+def devices_of(rows: DataFrame) -> DataFrame:
+    """Events as check-ins at five rooms."""
     device = F.expr("'room' || CAST(user_id%5 AS STRING) || CASE WHEN (event_id*31)%3=0 THEN '-out' ELSE '-in' END")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    made = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), ms.alias("ts_ms"), device.alias("device_id"))
-    return check_in.check_in(made, CAPACITIES)
+    return rows.select("event_id", F.col("user_id").cast("string").alias("user_id"), ms.alias("ts_ms"), device.alias("device_id"))
+
+
+@query
+def checkin(spark: SparkSession, d: str) -> DataFrame:
+    return check_in.check_in(devices_of(table(spark, d, "events")), CAPACITIES)
 
 
 @query
@@ -309,8 +327,3 @@ def grid_layers(spark: SparkSession, d: str) -> DataFrame:
     layer = BEIJING.layer(F.col("cx"), F.col("cy"), F.lit(qx), F.lit(qy))
     return s.select("site_id", BEIJING.id_of(F.col("cx"), F.col("cy")).alias("cell"), layer.alias("layer"), (layer <= BEIJING.candidate_layers(0.1)).alias("candidate"), (layer <= BEIJING.guaranteed_layers(0.1)).alias("guaranteed"))
 
-
-@query
-def range_pt_pt_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Each window's hits, from one test per point."""
-    return _range("pt", "pt", windows=TWO_DAYS)(spark, d)

@@ -132,14 +132,18 @@ def _range(kind: str, query_kind: str, windowed: bool = False, **how: bool) -> s
     return f"{with_}\n{windows(hits, q.TWO_DAYS.size, q.TWO_DAYS.step) if windowed else hits}"
 
 
-def _knn(kind: str, query_kind: str, **how: bool) -> str:
+def knn(kind: str, query_kind: str, size: int, slide: int, **how: bool) -> str:
     hits = f"SELECT a.oid, a.ts_ms, p.dist FROM p JOIN a ON a.rid = ra"
     return f"""{pairs(kind, query_kind, STREAMS[kind], one_shape(query_kind), q.KNN_R, **how)},
-w AS ({windows(hits, q.TWO_DAYS.size, q.TWO_DAYS.step)}), m AS (SELECT window_start, oid, min(dist) AS dist FROM w GROUP BY ALL),
+w AS ({windows(hits, size, slide)}), m AS (SELECT window_start, oid, min(dist) AS dist FROM w GROUP BY ALL),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY window_start ORDER BY dist, oid) AS INT) AS rank FROM m)
 SELECT window_start, rank, oid, round(dist, 6) AS dist FROM o WHERE rank <= {q.K}"""
 
 
+def _knn(kind: str, query_kind: str, **how: bool) -> str:
+    return knn(kind, query_kind, q.TWO_DAYS.size, q.TWO_DAYS.step, **how)
+
+
 def _join(kind: str, query_kind: str, **how: bool) -> str:
     keys = ", ".join([*(f"a.{k}" for k in q.KEYS[kind]), *(f"b.{k} AS q_{k}" for k in q.Q_KEYS[query_kind])])
     right = f"SELECT * FROM ({QUERY_STREAMS[query_kind]}) WHERE ts_ms IS NOT NULL"
@@ -152,15 +156,14 @@ for _k in KINDS:
         SQL[f"range_{_k}_{_q}"] = _range(_k, _q)
         SQL[f"knn_{_k}_{_q}_window"] = _knn(_k, _q)
         SQL[f"join_{_k}_{_q}_window"] = _join(_k, _q)
-for _q in KINDS:
-    SQL[f"range_pt_{_q}_approx"] = _range("pt", _q, approximate=True)
-SQL["range_pt_pt_window"] = SQL["range_pt_pt_incremental"] = _range("pt", "pt", windowed=True)
+        SQL[f"range_{_k}_{_q}_window"] = _range(_k, _q, windowed=True)
+        SQL[f"range_{_k}_{_q}_approx"] = _range(_k, _q, approximate=True)
+        SQL[f"knn_{_k}_{_q}_approx"] = _knn(_k, _q, approximate=True)
+        SQL[f"join_{_k}_{_q}_approx"] = _join(_k, _q, approximate=True)
 SQL["range_pt_pg_naive"] = _range("pt", "pg", grid=False)
 SQL["knn_pt_pg_naive"] = _knn("pt", "pg", grid=False)
-SQL["knn_pt_pg_approx"] = _knn("pt", "pg", approximate=True)
 SQL["join_pt_pt_naive"] = _join("pt", "pt", grid=False)
 SQL["join_pt_pg_naive"] = _join("pt", "pg", grid=False)
-SQL["join_pg_pg_approx"] = _join("pg", "pg", approximate=True)
 
 IDS = ", ".join(f"'{i}'" for i in q.IDS)
 _STEP = "coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0)"
@@ -206,7 +209,7 @@ IN_GRID = f"{CX} BETWEEN 0 AND {N - 1} AND {CY} BETWEEN 0 AND {N - 1}"
 CELLED = f"SELECT *, {CX} AS cx, {CY} AS cy FROM ({{}}) WHERE {IN_GRID}"
 
 
-def _heat(rows: str, by: str, fn: str, moved: str = "n >= 2") -> str:
+def heat(rows: str, by: str, fn: str, moved: str = "n >= 2") -> str:
     base = f"WITH l AS MATERIALIZED (SELECT {by}, oid, max(ts_ms) - min(ts_ms) AS ms, count(*) AS n, max(ts_ms) AS last_ms FROM ({rows}) GROUP BY {by}, oid)"
     if fn == "ALL":
         return f"{base} SELECT {by}, count(*) OVER (PARTITION BY {by}) AS n_traj, oid AS key, ms AS value FROM l"
@@ -218,9 +221,16 @@ def _heat(rows: str, by: str, fn: str, moved: str = "n >= 2") -> str:
 
 
 for _fn in ("ALL", "SUM", "AVG", "MIN", "MAX"):
-    SQL[f"tagg_{_fn.lower()}_time"] = _heat(_two_days(CELLED.format(POINTS)), "window_start, cx, cy", _fn)
-_NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY ts_ms, event_id, oid) AS rn, count(*) OVER (PARTITION BY cx, cy) AS n_cell FROM ({CELLED.format(EVENTS)})"
-SQL["tagg_sum_count"] = _heat(f"SELECT t.*, g.e * 10 AS last FROM ({_NUMBERED}) t JOIN (SELECT unnest(generate_series(1, (SELECT count(*) FROM moving_points) // 10)) AS e) g ON g.e BETWEEN (rn + 9) // 10 AND (rn + 19) // 10 WHERE g.e * 10 <= n_cell", "last, cx, cy", "SUM")
+    SQL[f"tagg_{_fn.lower()}_time"] = heat(_two_days(CELLED.format(POINTS)), "window_start, cx, cy", _fn)
+
+
+def count_windows(rows: str) -> str:
+    numbered = f"SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY ts_ms, event_id, oid) AS rn, count(*) OVER (PARTITION BY cx, cy) AS n_cell FROM ({CELLED.format(rows)})"
+    ends = "(SELECT unnest(generate_series(1, (SELECT count(*) FROM moving_points) // 10)) AS e)"
+    return heat(f"SELECT t.*, g.e * 10 AS last FROM ({numbered}) t JOIN {ends} g ON g.e BETWEEN (rn + 9) // 10 AND (rn + 19) // 10 WHERE g.e * 10 <= n_cell", "last, cx, cy", "SUM")
+
+
+SQL["tagg_sum_count"] = count_windows(EVENTS)
 _NOW = 1705276800000
 SQL["tagg_max_rt"] = f"""WITH l AS (SELECT cx, cy, oid, max(ts_ms) - min(ts_ms) AS ms, max(ts_ms) AS last_ms FROM ({CELLED.format(POINTS)}) WHERE ts_ms <= {_NOW} GROUP BY ALL),
 o AS (SELECT *, count(*) OVER (PARTITION BY cx, cy) AS n_traj, row_number() OVER (PARTITION BY cx, cy ORDER BY ms DESC, oid) AS nth FROM l WHERE last_ms >= {_NOW - 7 * q.DAY})
@@ -241,20 +251,33 @@ o AS (SELECT h.*, CAST(row_number() OVER (PARTITION BY window_start ORDER BY dis
 
 
 _BEST = "SELECT window_start, rank, oid, round(dist, 6) AS dist, x, y FROM best"
+
+
+def tknn(rows: str, r: float | None, size: int, slide: int) -> str:
+    return f"{_tknn(rows, r, size, slide)} {_BEST}"
+
+
 SQL["tknn_rt"] = f"{_tknn(POINTS, q.KNN_R, q.HOUR, q.HOUR)} {_BEST}"
 SQL["tknn_naive"] = f"{_tknn(POINTS, None, q.DAY, q.DAY)} {_BEST}"
 SQL["tknn_window"] = f"{_tknn(EVENTS, q.KNN_R, q.TWO_DAYS.size, q.TWO_DAYS.step, 2)} {_summary('SELECT w.*, rank FROM w JOIN best USING (window_start, oid)', 'window_start, rank, oid')}"
 
+SQL["tknn_window_naive"] = f"{_tknn(EVENTS, None, q.TWO_DAYS.size, q.TWO_DAYS.step, 2)} {_summary('SELECT w.*, rank FROM w JOIN best USING (window_start, oid)', 'window_start, rank, oid')}"
+
 
-def _met(left: str, right: str, r: float, size: int, apart: bool = False) -> str:
+def _met(left: str, right: str, r: float, size: int, apart: bool = False, grid: bool = True) -> str:
     """Rows (window_start, oid, qid, and both points) of all pairs of points."""
-    return f"""{pairs('pt', 'pt', left, right, r, windowed=size)},
+    return f"""{pairs('pt', 'pt', left, right, r, grid, windowed=size)},
 met AS MATERIALIZED (SELECT window_start, a.oid, b.oid AS qid, {{'ts_ms': a.ts_ms, 'x': a.x, 'y': a.y}} AS p, {{'ts_ms': b.ts_ms, 'x': b.x, 'y': b.y}} AS q FROM p JOIN a ON a.rid = ra JOIN b ON b.rid = rb{' WHERE a.oid <> b.oid' if apart else ''})"""
 
 
 _TJOIN = """, g AS (SELECT window_start, oid, qid, min(p) AS p, max(q) AS q FROM met GROUP BY ALL), f AS (SELECT window_start, oid, qid, min(p) OVER (PARTITION BY window_start, oid) AS p, q FROM g)
 SELECT window_start, oid, qid, p.ts_ms AS ts_ms, p.x AS x, p.y AS y, q.ts_ms AS q_ts_ms, q.x AS q_x, q.y AS q_y FROM f"""
+#: As streams give it: every pair with the first point of its own.
+SQL_TJOIN_PAIRS = f"{_met(POINTS, PINGS, q.JOIN_R, q.DAY)}{_TJOIN.split(', f AS')[0]} SELECT window_start, oid, qid, p.ts_ms AS ts_ms, p.x AS x, p.y AS y, q.ts_ms AS q_ts_ms, q.x AS q_x, q.y AS q_y FROM g"
+SQL_TRANGE_DAY = f"""{_contained(POINTS)}, w AS ({windows('SELECT event_id, oid, ts_ms, x, y, (event_id, ts_ms, x, y) IN (SELECT (event_id, ts_ms, x, y) FROM inner_points) AS hit FROM a', q.DAY, q.DAY)})
+SELECT window_start, oid, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 2 AND bool_or(hit)"""
 SQL["tjoin_rt"] = f"{_met(POINTS, PINGS, q.JOIN_R, q.DAY)}{_TJOIN}"
+SQL["tjoin_naive"] = f"{_met(POINTS, PINGS, q.JOIN_R, q.DAY, grid=False)}{_TJOIN}"
 SQL["tjoin_self"] = f"{_met(EVENTS, EVENTS, q.NEAR, q.HOUR, True)}{_TJOIN}"
 _DAYS = lambda sql: _summary(windows(sql, q.DAY, q.DAY), "window_start, oid")
 SQL["tjoin_window"] = f"""{_met(EVENTS, PINGS, q.JOIN_R, q.DAY)}, l AS ({_DAYS(EVENTS)}), r AS ({_DAYS(PINGS)})
@@ -293,10 +316,12 @@ SQL["stay_sensor"] = f"WITH {_SENSOR} SELECT * FROM sensor"
 SQL["stay_normalized"] = f"{_STAY}, {_SENSOR} SELECT window_start, cx, cy, round(stay_ms / 1000 / n_ts * {q.DAY // 1000}, 4) AS value FROM stay JOIN sensor USING (window_start, cx, cy)"
 
 _CAPACITY = " ".join(f"WHEN '{k}' THEN {v}" for k, v in q.CAPACITIES.items())
-SQL["checkin"] = f"""WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, 'room' || CAST(user_id % 5 AS VARCHAR) AS room, CASE WHEN (event_id * 31) % 3 = 0 THEN 'out' ELSE 'in' END AS way FROM events),
+_COMPLETE = """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, 'room' || CAST(user_id % 5 AS VARCHAR) AS room, CASE WHEN (event_id * 31) % 3 = 0 THEN 'out' ELSE 'in' END AS way FROM events),
 l AS (SELECT *, lag(room || way) OVER w AS before, lag(ts_ms) OVER w AS t0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts_ms, event_id)),
-f AS (SELECT event_id, room, way, ts_ms, false AS inserted FROM l UNION ALL
-  SELECT event_id, room, CASE way WHEN 'in' THEN 'out' ELSE 'in' END, (t0 + ts_ms) // 2, true FROM l WHERE before = room || way AND t0 < ts_ms)
+f AS (SELECT event_id, user_id, room, way, ts_ms, false AS inserted FROM l UNION ALL
+  SELECT event_id, user_id, room, CASE way WHEN 'in' THEN 'out' ELSE 'in' END, (t0 + ts_ms) // 2, true FROM l WHERE before = room || way AND t0 < ts_ms)"""
+SQL_MISSED = f"{_COMPLETE} SELECT event_id, user_id, inserted, ts_ms, room || '-' || way AS device_id FROM f"
+SQL["checkin"] = f"""{_COMPLETE}
 SELECT room, CAST(CASE room {_CAPACITY} END AS INT) AS capacity, CAST(sum(CASE way WHEN 'in' THEN 1 ELSE -1 END) OVER (PARTITION BY room ORDER BY ts_ms, event_id, NOT inserted ROWS UNBOUNDED PRECEDING) AS BIGINT) AS occupancy, ts_ms, event_id, inserted FROM f"""
 _HEAT_COUNT = f"SELECT cx, cy, count(*) AS n FROM ({CELLED.format(POINTS)}) GROUP BY ALL"
 SQL["heat_count"] = _HEAT_COUNT

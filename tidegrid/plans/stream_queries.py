@@ -57,6 +57,44 @@ def stream_tstats_rt(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("oid", "ts_ms", F.round("spatial_len", 6).alias("spatial_len"), "temporal_len_ms")
 
 
+def _start(df: DataFrame) -> DataFrame:
+    return df.withColumn("window_start", F.unix_millis("window.start"))
+
+
+def stream_knn_pt_pt(spark: SparkSession, d: str) -> DataFrame:
+    best = _worked_off(spatial.knn_query(_points(spark, d), q.one_shape(spark, "pt"), q.KNN_R, q.K, BEIJING, windows=q.ONE_DAY), "knn")
+    return _start(best).select("window_start", "rank", "oid", F.round("dist", 6).alias("dist"))
+
+
+def stream_tknn(spark: SparkSession, d: str) -> DataFrame:
+    best = _worked_off(trajectories.tknn(_points(spark, d), *q.PLACE, q.KNN_R, q.K, BEIJING, q.ONE_DAY), "tknn")
+    return _start(best).select("window_start", "rank", "oid", F.round("dist", 6).alias("dist"), "x", "y")
+
+
+def stream_tagg_sum(spark: SparkSession, d: str) -> DataFrame:
+    heat = _worked_off(trajectories.taggregate(_points(spark, d), "SUM", BEIJING, q.ONE_DAY), "heat")
+    return _start(heat).select("window_start", "cx", "cy", "n_traj", F.element_at("lengths", F.lit("")).alias("value"))
+
+
+def stream_trange_window(spark: SparkSession, d: str) -> DataFrame:
+    found = _worked_off(trajectories.trange(_points(spark, d), q.zones(spark, d), BEIJING, q.ONE_DAY), "trange")
+    return _start(found).select("window_start", "oid", F.col("n").cast("long").alias("n"))
+
+
+def stream_tjoin(spark: SparkSession, d: str) -> DataFrame:
+    pings = q.pings_of(_stream(spark, d, "events"))
+    met = _worked_off(trajectories.tjoin(_points(spark, d), pings, q.JOIN_R, BEIJING, q.ONE_DAY), "tjoin")
+    return _start(met).select("window_start", "oid", "qid", "ts_ms", "x", "y", "q_ts_ms", "q_x", "q_y")
+
+
+def stream_count_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _worked_off(stateful.count_windows(_points(spark, d), BEIJING, 20, 10), "counts")
+
+
+def stream_missed_events(spark: SparkSession, d: str) -> DataFrame:
+    return _worked_off(stateful.missed_events(q.devices_of(_stream(spark, d, "events"))), "missed")
+
+
 SLICES = 4
 
 
@@ -110,7 +148,7 @@ def site_distances(spark: SparkSession, d: str) -> DataFrame:
     return t.select("site_id", *(F.round(v, 1 if k == "metres" else 6).alias(k) for k, v in d_.items()))
 
 
-QUERIES = {f.__name__: f for f in (stream_range_pt_pt, stream_range_pt_pg, stream_trange_rt, stream_tstats_rt, p2_streamed, replicate_pg, replicate_ls_near, cell_filter_pt, bboxes, site_distances)}
+QUERIES = {f.__name__: f for f in (stream_range_pt_pt, stream_range_pt_pg, stream_trange_rt, stream_tstats_rt, stream_knn_pt_pt, stream_tknn, stream_tagg_sum, stream_trange_window, stream_tjoin, stream_count_windows, stream_missed_events, p2_streamed, replicate_pg, replicate_ls_near, cell_filter_pt, bboxes, site_distances)}
 
 
 def _cells(sql: str, kind: str, keys: str, r: float) -> str:
@@ -122,7 +160,20 @@ def _cells(sql: str, kind: str, keys: str, r: float) -> str:
 _X, _Y = (f"CAST({v} AS DOUBLE)" for v in q.PLACE)
 _QX, _QY = BEIJING.index(*q.PLACE)
 _NEAR = BEIJING.candidate_layers(0.1)
+
+def closed(sql: str, points: str = s.POINTS, aligned: bool = False) -> str:
+    """Rows of windows that the watermark passes at the end: it stands at the last point's time; ``aligned``: at the start
+    of the last point's window."""
+    last = f"(SELECT max(ts_ms{f' - ts_ms % {q.DAY}' if aligned else ''}) FROM ({points}))"
+    return f"SELECT * FROM ({sql}) WHERE window_start + {q.DAY} <= {last}"
+
+
+_IN_REACH = f"SELECT * FROM ({s.POINTS}) WHERE sqrt((x - {_X}) * (x - {_X}) + (y - {_Y}) * (y - {_Y})) <= {q.KNN_R!r} AND {s.IN_GRID}"
 SQL = {
+    "stream_knn_pt_pt": closed(s.knn("pt", "pt", q.DAY, q.DAY), _IN_REACH, True), "stream_tknn": closed(s.tknn(s.POINTS, q.KNN_R, q.DAY, q.DAY), _IN_REACH, True),
+    "stream_tagg_sum": closed(s.heat(s.windows(s.CELLED.format(s.POINTS), q.DAY, q.DAY), "window_start, cx, cy", "SUM")).replace("SELECT * FROM", "SELECT window_start, cx, cy, n_traj, value FROM", 1),
+    "stream_trange_window": closed(s.SQL_TRANGE_DAY), "stream_tjoin": closed(s.SQL_TJOIN_PAIRS, f"SELECT least((SELECT max(ts_ms) FROM ({s.POINTS})), (SELECT max(ts_ms) FROM ({s.PINGS}))) AS ts_ms"),
+    "stream_count_windows": f"SELECT cx, cy, last, n_traj, value AS sum_ms FROM ({s.count_windows(s.POINTS)})", "stream_missed_events": s.SQL_MISSED,
     "stream_range_pt_pt": s.SQL["range_pt_pt"], "stream_range_pt_pg": s.SQL["range_pt_pg"], "stream_trange_rt": s.SQL["trange_rt"],
     "stream_tstats_rt": f"SELECT oid, ts_ms, spatial_len, temporal_len_ms FROM ({s.SQL['tstats_rt']})",
     "p2_streamed": f"SELECT stream_name, oid, period_start_ms, n FROM ({p.SQL['p2_counts']}) WHERE n > 0",

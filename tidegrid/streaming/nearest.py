@@ -66,7 +66,7 @@ def nearest(hits: DataFrame, k: int, windows: Windows, every_batch: bool = False
         state_.update(tuple(now[n].tolist() for n in kept))
         if every_batch:
             yield ranked(key, now)
-        state_.setTimeoutTimestamp(max(int(key[1].timestamp() * 1000), state_.getCurrentWatermarkMs() + 1))
+        state_.setTimeoutTimestamp(max(int(key[1].timestamp() * 1000) - 1, state_.getCurrentWatermarkMs() + 1))
 
     done = few.groupBy("start", "end").applyInPandasWithState(step, out, state, "update" if every_batch else "append", GroupStateTimeout.EventTimeTimeout)
     return done.select(F.struct("start", "end").alias("window"), "rank", *kept)
