@@ -11,8 +11,8 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache, reduce
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,8 @@ _GERMAN_TENS = "(?:zwanzig|drei(?:ss|\u00df)ig|vierzig|funfzig|sechzig|siebzig|a
 _GERMAN_SMALL = f"(?:(?:{_ONES}und)?{_GERMAN_TENS}|(?:drei|vier|funf|sech|sieb|acht|neun)?zehn|elf|zwolf|{_ONES})"
 _GERMAN_HUNDREDS = f"(?:{_ONES}?hundert(?:und)?{_GERMAN_SMALL}?|{_GERMAN_SMALL})"
 _GERMAN = re.compile(f"(?:{_GERMAN_HUNDREDS}?tausend(?:und)?)?{_GERMAN_HUNDREDS}?")
+#: Characters of the passages that a task holds at a time (their index takes some ten times as many bytes).
+BLOCK = 4_000_000
 NAME, NUMBER, UNIT = 1, 2, 3  # templates' placeholders; literal words come after
 
 
@@ -133,57 +135,38 @@ class _Texts:
         return " ".join(self.flat[self.first[i] : self.first[i + 1]]).lower()
 
 
-def common_words(passages: Iterator[str]) -> set[str]:
-    """Words that some passage writes without a capital."""
-    return {w for p in passages for w in cased_words(p) if w == w.lower()}
+def word_forms(passages: Iterator[str]) -> set[tuple[str, bool]]:
+    """Words of passages, lower-cased, and whether they are written without a capital there."""
+    return {(w.lower(), w == w.lower()) for p in passages for w in cased_words(p)}
 
 
-class Passages:
-    """Templates of a block of passages, by window. ``common``: the common words of all passages, whatever the block."""
+class Lexicon:
+    """The words of all passages with what they stand for in templates, whatever blocks the passages are in."""
 
-    def __init__(self, items: list[tuple[object, str]], rules: TemplateRules, common: set[str]) -> None:
-        self.rules, self.ids, self.common = rules, [i for i, _ in items], common
-        cased = [cased_words(p) for _, p in items]
+    def __init__(self, forms: set[tuple[str, bool]]) -> None:
+        self.common = {w for w, plain in forms if plain}
         # Names are always written with a capital. Words met only where sentences begin may be names, so they are too.
-        self.names = {w.lower() for ws in cased for w in ws if w[0].isupper()} - common
-        self.lexicon: dict[str, int] = {}
-        all_words = {w.lower(): None for ws in cased for w in ws}
-        kinds = {w: NAME for w in self.names} | {w: NUMBER for w in [*NUMBER_WORDS, *all_words] if number_word(w)} | {w: UNIT for w in UNIT_WORDS}
-        for w in [*kinds, *LINKS, *ARTICLES, *all_words]:
-            self.lexicon.setdefault(w, len(self.lexicon) + 1)
-        n = len(self.lexicon) + 1
-        self.template = np.zeros(n, np.int64)  # by lexicon number; 0: in no passage
-        for w, i in self.lexicon.items():
+        words = sorted({w for w, _ in forms})
+        names = [w for w in words if w not in self.common]
+        kinds = {w: NAME for w in names} | {w: NUMBER for w in [*NUMBER_WORDS, *words] if number_word(w)} | {w: UNIT for w in UNIT_WORDS}
+        self.number: dict[str, int] = {}
+        for w in [*kinds, *LINKS, *ARTICLES, *words]:
+            self.number.setdefault(w, len(self.number) + 1)
+        n = len(self.number) + 1
+        self.template = np.zeros(n, np.int64)  # by number; 0: in no passage
+        for w, i in self.number.items():
             self.template[i] = kinds.get(w, i + UNIT)
-        known = lambda ws: np.isin(np.arange(n), [self.lexicon[w] for w in ws])
+        known = lambda ws: np.isin(np.arange(n), [self.number[w] for w in ws])
         self.article, self.multiplier, self.before_one = known(ARTICLES), known(MULTIPLIERS), known(BEFORE_ONE)
         self.link, self.opens = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for w, (k, after) in LINKS.items():
-            self.link[self.lexicon[w]] = k
+            self.link[self.number[w]] = k
             self.opens[known(after.split())] |= 1 << k
-        own = self.own = self._texts([p for _, p in items])
-        w = rules.window
-        at = np.arange(max(0, len(own.word_lex) - w + 1))
-        at = at[own.word_text[at] == own.word_text[at + w - 1]]
-        keys = dict(_rolling(own.word_lex, [w])).get(w, np.empty(0, np.uint64))
-        self.verbatim = _Index(keys[at], at)
-        # Windows of the template hold as many words of the passage, however many positions these are.
-        self.numerals: dict[str, int] = {}
-        for i in np.flatnonzero(own.template == NUMBER).tolist():
-            own.value[i] = self.numerals.setdefault(own.said(i), -2 - len(self.numerals))
-        sums = np.concatenate([[0], np.cumsum(own.words)])
-        at = np.flatnonzero(own.words)
-        end = np.searchsorted(sums, sums[at] + w)
-        fine = end < len(sums)
-        at, end = at[fine], end[fine]
-        fine = own.text[at] == own.text[end - 1]
-        at, size = at[fine], (end - at)[fine]
-        self.others = {n: _Index(keys[at[size == n]], at[size == n]) for n, keys in _rolling(own.template, np.unique(size).tolist())}
 
-    def _texts(self, texts: list[str]) -> _Texts:
+    def read(self, texts: list[str]) -> _Texts:
         parts = [tokens(t) for t in texts]
         flat = [x for ws in parts for x in ws]
-        get = self.lexicon.get
+        get = self.number.get
         lex = np.fromiter((get(x.lower(), 0) for x in flat), np.int64, len(flat))
         text = np.repeat(np.arange(len(texts)), np.array([len(ws) for ws in parts], np.int64))
         template = self.template[lex]
@@ -216,13 +199,38 @@ class Passages:
         ends = np.append(first, len(flat))
         return _Texts(flat, lex[~digits], text[~digits], template[first], text[first], value[first], np.diff(counted[ends]), ends)
 
-    def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+
+class Passages:
+    """Templates of a block of passages, by window."""
+
+    def __init__(self, items: list[tuple[object, str]], rules: TemplateRules, lexicon: Lexicon) -> None:
+        self.rules, self.ids = rules, [i for i, _ in items]
+        own = self.own = lexicon.read([p for _, p in items])
+        w = rules.window
+        at = np.arange(max(0, len(own.word_lex) - w + 1))
+        at = at[own.word_text[at] == own.word_text[at + w - 1]]
+        keys = dict(_rolling(own.word_lex, [w])).get(w, np.empty(0, np.uint64))
+        self.verbatim = _Index(keys[at], at)
+        # Windows of the template hold as many words of the passage, however many positions these are.
+        self.numerals: dict[str, int] = {}
+        for i in np.flatnonzero(own.template == NUMBER).tolist():
+            own.value[i] = self.numerals.setdefault(own.said(i), -2 - len(self.numerals))
+        sums = np.concatenate([[0], np.cumsum(own.words)])
+        at = np.flatnonzero(own.words)
+        end = np.searchsorted(sums, sums[at] + w)
+        fine = end < len(sums)
+        at, end = at[fine], end[fine]
+        fine = own.text[at] == own.text[end - 1]
+        at, size = at[fine], (end - at)[fine]
+        self.others = {n: _Index(keys[at[size == n]], at[size == n]) for n, keys in _rolling(own.template, np.unique(size).tolist())}
+
+    def matches(self, t: _Texts) -> list[tuple[int, int, int, int, int]]:
         """Per text and passage: (text, passage, verbatim windows, words of the longest verbatim run, windows with
         other parameters)."""
         w, own, found = self.rules.window, self.own, {}
         if not len(self.verbatim.at):
             return []
-        t = self._texts(texts)
+        t = replace(t, value=t.value.copy())  # numerals are valued anew by each block
 
         def whole(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
             broken = np.concatenate([[0], np.cumsum(values == 0)])
@@ -314,14 +322,15 @@ class Passages:
 
 def find_leaks(
     documents: DataFrame, items: DataFrame, rules: TemplateRules = TemplateRules(), item_id: str = "item_id", passage: str = "passage",
-    doc_id: str = "doc_id", text: str = "text", block: int = 20_000,
+    doc_id: str = "doc_id", text: str = "text", block: int = BLOCK,
 ) -> DataFrame:
     """Leaks: item_id, doc_id, n_verbatim (windows), longest (words of the longest verbatim run), n_other (windows with
     other parameters), kind (``verbatim`` or ``reparameterised``); one row for each pair of item row and document row.
 
     Null, empty and short passages leak nowhere; null and empty texts hold nothing. Repeated rows match each for
-    itself. Texts are read whole. The passages travel to the documents, which never move; more than ``block`` passages
-    do so in blocks, each of which passes over all documents. Extra columns don't matter.
+    itself. Texts are read whole. The passages travel to the documents, which never move, in blocks of about ``block``
+    characters. A task reads its documents' words once and holds them against one block after the other, so its memory
+    has a bound, and blocks change no answer. The passages' words travel as one table. Extra columns don't matter.
     """
     held = items.select(F.col(item_id).alias("i"), F.col(passage).alias("p")).where(F.col("p").isNotNull())
     kinds = {"i": held.schema["i"].dataType.simpleString(), "d": documents.schema[doc_id].dataType.simpleString()}
@@ -329,44 +338,49 @@ def find_leaks(
     source = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     context = documents.sparkSession.sparkContext
 
-    def common_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(common_words(batch.column(0).to_pylist())), pa.string())], names=["w"])
-
-    # The vocabulary of all passages, so that names don't depend on how blocks are cut.
-    common = {r["w"] for r in held.select("p").mapInArrow(common_of, "w string").distinct().toLocalIterator()}
-
-    def against(part: list[tuple[object, str]]) -> DataFrame:
-        carried = context.broadcast(pickle.dumps(Passages(part, rules, common)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            passages = pickle.loads(carried.value)
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                at = 0
-                while at < len(texts):  # blocks of bounded size, whatever the texts' lengths
-                    end, size = at, 0
-                    while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
-                        size += len(texts[end])
-                        end += 1
-                    rows = passages.matches(texts[at:end])
+            forms = sorted(word_forms(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in forms], pa.string()), pa.array([f for _, f in forms], pa.bool_())], names=["w", "plain"])
+
+    lexicon = Lexicon({(r["w"], r["plain"]) for r in held.select("p").mapInArrow(forms_of, "w string, plain boolean").distinct().toLocalIterator()})
+    carried_lexicon = context.broadcast(pickle.dumps(lexicon))
+    carried = [context.broadcast(pickle.dumps(Passages(part, rules, lexicon))) for part in _blocks(held, block)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = pickle.loads(carried_lexicon.value)
+        only = pickle.loads(carried[0].value) if len(carried) == 1 else None
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):  # parts of bounded size, whatever the texts' lengths
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+                    size += len(texts[end])
+                    end += 1
+                read = lexicon.read(texts[at:end])
+                for c in carried:
+                    passages = only or pickle.loads(c.value)
+                    rows = passages.matches(read)
                     cols = list(zip(*rows)) if rows else [()] * 5
                     docs = batch.column(0).take(pa.array([at + i for i in cols[0]], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([passages.ids[i] for i in cols[1]]) if rows else pa.nulls(0, pa.int64()), docs, *(pa.array(c, pa.int64()) for c in cols[2:])],
                         names=["item_id", "doc_id", "n_verbatim", "longest", "n_other"],
                     )
-                    at = end
+                at = end
+
+    return source.mapInArrow(run, ddl).withColumn("kind", F.when(F.col("n_verbatim") > 0, "verbatim").otherwise("reparameterised"))
 
-        return source.mapInArrow(run, ddl)
 
-    parts, part = [], []
-    for row in held.toLocalIterator():  # a block at a time
+def _blocks(held: DataFrame, block: int) -> Iterator[list[tuple[object, str]]]:
+    """Passages in blocks of about ``block`` characters, one after the other; at least one block."""
+    part, size, any_ = [], 0, False
+    for row in held.toLocalIterator():
+        if part and size + len(row["p"]) > block:
+            yield part
+            part, size, any_ = [], 0, True
         part.append((row["i"], row["p"]))
-        if len(part) == block:
-            parts.append(against(part))
-            part = []
-    if part or not parts:
-        parts.append(against(part))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("kind", F.when(F.col("n_verbatim") > 0, "verbatim").otherwise("reparameterised"))
+        size += len(row["p"])
+    if part or not any_:
+        yield part

@@ -23,9 +23,12 @@ from tidegrid.shared import written
 #: The public byte-level vocabulary's file and its pattern of pieces.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space that the tokenizer takes at once.
-_BLANKS = 2_000
-_LONG_BLANK = re.compile(r"(\s{%d})" % _BLANKS)
+#: White space as the vocabulary's pattern has it.
+_BLANK = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Characters, and white space in a row, that the tokenizer is given at once.
+BLOCK, BLANKS = 1_000_000, 2_000
+#: A place where two pieces meet, whatever stands around it: a blank between what is none and a letter.
+_SEAM = re.compile(f"(?<=[^{_BLANK}]) (?=[^\\W\\d_])")
 #: Most target sources, whose totals are brought to the driver.
 MAX_SOURCES = 10_000
 
@@ -43,21 +46,39 @@ def tokenizer(vocabulary: str):  # noqa: ANN201
     return tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str | None, vocabulary: str = VOCABULARY, block: int = 1_000_000) -> int:
-    """Tokens of a text; 0 for none. Texts longer than ``block`` are counted block by block, cut at blanks where there
-    are any, which keeps the tokenizer's effort in proportion to the length; so are long runs of white space, which
-    its pattern can't take at once."""
+@lru_cache
+def _runs(blanks: int) -> re.Pattern:
+    return re.compile(f"[{_BLANK}]{{{blanks},}}")
+
+
+def count_tokens(text: str | None, vocabulary: str = VOCABULARY, block: int = BLOCK, blanks: int = BLANKS) -> int:
+    """Tokens of a text; 0 for none. Long texts are counted in parts, cut where the vocabulary's pattern cuts them too, so
+    the number doesn't depend on ``block`` and ``blanks``: at blanks in front of words, and round long runs of white
+    space, which are pieces of their own and which the pattern can't take at once."""
     if not text:
         return 0
-    encode, n = tokenizer(vocabulary).encode_ordinary, 0
-    if _LONG_BLANK.search(text):
-        return sum(count_tokens(part, vocabulary, block) if part[:1].strip() or len(part) != _BLANKS else len(encode(part)) for part in _LONG_BLANK.split(text) if part)
-    while len(text) > block:
-        cut = text.rfind(" ", 1, block)
-        cut = cut if cut > 0 else block
-        n += len(encode(text[:cut]))
-        text = text[cut:]
-    return n + len(encode(text))
+    own = tokenizer(vocabulary)
+    if len(text) <= blanks:
+        return len(own.encode_ordinary(text))
+    n = start = 0
+    for run in _runs(blanks).finditer(text):
+        # In front of anything else than the end, the last of the run belongs to what follows.
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        n += _count_parts(own, text, start, run.start(), block) + len(own._encode_single_piece(run[0][: end - run.start()]))
+        start = end
+    return n + _count_parts(own, text, start, len(text), block)
+
+
+def _count_parts(own: object, text: str, start: int, end: int, block: int) -> int:
+    """Tokens of ``text[start:end]``."""
+    n = 0
+    while end - start > block:
+        seam = _SEAM.search(text, start + block, end)
+        if seam is None:
+            break
+        n += len(own.encode_ordinary(text[start : seam.start()]))
+        start = seam.start()
+    return n + len(own.encode_ordinary(text[start:end]))
 
 
 def canonical_source(source: Column) -> Column:

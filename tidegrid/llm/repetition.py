@@ -20,8 +20,6 @@ from tidegrid.llm.words import words
 from tidegrid.shared import written
 
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
-#: Hosts whose verdicts may travel to every task.
-MAX_CARRIED_HOSTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -159,15 +157,10 @@ def repetition_report(documents: DataFrame, rules: RepetitionRules = RepetitionR
     """``measure``'s columns with repetitive (the word rule fails), failed (any rule does), host_rate, host_verdict.
 
     Documents without a host have null host columns. The measures are written once to the shared folder, as hosts and
-    documents both need them. Hosts' verdicts travel to the documents if they are at most MAX_CARRIED_HOSTS; else the
-    documents' short rows are shuffled, split for hosts that hold many.
+    documents both need them; so are the hosts' verdicts, whose size the engine then knows: it sends few to the
+    documents, else it shuffles both by host and splits those that hold many.
     """
     measured = written(measure(documents, rules, **columns), "repetition")
     hosts = written(host_rates(measured, rules), "hosts").select("host", F.col("shrunk_rate").alias("host_rate"), F.col("verdict").alias("host_verdict"))
-    if hosts.count() <= MAX_CARRIED_HOSTS:
-        joined = measured.join(F.broadcast(hosts), "host", "left")
-    else:
-        salts = 64
-        spread = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = measured.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, ["host", "__salt"], "left").drop("__salt")
+    joined = measured.join(hosts, "host", "left")
     return joined.withColumn("repetitive", F.col("word_share") >= rules.max_word_share).withColumn("failed", failed(rules))
