@@ -36,6 +36,41 @@ SELECT line_id, stream_id, oid, ts_ms, nx AS x, ny AS y, CASE WHEN NOT fine THEN
   WHEN ts_ms IS NULL THEN 'timestamp' WHEN NOT coalesce(abs(nx) <= 180 AND abs(ny) <= 90, false) THEN 'coordinate' END AS fail_reason FROM r)"""
 
 
+def _inner(v: str) -> str:
+    """A JSON value, or the one whose text a string holds."""
+    return f"CASE json_type({v}) WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({v}, '$')) THEN CAST(json_extract_string({v}, '$') AS JSON) END ELSE {v} END"
+
+
+def _listed(v: str) -> str:
+    """The elements of an array; an object is a list of one."""
+    return f"CASE json_type({v}) WHEN 'ARRAY' THEN CAST({v} AS JSON[]) WHEN 'OBJECT' THEN [{v}] ELSE [] END"
+
+
+def _elements(v: str) -> str:
+    return f"CASE json_type({v}) WHEN 'ARRAY' THEN CAST({v} AS JSON[]) ELSE [] END"
+
+
+_EACH = "unnest(generate_series(1, len({}))) u(i)"
+_MULTI = "('MultiPoint', 'MultiLineString', 'MultiPolygon')"
+_KIND = "CASE json_type(g, '$.type') WHEN 'VARCHAR' THEN json_extract_string(g, '$.type') END"
+#: Objects of the records, level by level; geometries go as deep as they are nested.
+NODES = f"""WITH RECURSIVE e AS (SELECT record_id, json_extract(CASE WHEN json_valid(record_json) THEN record_json END, '$.value') AS v0 FROM geojson_records),
+v AS (SELECT record_id, v FROM (SELECT record_id, {_inner('v0')} AS v FROM e) WHERE json_type(v) = 'OBJECT'),
+s AS (SELECT record_id, coalesce(json_extract_string(v, '$.type') = 'FeatureCollection' AND json_type(v, '$.type') = 'VARCHAR', false) AS several, v FROM v),
+fs AS (SELECT record_id, CASE WHEN several THEN {_elements("json_extract(v, '$.features')")} ELSE [v] END AS fs, several FROM s),
+f AS (SELECT * FROM (SELECT record_id, CAST(i - 1 AS VARCHAR) AS path, fs[i] AS f, NOT several AND coalesce(json_extract_string(fs[i], '$.type') <> 'Feature' OR json_type(fs[i], '$.type') <> 'VARCHAR', true) AS bare FROM fs, {_EACH.format('fs')}) WHERE json_type(f) = 'OBJECT'),
+g AS (SELECT record_id, path || '.g' AS path, path AS parent, g FROM (SELECT record_id, path, CASE WHEN bare THEN f ELSE {_inner("json_extract(f, '$.geometry')")} END AS g FROM f) WHERE json_type(g) = 'OBJECT'
+  UNION ALL SELECT record_id, path, parent, g FROM (
+    SELECT record_id, path || '.' || (i - 1) AS path, path AS parent, {_inner('m[i]')} AS g FROM (SELECT record_id, path, {_elements("json_extract(g, '$.geometries')")} AS m FROM g), {_EACH.format('m')}
+    UNION ALL SELECT record_id, path || '.' || (i - 1), path, json_object('type', substr(k, 6), 'coordinates', c[i]) FROM (SELECT record_id, path, {_KIND} AS k, {_elements("json_extract(g, '$.coordinates')")} AS c FROM g), {_EACH.format('c')} WHERE k IN {_MULTI} AND json_type(c[i]) <> 'NULL'
+  ) WHERE json_type(g) = 'OBJECT'),
+r AS (SELECT record_id, path || '.r' || (i - 1) AS path, path AS parent FROM (SELECT record_id, path, {_KIND} AS k, {_elements("json_extract(g, '$.coordinates')")} AS c FROM g), {_EACH.format('c')} WHERE k = 'Polygon' AND json_type(c[i]) <> 'NULL'),
+l AS (SELECT record_id, path || '.l' || (i - 1) AS path, path AS parent, ls[i] AS l FROM (SELECT record_id, path, {_listed("json_extract(p, '$.legs')")} AS ls FROM (SELECT record_id, path, {_inner("json_extract(f, '$.properties')")} AS p FROM f WHERE NOT bare) WHERE json_type(p) = 'OBJECT'), {_EACH.format('ls')} WHERE json_type(ls[i]) = 'OBJECT'),
+c AS (SELECT record_id, path || '.c' || (i - 1) AS path, path AS parent FROM (SELECT record_id, path, {_listed("json_extract(l, '$.calls')")} AS cs FROM l), {_EACH.format('cs')} WHERE json_type(cs[i]) = 'OBJECT')
+SELECT record_id, 'feature' AS entity, path AS node_path, '' AS parent_path FROM f UNION ALL SELECT record_id, 'geometry', path, parent FROM g UNION ALL SELECT record_id, 'ring', path, parent FROM r
+UNION ALL SELECT record_id, 'leg', path, parent FROM l UNION ALL SELECT record_id, 'call', path, parent FROM c"""
+
+
 def inside_ring(ring: str) -> tuple[str, str]:
     """Whether a point (p.x, p.y) is inside a list of vertices, and whether on its border."""
     side = "{{'ax': {r}[i].x, 'ay': {r}[i].y, 'bx': {r}[i % len({r}) + 1].x, 'by': {r}[i % len({r}) + 1].y}}".format(r=ring)
@@ -51,6 +86,7 @@ _OUTER, _OUTER_EDGE = inside_ring("z.rings[1]")
 _HOLE, _HOLE_EDGE = inside_ring("h")
 
 SQL: dict[str, str] = {
+    "p1_found": NODES,
     "p2_found": f"""SELECT stream_name, event_id, period_start_ms, CASE WHEN {LATE} <= 21600000 THEN 'corrects' ELSE 'dropped' END AS outcome
 FROM ({EVENTS}) WHERE {LATE} > 120000""",
     "p2_counts": f"""WITH e AS (SELECT *, CASE WHEN {LATE} <= 120000 THEN 0 ELSE ceil(({LATE} - 120000) / 3600000) END AS run FROM ({EVENTS}) WHERE oid IS NOT NULL)
