@@ -69,7 +69,7 @@ def sql_words(text: str) -> str:
     """The list of a text's words. Signs that stand for several letters are those that the tables have."""
     single, letter = _folded()
     several = text
-    for sign in "\u2122\ufb00\ufb01\ufb02\u2026":
+    for sign in "\u2116\u2122\ufb00\ufb01\ufb02\u2026":
         several = f"replace({several}, '{sign}', '{unicodedata.normalize('NFKD', sign)}')"
     return f"regexp_extract_all(lower(strip_accents(regexp_replace(translate({several}, '{single}', '{letter}'), '[\\p{{Cf}}\\p{{M}}]', '', 'g'))), '\\p{{L}}+')"
 
