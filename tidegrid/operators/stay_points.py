@@ -36,6 +36,8 @@ class StayRules:
     min_trip_fixes: int = 3
 
 
+#: Rows that a task should hold at most, as an oid's part of them is kept in arrays.
+FIXES = 500_000
 STOP, TRIP, FIX, MOVE, STAY, GAP = range(6)  # kinds of rows; the first two are results
 PIECES = pa.schema([
     ("oid", pa.string()), ("kind", pa.int8()), ("ord", pa.int64()), ("t0", pa.int64()), ("x0", pa.float64()), ("y0", pa.float64()),
@@ -318,8 +320,14 @@ def stops_and_trips(points: DataFrame, rules: StayRules = StayRules()) -> DataFr
         points.where(is_usable(F.col("ts_ms")) & finite(F.col("x")) & finite(F.col("y")))
         .select(canonical_oid(F.col("oid")).alias("oid"), "ts_ms", "event_id", "x", "y")
         .where(F.col("oid").isNotNull())
-        .repartitionByRange("oid", "ts_ms")
-        .sortWithinPartitions("oid", "ts_ms", "event_id", "x", "y")
+    )
+    # Ranges of no more than about FIXES rows, however large the table and the share of one oid; small tables are left to
+    # the session's number of partitions, which adapts to them.
+    n_ranges = -(-points.count() // FIXES)
+    by = ["oid", "ts_ms"]
+    fixes = fixes.repartitionByRange(n_ranges, *by) if n_ranges > int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) else fixes.repartitionByRange(*by)
+    fixes = (
+        fixes.sortWithinPartitions("oid", "ts_ms", "event_id", "x", "y")
         .select("oid", "ts_ms", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.col("event_id").isNull().alias("nameless"), "x", "y")
     )
 

@@ -12,6 +12,8 @@ from tidegrid.functions.canonical import canonical_grid_id, canonical_oid, finit
 from tidegrid.grid import BEIJING
 from tidegrid.operators import heavy_keys, late_events, nested_records, reject_rows, stay_points, strip_sweep
 from tidegrid.plans.tables import table
+from tidegrid.shared import shared_path
+from tidegrid.sources.records import read_records
 
 SITE_RADIUS = 0.0030005
 
@@ -62,6 +64,15 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     return reject_rows.loaded(parsed_lines(spark, d)).select("line_id", "stream_id", "oid", "ts_ms", "x", "y")
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """The well-quoted lines, written one after the other to a file or more for each stream and found there again, those
+    that hold line breaks too."""
+    parsed = parsed_lines(spark, d).where(~F.col("fail_reason").eqNullSafe("quoting"))
+    at = f"{shared_path(spark, 'lines')}/text"
+    parsed.select("stream_id", F.coalesce("raw_line", F.lit("")).alias("value")).write.partitionBy("stream_id").option("lineSep", "\n").text(at)
+    return read_records(spark, at).select("stream_id", "raw_line")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_keys.heavy_keys(table(spark, d, "moving_points"), point_keys()).select("key_kind", "key_value")
 
@@ -107,6 +118,6 @@ def p6_site_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_bridge, p1_objects, p2_found, p2_counts, p3_found, p3_loaded, p4_found, p4_stats, p4_joined, p5_found, p5_segments, p6_found, p6_site_pairs)
+    f.__name__: f for f in (p1_found, p1_bridge, p1_objects, p2_found, p2_counts, p3_found, p3_loaded, p3_records, p4_found, p4_stats, p4_joined, p5_found, p5_segments, p6_found, p6_site_pairs)
 }
 QUERIES |= {"p1_features": flat("feature"), "p1_geometries": flat("geometry"), "p1_rings": flat("ring"), "p1_legs": flat("leg"), "p1_calls": flat("call")}

@@ -94,6 +94,7 @@ SELECT stream_name, oid, period_start_ms, count(*) FILTER (WHERE {LATE} <= 12000
 count(*) FILTER (WHERE {LATE} > 21600000) AS n_dropped, count(DISTINCT run) FILTER (WHERE {LATE} > 120000 AND {LATE} <= 21600000) AS n_revisions FROM e GROUP BY ALL""",
     "p3_found": f"SELECT line_id, fail_reason FROM {LINES} WHERE fail_reason IS NOT NULL",
     "p3_loaded": f"SELECT line_id, stream_id, oid, ts_ms, x, y FROM {LINES} WHERE fail_reason IS NULL",
+    "p3_records": f"SELECT l.stream_id, coalesce(raw_line, '') AS raw_line FROM stream_lines l JOIN {LINES} r USING (line_id) WHERE fail_reason IS DISTINCT FROM 'quoting'",
     "p4_found": f"""WITH k AS (SELECT key_kind, key_value, count(*) AS n FROM {KINDS} WHERE key_value IS NOT NULL GROUP BY ALL)
 SELECT key_kind, key_value FROM (SELECT *, sum(n) OVER (PARTITION BY key_kind) AS n_kind FROM k) WHERE n * 20 >= n_kind""",
     "p4_stats": f"""SELECT key_kind, key_value, count(*) AS n, count(*) FILTER (WHERE ts_ms >= {USABLE}) AS n_timed, min(ts_ms) FILTER (WHERE ts_ms >= {USABLE}) AS first_ms,
