@@ -150,6 +150,37 @@ def test_check_in(spark, tmp_path):
     assert check_in.check_in(spark.createDataFrame([], ddl), {}).count() == 0
 
 
+def test_idle_state_goes(spark, tmp_path):
+    """After a pause longer than ``idle_ms`` a key begins anew."""
+    import time
+
+    rows = [(i, "a" if i != 2 else "b", 1000 * i, 0.1 * i, 0.0) for i in range(6)]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+    def work(name, make, part):
+        spark.createDataFrame(part, DDL).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        stream = spark.readStream.schema(DDL).parquet(f"{tmp_path}/{name}")
+        seen = []
+        make(stream).writeStream.foreachBatch(lambda df, n: seen.extend(df.collect())).outputMode("append" if name != "heat" else "update").option("checkpointLocation", f"{tmp_path}/cp_{name}").trigger(availableNow=True).start().awaitTermination()
+        return seen
+
+    try:
+        for idle, want in ((None, {5000}), (3_000, set())):
+            name = f"stats_{idle}"
+            stats = lambda s, idle=idle: stateful.running_stats(s, idle_ms=idle)
+            assert {r.ts_ms for r in work(name, stats, rows[:2])} == {1000}
+            if idle:
+                time.sleep(idle / 1000 + 1)
+            work(name, stats, rows[2:3])  # another key; idle ones go
+            assert {r.ts_ms for r in work(name, stats, rows[5:])} == want
+        heat = lambda s: stateful.heat_map(s, "SUM", Grid.by_count(1, 0.0, 1.0, 0.0, 1.0), idle_ms=3_000)
+        assert [(r.n_traj, r.value) for r in work("heat", heat, rows[:2])] == [(1, 1000)]
+        time.sleep(4)
+        assert [(r.n_traj, r.value) for r in work("heat", heat, rows[2:3])] == [(1, 0)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
 def test_files_and_measures(spark, tmp_path):
     rows = points(40)
     meter = Meter()
