@@ -8,7 +8,7 @@ the border of two splits, at most two pieces of each, is shuffled and put togeth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +33,23 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     starts = counted.select("file", "split", F.pmod(F.coalesce(before, F.lit(0)), F.lit(2)).cast("boolean").alias("inside"))
     opened = lines.join(F.broadcast(starts), ["file", "split"]).select("file", "split", "inside", *own, "value")
     kinds = ", ".join(f"`{c}` {text.schema[c].dataType.simpleString()}" for c in own)
-    found = opened.mapInArrow(_ends, f"file string, split bigint, {kinds + ', ' if kinds else ''}piece int, raw_line string")
-    # Pieces: 0 a whole record, 1 the end of one begun before, 2 lines inside one, 3 the begin of one.
-    whole = found.where(F.col("piece") == 0).select("file", *own, "raw_line")
+    ddl = f"file string, split bigint, {kinds + ', ' if kinds else ''}piece int, raw_line string"
+    # Pieces: 0 a whole record, 1 the end of one begun before, 2 lines inside one, 3 the begin of one. The lines are read
+    # once more for the few pieces that cross borders, which is less than to keep all records in between.
+    whole = opened.mapInArrow(_ends(True), ddl).select("file", *own, "raw_line")
     begun = F.sum(F.when(F.col("piece") == 3, 1).otherwise(0)).over(Window.partitionBy("file").orderBy("split", "piece").rowsBetween(Window.unboundedPreceding, 0))
-    parts = found.where(F.col("piece") > 0).withColumn("record", begun)
+    parts = opened.mapInArrow(_ends(False), ddl).withColumn("record", begun)
     joined = parts.groupBy("file", *own, "record").agg(F.array_sort(F.collect_list(F.struct("split", "piece", "raw_line"))).alias("parts"))
     return whole.unionByName(joined.select("file", *own, F.array_join(F.transform("parts", lambda p: p["raw_line"]), "\n").alias("raw_line")))
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records and pieces of records of each split, whose lines come in order."""
+def _ends(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Records, or pieces of records, of each split, whose lines come in order."""
+    return lambda batches: (b for b in _cut(batches) if (b.column("piece")[0].as_py() == 0) == whole)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records and pieces, each batch of one kind."""
     key, inside, held, first = None, False, [], True  # of the split at hand; ``held``: lines of the record that is open
     meta: list = []
 
