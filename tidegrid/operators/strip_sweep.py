@@ -19,10 +19,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.canonical import finite
 from tidegrid.shared import written
 
 #: Within this distance (degrees) of an edge, a point lies on it. Coordinates have six decimals; so a point off an edge
@@ -170,37 +169,30 @@ class Relation:
     def rows(self, number: int) -> DataFrame:
         """One row per target that can hold a point: rel, id, x, y, shape (of regions: how many rings, their sizes, all x,
         all y), and its extent."""
-        head = [F.lit(number).alias("rel"), F.col(self.target_id).alias("id")]
+        t = self.targets.select(F.lit(number).alias("rel"), F.col(self.target_id).alias("id"), *(["x", "y"] if self.radius is not None else ["rings"]))
         if self.radius is not None:
             r = self.radius * (1 + 1e-9) + 1e-12
-            t = self.targets.select(*head, F.col("x").cast("double"), F.col("y").cast("double"), _no_shape())
-            t = t.where(finite(F.col("x")) & finite(F.col("y")))
-            return t.withColumns({"x0": F.col("x") - r, "y0": F.col("y") - r, "x1": F.col("x") + r, "y1": F.col("y") + r})
-        rings = _clean(F.col("rings"))
-        t = self.targets.select(*head, rings.alias("__rings")).where(F.size(F.get("__rings", F.lit(0))) >= 3)
-        # Holes of fewer than three vertices have no inside.
-        kept = F.concat(F.slice("__rings", 1, 1), F.filter(F.slice("__rings", 2, F.greatest(F.size("__rings"), F.lit(1))), lambda r: F.size(r) >= 3))
-        t = t.withColumn("__rings", kept)
-        flat = lambda c: F.transform(F.flatten("__rings"), lambda p: p[c])
-        outer = lambda c: F.transform(F.get("__rings", F.lit(0)), lambda p: p[c])
-        sizes = F.transform("__rings", lambda r: F.size(r).cast("double"))
-        shape = F.concat(F.array(F.size("__rings").cast("double")), sizes, flat("x"), flat("y"))
-        t = t.select("rel", "id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), shape.alias("shape"), outer("x").alias("ox"), outer("y").alias("oy"))
-        edge = {f"{c}{i}": f(f"o{c}") + s * ON_EDGE for c in "xy" for i, f, s in ((0, F.array_min, -1), (1, F.array_max, 1))}
-        return t.withColumns(edge).drop("ox", "oy")
-
-
-def _no_shape() -> Column:
-    """An empty array, as Spark's writer of Arrow batches goes over all null ones anew at each row."""
-    return F.array().cast("array<double>").alias("shape")
-
-
-def _clean(rings: Column) -> Column:
-    """Rings without vertices that lack finite numbers, and without a closing vertex; null rings are empty."""
-    fine = lambda r: F.coalesce(F.filter(r, lambda p: p.isNotNull() & finite(p["x"]) & finite(p["y"])), F.array())
-    ends = lambda r: F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)
-    opened = lambda r: F.when((F.size(r) > 1) & ends(r), F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r)
-    return F.transform(F.transform(rings, fine), opened)
+            t = t.selectExpr("rel", "id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y", f"{_NO_SHAPE} AS shape").where(f"{_finite('x')} AND {_finite('y')}")
+            return t.selectExpr("*", f"x - {r!r} AS x0", f"y - {r!r} AS y0", f"x + {r!r} AS x1", f"y + {r!r} AS y1")
+        # Vertices that lack finite numbers go, so does a closing one; null rings are empty, holes of fewer than three
+        # vertices have no inside.
+        fine = f"coalesce(filter(r, p -> p IS NOT NULL AND {_finite('p.x')} AND {_finite('p.y')}), array())"
+        opened = "if(size(r) > 1 AND get(r, 0) = get(r, size(r) - 1), slice(r, 1, greatest(size(r) - 1, 0)), r)"
+        t = t.selectExpr("rel", "id", f"transform(transform(rings, r -> {fine}), r -> {opened}) AS rings").where("size(get(rings, 0)) >= 3")
+        t = t.selectExpr("rel", "id", "concat(slice(rings, 1, 1), filter(slice(rings, 2, size(rings)), r -> size(r) >= 3)) AS rings")
+        flat = lambda c: f"transform(flatten(rings), p -> p.{c})"
+        outer = lambda f, c, s: f"array_{f}(transform(get(rings, 0), p -> p.{c})) {s} {ON_EDGE!r}"
+        shape = f"concat(array(CAST(size(rings) AS DOUBLE)), transform(rings, r -> CAST(size(r) AS DOUBLE)), {flat('x')}, {flat('y')})"
+        edges = [f"{outer('min', c, '-')} AS {c}0" for c in "xy"] + [f"{outer('max', c, '+')} AS {c}1" for c in "xy"]
+        return t.selectExpr("rel", "id", "0.0D AS x", "0.0D AS y", f"{shape} AS shape", *edges)
+
+
+#: The shape of what has none: an empty array, as Spark's writer of Arrow batches goes over all null ones anew at each row.
+_NO_SHAPE = "CAST(array() AS ARRAY<DOUBLE>)"
+
+
+def _finite(x: str) -> str:
+    return f"({x} IS NOT NULL AND abs({x}) < DOUBLE('Infinity'))"
 
 
 def near(sites: DataFrame, radius: float, site_id: str) -> Relation:
@@ -223,14 +215,13 @@ def related(points: DataFrame, point_id: str, relations: dict[str, Relation]) ->
     points, after one over their coordinates that counts them by cell. All target ids must be of one type.
     """
     height = max(r.height for r in relations.values())
-    p = points.select(F.col(point_id).alias("pid"), F.col("x").cast("double"), F.col("y").cast("double")).where(finite(F.col("x")) & finite(F.col("y")))
+    step = lambda c: f"CAST(floor({c} / {height!r}D) AS BIGINT)"  # noqa: E731  wild coordinates end up in the outermost cells
+    p = points.select(F.col(point_id).alias("pid"), F.col("x").cast("double"), F.col("y").cast("double")).where(f"{_finite('x')} AND {_finite('y')}")
+    p = p.selectExpr("*", f"{step('y')} AS strip", f"{step('x')} AS col")
     rows = [r.rows(i) for i, r in enumerate(relations.values())]
     if len({t.schema["id"].dataType for t in rows}) != 1:
         raise ValueError("target ids of one type are needed")
-    targets = reduce(DataFrame.unionByName, rows)
-    step = lambda c: F.floor(c / F.lit(height)).cast("long")  # noqa: E731  wild coordinates end up in the outermost cells
-    p = p.withColumns({"strip": step(F.col("y")), "col": step(F.col("x"))})
-    targets = targets.withColumns({"s0": step(F.col("y0")), "s1": step(F.col("y1")), "c0": step(F.col("x0")), "c1": step(F.col("x1"))}).drop("x0", "x1", "y0", "y1")
+    targets = reduce(DataFrame.unionByName, rows).selectExpr("rel", "id", "x", "y", "shape", *(f"{step(c)} AS {k}" for k, c in (("s0", "y0"), ("s1", "y1"), ("c0", "x0"), ("c1", "x1"))))
     occupied = written(p.groupBy("strip", "col").agg(F.count("*").alias("n_p")), "occupied")
     listed = _listed(targets, occupied)
     cells = written(_pieces(occupied, listed), "cells")
@@ -244,49 +235,44 @@ def related(points: DataFrame, point_id: str, relations: dict[str, Relation]) ->
 
 def _listed(targets: DataFrame, occupied: DataFrame) -> DataFrame:
     """``targets`` once for each cell (strip, col) that they reach."""
-    size = lambda a, z: F.col(z).cast("double") - F.col(a).cast("double") + 1
-    wide = size("s0", "s1") * size("c0", "c1") > WIDE
-    narrow = targets.where(~wide).withColumn("strip", F.explode(F.sequence("s0", "s1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
-    at = occupied.select("strip", "col")
-    reached = F.col("strip").between(F.col("s0"), F.col("s1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    return narrow.unionByName(targets.where(wide).join(at, reached))
+    wide = f"(CAST(s1 AS DOUBLE) - CAST(s0 AS DOUBLE) + 1) * (CAST(c1 AS DOUBLE) - CAST(c0 AS DOUBLE) + 1) > {WIDE}"
+    narrow = targets.where(f"NOT ({wide})").selectExpr("*", "explode(sequence(s0, s1)) AS strip").selectExpr("*", "explode(sequence(c0, c1)) AS col")
+    return narrow.unionByName(targets.where(wide).join(occupied.select("strip", "col"), F.expr("strip BETWEEN s0 AND s1 AND col BETWEEN c0 AND c1")))
 
 
 def _pieces(occupied: DataFrame, listed: DataFrame) -> DataFrame:
     """Cells that have points and targets, and the piece that each belongs to: first_unit, n_shares and n_blocks (of
     points and targets; more than one only where the piece's last cell outweighs a task), load_before and unit_load
     (in tasks), prev_col (the last cell in the same piece)."""
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     cells = occupied.join(listed.groupBy("strip", "col").agg(F.count("*").alias("n_t")), ["strip", "col"])
-    load = F.col("n_p") / F.lit(float(STRIP_POINTS)) + F.col("n_t") / F.lit(float(STRIP_TARGETS))
-    along = Window.partitionBy("strip").orderBy("col")
-    cells = cells.withColumn("piece", F.floor(F.coalesce(F.sum(load).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).cast("long"))
-    cells = cells.withColumn("prev_col", F.lag("col").over(Window.partitionBy("strip", "piece").orderBy("col")))
-    shares = lambda c, most: F.greatest(F.ceil(F.sum(c) / F.lit(2.0 * most)), F.lit(1)).cast("int")
-    pieces = cells.groupBy("strip", "piece").agg(shares("n_p", STRIP_POINTS).alias("n_shares"), shares("n_t", STRIP_TARGETS).alias("n_blocks"), F.sum("n_p").alias("sp"), F.sum("n_t").alias("st"))
-    unit_load = F.col("sp") / F.col("n_shares") / F.lit(float(STRIP_POINTS)) + F.col("st") / F.col("n_blocks") / F.lit(float(STRIP_TARGETS))
-    n_units = F.col("n_shares").cast("long") * F.col("n_blocks")
+    load = f"n_p / {STRIP_POINTS}.0D + n_t / {STRIP_TARGETS}.0D"
+    cells = cells.selectExpr("*", f"CAST(floor(coalesce(sum({load}) OVER (PARTITION BY strip ORDER BY col {before}), 0.0D)) AS BIGINT) AS piece")
+    cells = cells.selectExpr("*", "lag(col) OVER (PARTITION BY strip, piece ORDER BY col) AS prev_col")
+    pieces = cells.groupBy("strip", "piece").agg(F.sum("n_p").alias("sp"), F.sum("n_t").alias("st"))
+    shares = lambda n, most: f"CAST(greatest(ceil({n} / {2 * most}.0D), 1) AS INT)"
+    pieces = pieces.selectExpr("*", f"{shares('sp', STRIP_POINTS)} AS n_shares", f"{shares('st', STRIP_TARGETS)} AS n_blocks")
+    pieces = pieces.selectExpr("*", f"sp / n_shares / {STRIP_POINTS}.0D + st / n_blocks / {STRIP_TARGETS}.0D AS unit_load", "CAST(n_shares AS BIGINT) * n_blocks AS n_units")
     # One row per piece: on a globe 180 / height, and one more for each task's load. So one task may order them.
-    before = Window.orderBy("strip", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("unit_load", unit_load).withColumns({
-        "load_before": F.coalesce(F.sum(F.col("unit_load") * n_units).over(before), F.lit(0.0)), "first_unit": F.coalesce(F.sum(n_units).over(before), F.lit(0)),
-    })
-    return cells.select("strip", "col", "piece", "prev_col").join(pieces.drop("sp", "st"), ["strip", "piece"]).drop("piece")
+    pieces = pieces.selectExpr(
+        "strip", "piece", "n_shares", "n_blocks", "unit_load",
+        f"coalesce(sum(unit_load * n_units) OVER (ORDER BY strip, piece {before}), 0.0D) AS load_before", f"coalesce(sum(n_units) OVER (ORDER BY strip, piece {before}), 0) AS first_unit",
+    )
+    return cells.select("strip", "col", "piece", "prev_col").join(pieces, ["strip", "piece"]).drop("piece")
 
 
 def _swept(p: DataFrame, listed: DataFrame, cells: DataFrame, kinds: list[tuple[str, float | None]], point_id: str, ddl: str, n_parts: int, total: float) -> DataFrame:
     """Both sides by part, a range of pieces in order of latitude; swept there."""
-    share = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    share = lambda n, cols: f"CAST(pmod(xxhash64({cols}), {n}) AS INT)"
+    each = lambda n: f"explode(sequence(0, {n} - 1))"
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    number = "(CAST(share AS BIGINT) * n_blocks + block)"
+    head = [f"CAST(least(floor((load_before + {number} * unit_load) * {n_parts / total!r}D), {n_parts - 1}) AS INT) AS part", f"first_unit + {number} AS unit"]
     # A target is in a piece once, with the first of its cells there.
-    t = listed.join(cells, ["strip", "col"]).where(F.col("prev_col").isNull() | (F.col("prev_col") < F.col("c0")))
-    t = t.withColumn("block", share("n_blocks", "id", "x", "y", "shape")).withColumn("share", each("n_shares"))
-    q = p.join(cells, ["strip", "col"]).withColumn("share", share("n_shares", "pid", "x", "y")).withColumn("block", each("n_blocks"))
-    number = F.col("share").cast("long") * F.col("n_blocks") + F.col("block")
-    part = F.least(F.floor((F.col("load_before") + number * F.col("unit_load")) * F.lit(n_parts / total)), F.lit(n_parts - 1)).cast("int").alias("part")
-    unit = (F.col("first_unit") + number).alias("unit")
-    t = t.select(part, unit, F.col("rel").cast("int").alias("rel"), "id", nothing(p, "pid"), "x", "y", "shape")
-    q = q.select(part, unit, F.lit(-1).alias("rel"), nothing(listed, "id"), "pid", "x", "y", _no_shape())
+    t = listed.join(cells, ["strip", "col"]).where("prev_col IS NULL OR prev_col < c0").selectExpr("*", f"{share('n_blocks', 'id, x, y, shape')} AS block", f"{each('n_shares')} AS share")
+    q = p.join(cells, ["strip", "col"]).selectExpr("*", f"{share('n_shares', 'pid, x, y')} AS share", f"{each('n_blocks')} AS block")
+    t = t.selectExpr(*head, "CAST(rel AS INT) AS rel", "id", f"CAST(NULL AS {kind(p, 'pid')}) AS pid", "x", "y", "shape")
+    q = q.selectExpr(*head, "-1 AS rel", f"CAST(NULL AS {kind(listed, 'id')}) AS id", "pid", "x", "y", f"{_NO_SHAPE} AS shape")
     both = t.unionByName(q)
     both = both.repartitionById(n_parts, "part") if hasattr(both, "repartitionById") else both.repartition(n_parts, "part")
 
