@@ -290,5 +290,8 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for table in os.listdir(DATA):
         con.execute(f"CREATE VIEW {table.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{table}'")
-    want = sorted(con.execute(queries.SQL[name]).fetchall())
-    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, DATA).collect()) == want
+    cursor = con.execute(queries.SQL[name])
+    names = [c[0] for c in cursor.description]
+    df = queries.QUERIES[name](spark, DATA)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted((tuple(r) for r in df.select(*names).collect()), key=repr) == sorted(cursor.fetchall(), key=repr)
