@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid import job
-from tidegrid.config import load_config, read_yaml
+from tidegrid.config import coordinates, load_config, read_yaml
 
 SETTINGS = """!!some.Tag
 # settings
@@ -88,6 +88,15 @@ def test_layout(tmp_path):
         load_config({"query": {"operator": "none"}})
 
 
+def test_coordinates():
+    pairs = [[116.5, 40.5], [-117.6, 0.5]]
+    for text in ("[116.5, 40.5], [-117.6, .5]", "[[116.5,40.5],[-117.6,5e-1]]", "(116.5 40.5, -117.6 0.5)", "((116.5, 40.5), (-117.6, +0.5))"):
+        assert coordinates(text) == pairs
+    assert coordinates("[[0 0, 1 0, 1 1], [2 2, 3 2, 3 3]]") == [[[0, 0], [1, 0], [1, 1]], [[2, 2], [3, 2], [3, 3]]]
+    assert coordinates("116.5, 40.") == [116.5, 40.0]
+    assert load_config({"query": {"points": "[1, 2], [3, 4]"}}).query.points == [[1, 2], [3, 4]]
+
+
 def records(n=120):
     place = lambda i: [round(i * 37 % 101 / 101, 3), round(i * 53 % 97 / 97, 3)]
     feature = lambda i: {"type": "Feature", "geometry": {"type": "Point", "coordinates": place(i)}, "properties": {"oID": "abcd"[i % 4], "timestamp": str(1000 * i)}}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.apps import check_in
 from tidegrid.grid import Grid
 from tidegrid.operators import spatial, trajectories
-from tidegrid.operators.windowing import Windows
+from tidegrid.operators.windowing import Windows, assign, by_arrival
 from tidegrid.sinks.streams import Meter, observed, to_files, with_latency
 from tidegrid.streaming import stateful
 
@@ -181,6 +181,18 @@ def test_idle_state_goes(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
+def test_windows_by_arrival(spark, tmp_path):
+    import time
+
+    before = time.time() * 1000
+    rows = spark.createDataFrame(points(20), DDL)
+    counts = assign(by_arrival(rows), Windows(60_000)).groupBy("window_start").count().collect()
+    assert sum(r["count"] for r in counts) == 20 and all(before - 60_000 < r.window_start <= time.time() * 1000 for r in counts)
+    stream = by_arrival(arriving(spark, tmp_path, points(20), batches=1))
+    got = run(spark, assign(stream, Windows(60_000)).groupBy("window").count(), "arrival", "complete").collect()
+    assert sum(r["count"] for r in got) == 20
+
+
 def test_files_and_measures(spark, tmp_path):
     rows = points(40)
     meter = Meter()

@@ -75,6 +75,9 @@ class QueryConfig:
         if self.aggregate not in AGGREGATES:
             raise ValueError(f"aggregates are {AGGREGATES}")
         self.traj_ids = [str(i) for i in self.traj_ids]
+        for name in ("points", "polygons", "lines"):
+            if isinstance(getattr(self, name), str):
+                setattr(self, name, coordinates(getattr(self, name)))
 
     def windows(self) -> Windows:
         """Sliding windows; in realtime mode tumbling ones of the short trigger interval."""
@@ -90,6 +93,19 @@ class JobConfig:
     parallelism: int = 15
 
 
+def coordinates(text: str) -> list:
+    """Nested lists of numbers from text in brackets or parentheses: ``[116.5, 40.5], [117.6, 40.5]`` is a list of two
+    pairs, and so is ``(116.5 40.5, 117.6 40.5)``, where blanks separate a pair's numbers."""
+    body = text.translate(str.maketrans("()", "[]")).strip()
+    if "[" not in body:
+        body = f"[{body}]"
+    number = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+    body = re.sub(rf"({number})\s+({number})", r"[\1, \2]", body)
+    body = re.sub(r"(?<![0-9])\.(?=[0-9])", "0.", re.sub(r"\.(?![0-9])", ".0", re.sub(r"\+(?=[0-9.])", "", body)))
+    found = json.loads(f"[{body}]")
+    return found[0] if len(found) == 1 else found
+
+
 def _scalar(text: str) -> object:
     text = text.strip()
     if text[:1] in "[\"" and text:

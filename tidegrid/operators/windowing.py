@@ -47,6 +47,12 @@ def assign(df: DataFrame, windows: Windows, time: str = "ts_ms") -> DataFrame:
     return out.withColumn("window_end", F.col("window_start") + F.lit(windows.size))
 
 
+def by_arrival(df: DataFrame, time: str = "ts_ms") -> DataFrame:
+    """``df`` with ``time`` set to the clock's at processing (on a stream the batch's), so that windows over it are windows
+    of processing time."""
+    return df.withColumn(time, F.unix_millis(F.current_timestamp()))
+
+
 def window_columns(df: DataFrame) -> list[str]:
     """The columns to group by after ``assign``."""
     return ["window"] if "window" in df.columns else list(WINDOW)
