@@ -203,3 +203,7 @@ for _form in ("geojson", "wkt"):
     SQL[f"io_{_form}_multilines"] = f"SELECT oid, ts_ms, 2 AS n_parts, path[1].x AS x0, path[3].x AS x1, path[1].y AS y1 FROM ({s.STREAMS['ls']})"
     SQL[f"io_{_form}_multipoints"] = f"SELECT zone_id, oid, ts_ms, CAST(len(rings[1]) AS INT) AS n_points, rings[1][-1].x AS x, rings[1][-1].y AS y FROM ({_OWN})"
     SQL[f"io_{_form}_collections"] = f"SELECT zone_id, oid, ts_ms, 'Polygon MultiPoint Point' AS kinds, rings[1][1].x AS x, rings[1][1].y AS y FROM ({_OWN})"
+SQL["io_geojson_collection_records"] = f"""WITH RECURSIVE top AS (SELECT record_id, position, {_META}, g FROM {_RECORDS} WHERE lower(json_extract_string(g, '$.type')) = 'geometrycollection'),
+m AS (SELECT record_id, position, oid, CAST([] AS INT[]) AS steps, g FROM top WHERE json_type(g, '$.geometries') = 'ARRAY'
+  UNION ALL SELECT record_id, position, oid, list_append(steps, CAST(i AS INT)), es[i] FROM (SELECT *, CAST(json_extract(g, '$.geometries') AS JSON[]) AS es FROM m WHERE json_type(g, '$.geometries') = 'ARRAY'), unnest(generate_series(1, len(es))) u(i))
+SELECT record_id, position, oid, CAST(row_number() OVER (PARTITION BY record_id, position ORDER BY steps) - 1 AS INT) AS member, json_extract_string(g, '$.type') AS kind FROM m WHERE json_type(g, '$.geometries') IS DISTINCT FROM 'ARRAY'"""

@@ -39,6 +39,11 @@ def flat(entity: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: nested_records.flat_tables(table(spark, d, "geojson_records"))[entity]
 
 
+def counts(entity: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """How often objects of a kind occur, by their fields."""
+    return lambda spark, d: flat(entity)(spark, d).groupBy(*columns).agg(F.sum("n_occurrences").alias("n"))
+
+
 def logs(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (late_events.event_log(table(spark, d, t), t) for t in ("moving_points", "zone_stream")))
 
@@ -120,4 +125,4 @@ def p6_site_pairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_bridge, p1_objects, p2_found, p2_counts, p3_found, p3_loaded, p3_records, p4_found, p4_stats, p4_joined, p5_found, p5_segments, p6_found, p6_site_pairs)
 }
-QUERIES |= {"p1_features": flat("feature"), "p1_geometries": flat("geometry"), "p1_rings": flat("ring"), "p1_legs": flat("leg"), "p1_calls": flat("call")}
+QUERIES |= {"p1_features": flat("feature"), "p1_geometries": flat("geometry"), "p1_rings": flat("ring"), "p1_legs": flat("leg"), "p1_calls": flat("call"), "p1_call_counts": counts("call", "site", "arr", "load_in", "load_out"), "p1_leg_counts": counts("leg", "leg", "mode")}

@@ -54,7 +54,7 @@ _EACH = "unnest(generate_series(1, len({}))) u(i)"
 _MULTI = "('MultiPoint', 'MultiLineString', 'MultiPolygon')"
 _KIND = "CASE json_type(g, '$.type') WHEN 'VARCHAR' THEN json_extract_string(g, '$.type') END"
 #: Objects of the records, level by level; geometries go as deep as they are nested.
-NODES = f"""WITH RECURSIVE e AS (SELECT record_id, json_extract(CASE WHEN json_valid(record_json) THEN record_json END, '$.value') AS v0 FROM geojson_records),
+_LEVELS = f"""WITH RECURSIVE e AS (SELECT record_id, json_extract(CASE WHEN json_valid(record_json) THEN record_json END, '$.value') AS v0 FROM geojson_records),
 v AS (SELECT record_id, v FROM (SELECT record_id, {_inner('v0')} AS v FROM e) WHERE json_type(v) = 'OBJECT'),
 s AS (SELECT record_id, coalesce(json_extract_string(v, '$.type') = 'FeatureCollection' AND json_type(v, '$.type') = 'VARCHAR', false) AS several, v FROM v),
 fs AS (SELECT record_id, CASE WHEN several THEN {_elements("json_extract(v, '$.features')")} ELSE [v] END AS fs, several FROM s),
@@ -66,9 +66,12 @@ g AS (SELECT record_id, path || '.g' AS path, path AS parent, g FROM (SELECT rec
   ) WHERE json_type(g) = 'OBJECT'),
 r AS (SELECT record_id, path || '.r' || (i - 1) AS path, path AS parent FROM (SELECT record_id, path, {_KIND} AS k, {_elements("json_extract(g, '$.coordinates')")} AS c FROM g), {_EACH.format('c')} WHERE k = 'Polygon' AND json_type(c[i]) <> 'NULL'),
 l AS (SELECT record_id, path || '.l' || (i - 1) AS path, path AS parent, ls[i] AS l FROM (SELECT record_id, path, {_listed("json_extract(p, '$.legs')")} AS ls FROM (SELECT record_id, path, {_inner("json_extract(f, '$.properties')")} AS p FROM f WHERE NOT bare) WHERE json_type(p) = 'OBJECT'), {_EACH.format('ls')} WHERE json_type(ls[i]) = 'OBJECT'),
-c AS (SELECT record_id, path || '.c' || (i - 1) AS path, path AS parent FROM (SELECT record_id, path, {_listed("json_extract(l, '$.calls')")} AS cs FROM l), {_EACH.format('cs')} WHERE json_type(cs[i]) = 'OBJECT')
-SELECT record_id, 'feature' AS entity, path AS node_path, '' AS parent_path FROM f UNION ALL SELECT record_id, 'geometry', path, parent FROM g UNION ALL SELECT record_id, 'ring', path, parent FROM r
+c AS (SELECT record_id, path || '.c' || (i - 1) AS path, path AS parent, cs[i] AS c FROM (SELECT record_id, path, {_listed("json_extract(l, '$.calls')")} AS cs FROM l), {_EACH.format('cs')} WHERE json_type(cs[i]) = 'OBJECT')
+{{}}"""
+_PATHS = """SELECT record_id, 'feature' AS entity, path AS node_path, '' AS parent_path FROM f UNION ALL SELECT record_id, 'geometry', path, parent FROM g UNION ALL SELECT record_id, 'ring', path, parent FROM r
 UNION ALL SELECT record_id, 'leg', path, parent FROM l UNION ALL SELECT record_id, 'call', path, parent FROM c"""
+NODES = _LEVELS.format(_PATHS)
+_VALUE = lambda v, path: f"CASE WHEN json_type({v}, '{path}') <> 'NULL' THEN json_extract_string({v}, '{path}') END"
 
 
 def inside_ring(ring: str) -> tuple[str, str]:
@@ -87,6 +90,8 @@ _HOLE, _HOLE_EDGE = inside_ring("h")
 
 SQL: dict[str, str] = {
     "p1_found": NODES,
+    "p1_call_counts": _LEVELS.format(f"SELECT {_VALUE('c', '$.site')} AS site, {_VALUE('c', '$.arr')} AS arr, TRY_CAST({_VALUE('c', '$.load.in')} AS BIGINT) AS load_in, TRY_CAST({_VALUE('c', '$.load.out')} AS BIGINT) AS load_out, count(*) AS n FROM c GROUP BY ALL"),
+    "p1_leg_counts": _LEVELS.format(f"SELECT {_VALUE('l', '$.leg')} AS leg, {_VALUE('l', '$.mode')} AS mode, count(*) AS n FROM l GROUP BY ALL"),
     "p2_found": f"""SELECT stream_name, event_id, period_start_ms, CASE WHEN {LATE} <= 21600000 THEN 'corrects' ELSE 'dropped' END AS outcome
 FROM ({EVENTS}) WHERE {LATE} > 120000""",
     "p2_counts": f"""WITH e AS (SELECT *, CASE WHEN {LATE} <= 120000 THEN 0 ELSE ceil(({LATE} - 120000) / 3600000) END AS run FROM ({EVENTS}) WHERE oid IS NOT NULL)
