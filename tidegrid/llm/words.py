@@ -24,9 +24,8 @@ class _Fold(dict):
         return out
 
 
-_LETTERS, _LETTERS_DIGITS = _Fold(False), _Fold(True)
+_LETTERS = _Fold(False)
 _NUMERALS = _Fold(True, {".": ".", ",": ",", "'": "'", "\u2019": "'", "/": "/", "\u2044": "/"})
-_TOKEN = re.compile(r"[0-9]+|[^0-9\s]+")
 _TOKEN_OR_NUMERAL = re.compile(r"[0-9]+(?:[.,'/][0-9]+)*|[^0-9\s.,'/]+")
 
 
@@ -43,21 +42,6 @@ def words(text: str | None) -> list[str]:
     return (text if text.isascii() else unicodedata.normalize("NFKD", text)).translate(_LETTERS).lower().split()
 
 
-def numbers_before(text: str | None) -> list[tuple[str, ...]]:
-    """For each word, the runs of digits between the word before and it."""
-    if not text:
-        return []
-    folded = (text if text.isascii() else unicodedata.normalize("NFKD", text)).translate(_LETTERS_DIGITS)
-    out, held = [], []
-    for token in _TOKEN.findall(folded):
-        if token[0] in "0123456789":
-            held.append(token)
-        else:
-            out.append(tuple(held))
-            held = []
-    return out
-
-
 def tokens(text: str | None) -> list[str]:
     """Words before lower-casing, and numerals in digits with the signs inside them, in their order."""
     if not text:
