@@ -55,7 +55,7 @@ _GERMAN_TENS = "(?:zwanzig|drei(?:ss|\u00df)ig|vierzig|funfzig|sechzig|siebzig|a
 _GERMAN_SMALL = f"(?:(?:{_ONES}und)?{_GERMAN_TENS}|(?:drei|vier|funf|sech|sieb|acht|neun)?zehn|elf|zwolf|{_ONES})"
 _GERMAN_HUNDREDS = f"(?:{_ONES}?hundert(?:und)?{_GERMAN_SMALL}?|{_GERMAN_SMALL})"
 _GERMAN = re.compile(f"(?:{_GERMAN_HUNDREDS}?tausend(?:und)?)?{_GERMAN_HUNDREDS}?")
-#: Characters of the passages that a task holds at a time (their index takes some ten times as many bytes).
+#: Characters of the passages that a task holds at a time (their index takes about thirteen times as many bytes).
 BLOCK = 4_000_000
 NAME, NUMBER, UNIT = 1, 2, 3  # templates' placeholders; literal words come after
 
